@@ -1,0 +1 @@
+"""Left empty on purpose: inputs are whole tables, there is no streaming operator to match."""
