@@ -44,7 +44,7 @@ def target_columns(df: DataFrame) -> list[str]:
 
 def feature_columns(df: DataFrame, keys: Sequence[str] = ("symbol",), include_sentiment: bool = True) -> list[str]:
     """Everything but keys, date, raw prices and targets; optionally without sentiment."""
-    skip = {*keys, "date", *OHLCV}
+    skip = {*keys, "date", "split", "is_forecast", *OHLCV}
     cols = [c for c in df.columns if c not in skip and not is_target(c)]
     return cols if include_sentiment else [c for c in cols if not is_sentiment(c)]
 
