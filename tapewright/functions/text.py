@@ -39,9 +39,8 @@ def iso_day(c: Column | str) -> Column:
 
 
 def occurrences(text: Column, term: str) -> Column:
-    """Non-overlapping occurrences of ``term`` in ``text``."""
-    gone = F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))
-    return (gone / F.lit(len(term))).cast("double")
+    """Non-overlapping occurrences of ``term`` in ``text``, as a double."""
+    return F.regexp_count(text, F.lit(rf"\Q{term}\E")).cast("double")
 
 
 def fallback_headline(symbol: Column | str, date: Column | str) -> Column:

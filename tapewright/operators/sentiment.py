@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tapewright.functions.arrays import flatten_dims, truncate_dims
+from tapewright.functions.arrays import flatten_dims
 from tapewright.functions.numeric import softmax
 from tapewright.functions.text import occurrences, text_key, text_or_empty
 from tapewright.operators.series import KEYS
@@ -46,16 +46,23 @@ class LexiconScorer:
 
     def score(self, df: DataFrame, text: str = "headline") -> DataFrame:
         terms = [*self.positive, *self.negative]
+        names = [f"_c{i}" for i in range(len(terms))]
         lowered = df.withColumn("_t", F.lower(text_or_empty(text)))
-        counted = lowered.withColumn("_c", F.array(*[occurrences(F.col("_t"), w) for w in terms])).drop("_t")
+        # a generator keeps the optimizer from copying the counts into every use of them
+        counts = F.inline(F.array(F.struct(*[occurrences(F.col("_t"), w).alias(n) for w, n in zip(terms, names)])))
+        counted = lowered.select("*", counts).drop("_t")
         cut = len(self.positive)
 
-        def logit(part: range) -> Column:
-            return F.log1p(sum((F.col("_c")[i] for i in part), F.lit(0.0)))
+        def logit(part: list[str]) -> Column:
+            return F.log1p(sum((F.col(n) for n in part), F.lit(0.0)))
 
-        neu, pos, neg = softmax(F.lit(self.neutral_logit), logit(range(cut)), logit(range(cut, len(terms))))
-        emb = truncate_dims(F.transform("_c", lambda c: F.log1p(c)), self.dims).cast("array<float>")
-        return counted.withColumns({"neu": neu, "pos": pos, "neg": neg, "emb": emb}).drop("_c")
+        logits = counted.withColumns({
+            "_lp": logit(names[:cut]),
+            "_ln": logit(names[cut:]),
+            "emb": F.array(*[F.log1p(n).cast("float") for n in names[: self.dims]]),
+        }).drop(*names)
+        neu, pos, neg = softmax(F.lit(self.neutral_logit), F.col("_lp"), F.col("_ln"))
+        return logits.withColumns({"neu": neu, "pos": pos, "neg": neg}).drop("_lp", "_ln")
 
 
 @dataclass(frozen=True)
