@@ -88,7 +88,7 @@ def sma10(spark, d):
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM v_price) a
 JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS pos FROM v_price) b
   ON a.symbol = b.symbol AND b.pos <= a.pos AND b.pos >= a.pos - 300
-GROUP BY a.symbol, a.date""", ["ema_10"], digits=5)
+GROUP BY a.symbol, a.date""", ["ema_10"], digits=4)
 def ema10(spark, d):
     return series.add_ema(bars(spark, d)).select(*KD, "ema_10")
 
