@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tapewright.models.base import FittedForecaster, Forecaster, prediction_names
 from tapewright.models.spaces import Choice, Steps, Uniform, When
 from tapewright.operators.columns import split_types
-from tapewright.operators.prep import Inputs, attach_fill, fill_values, imputed, target_scale
+from tapewright.operators.prep import Fill, Inputs, fill_values, imputed, target_scale
 from tapewright.session import stage
 
 # Objective names and the losses of the regressor that they stand for.
@@ -94,7 +94,7 @@ class BoostedTrees(Forecaster):
         if val is not None and self.early_stopping_rounds > 0:
             rows = rows.unionByName(val.na.drop(subset=list(targets)).withColumn("_val", F.lit(True)))
         labels = [((F.col(t) - scale[t][0]) / scale[t][1]).alias(f"_y{j}") for j, t in enumerate(targets)]
-        encoded = attach_fill(rows, fill).select("_val", *labels, *imputed(inputs))
+        encoded = fill.attach(rows).select("_val", *labels, *imputed(inputs))
         # every horizon reads the same encoded rows, many times: write them once
         data = _vectors(stage(encoded, "tree-input"), inputs)
         stop = val is not None and self.early_stopping_rounds > 0
@@ -107,8 +107,7 @@ class BoostedTrees(Forecaster):
                 models = pool.map(one, range(len(targets)))
         else:
             models = [one(j) for j in range(len(targets))]
-        row = fill.first()
-        return FittedTrees(models, inputs, (list(row["medians"]), list(row["modes"])), [scale[t] for t in targets])
+        return FittedTrees(models, inputs, fill, [scale[t] for t in targets])
 
 
 def _vectors(df: DataFrame, inputs: Inputs) -> DataFrame:
@@ -119,7 +118,7 @@ def _vectors(df: DataFrame, inputs: Inputs) -> DataFrame:
 class FittedTrees(FittedForecaster):
     models: list[GBTRegressionModel]
     inputs: Inputs
-    fill: tuple[list, list]
+    fill: Fill
     scale: list[tuple[float, float]]
     scope: tuple[str, ...] = ()
 
@@ -127,11 +126,8 @@ class FittedTrees(FittedForecaster):
     def horizon(self) -> int:
         return len(self.models)
 
-    def _fill_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([self.fill], "medians array<double>, modes array<int>")
-
     def transform(self, df: DataFrame) -> DataFrame:
-        filled = attach_fill(df, self._fill_table(df.sparkSession))
+        filled = self.fill.attach(df)
         enc = self.inputs.encoded
         inner = filled.withColumns({f"_x_{n}": c for n, c in zip(enc, imputed(self.inputs))})
         out = VectorAssembler(inputCols=[f"_x_{n}" for n in enc], outputCol="_vector").transform(inner)
@@ -148,7 +144,7 @@ class FittedTrees(FittedForecaster):
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         info = spark.createDataFrame(
-            [(list(self.inputs.numeric), list(self.inputs.categorical), *self.fill, [list(s) for s in self.scale])],
+            [(list(self.inputs.numeric), list(self.inputs.categorical), list(self.fill.medians), list(self.fill.modes), [list(s) for s in self.scale])],
             "numeric array<string>, categorical array<string>, medians array<double>, modes array<int>, scale array<array<double>>",
         )
         info.write.mode("overwrite").parquet(f"{path}/info")
@@ -159,4 +155,4 @@ class FittedTrees(FittedForecaster):
     def load(spark: SparkSession, path: str) -> FittedTrees:
         row = spark.read.parquet(f"{path}/info").first()
         models = [GBTRegressionModel.load(f"{path}/horizon={j + 1}") for j in range(len(row["scale"]))]
-        return FittedTrees(models, Inputs.of(row["numeric"], row["categorical"]), (row["medians"], row["modes"]), [tuple(s) for s in row["scale"]])
+        return FittedTrees(models, Inputs.of(row["numeric"], row["categorical"]), Fill(medians=tuple(row["medians"]), modes=tuple(row["modes"])), [tuple(s) for s in row["scale"]])

@@ -23,31 +23,53 @@ from tapewright.models.base import FittedForecaster, Forecaster, prediction_name
 from tapewright.models.spaces import Choice, Steps, Uniform
 from tapewright.operators.columns import split_types
 from tapewright.operators.gram import gram_table, unpack
-from tapewright.operators.prep import Inputs, attach_fill, fill_values, imputed
+from tapewright.operators.prep import Fill, Inputs, fill_values, imputed, literal
 from tapewright.session import stage
 
-TOLERANCE = 1e-10
+PARTS = {"medians": "array<double>", "modes": "array<int>", "weights": "array<array<double>>", "bias": "array<double>"}
 
 
-def descend(q: np.ndarray, r: np.ndarray, n: float, alpha: float, l1: float, max_iter: int) -> np.ndarray:
-    """Coordinate descent on centred cross products q = X'X, r = X'Y; all horizons together."""
-    w = np.zeros_like(r)
-    fit = np.zeros_like(r)  # q @ w, kept up to date
+def minimise(q: np.ndarray, r: np.ndarray, n: float, alpha: float, l1: float, max_iter: int) -> np.ndarray:
+    """Minimiser of the objective for one horizon, from centred cross products q = X'X, r = X'y.
+
+    Feature-sign search: an active set with signs is grown one input at a time; on it the
+    problem is a linear system, followed by a line search over the points where a sign flips.
+    It ends at the exact optimum after about as many small solves as there are inputs.
+    """
+    p = len(r)
     soft, ridge = alpha * l1 * n, alpha * (1.0 - l1) * n
-    diag = np.diag(q).copy()
-    active = np.flatnonzero(diag > 1e-12 * max(1.0, n))
+    usable = np.diag(q) > 1e-12 * max(1.0, n)
+    # the last term only separates inputs that are exact copies of each other when there is no ridge
+    h = q + (ridge + 1e-10 * n) * np.eye(p)
+    eps = 1e-9 * max(soft, 1e-6 * n)
+
+    def objective(w: np.ndarray) -> np.ndarray:
+        return 0.5 * np.einsum("...i,ij,...j", w, h, w) - w @ r + soft * np.abs(w).sum(axis=-1)
+
+    w, sign = np.zeros(p), np.zeros(p)
     for _ in range(max_iter):
-        moved = 0.0
-        for j in active:
-            rho = r[j] - fit[j] + diag[j] * w[j]
-            new = np.sign(rho) * np.maximum(np.abs(rho) - soft, 0.0) / (diag[j] + ridge)
-            step = new - w[j]
-            if np.any(step):
-                fit += np.outer(q[:, j], step)
-                w[j] = new
-                moved = max(moved, float(np.abs(step).max()))
-        if moved < TOLERANCE:
+        grad = h @ w - r
+        zero = usable & (w == 0)
+        excess = np.where(zero, np.abs(grad) - soft, -np.inf)
+        stuck = np.abs(grad + soft * np.sign(w))[w != 0].max(initial=0.0)
+        if stuck <= eps:
+            j = int(excess.argmax())
+            if excess[j] <= eps:
+                break
+            sign[j] = -np.sign(grad[j])
+        on = np.flatnonzero(sign)
+        goal = np.zeros(p)
+        goal[on] = np.linalg.solve(h[np.ix_(on, on)], r[on] - soft * sign[on])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crossing = np.where(w * goal < 0, w / (w - goal), np.nan)
+        steps = np.append(np.unique(crossing[~np.isnan(crossing)]), 1.0)
+        points = w + steps[:, None] * (goal - w)
+        points[np.abs(crossing[None, :] - steps[:, None]) < 1e-15] = 0.0
+        best = points[int(np.argmin(objective(points)))]
+        if np.array_equal(best, w):
             break
+        w = best
+        sign = np.sign(w)
     return w
 
 
@@ -67,7 +89,8 @@ def standardised(gram: np.ndarray, p: int, numeric: int):
 def fit_gram(gram: np.ndarray, p: int, numeric: int, alpha: float, l1_ratio: float, max_iter: int):
     """(weights per raw input and horizon, intercepts, weights on the standardised scale)."""
     n, scaled, mean, std = standardised(gram, p, numeric)
-    w = descend(scaled[:p, :p], scaled[:p, p:], n, alpha, l1_ratio, max_iter)
+    q = scaled[:p, :p]
+    w = np.column_stack([minimise(q, r, n, alpha, l1_ratio, max_iter) for r in scaled[:p, p:].T])
     raw = w / std[:p, None] * std[None, p:]
     return raw, mean[p:] - mean[:p] @ raw, w
 
@@ -83,6 +106,13 @@ def score_gram(gram: np.ndarray, p: int, raw: np.ndarray, intercept: np.ndarray)
     return {"mse": mse, "rmse": mse**0.5, "r2": 1.0 - sse / total if total > 0 else 0.0}
 
 
+def spread(models: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Solving is compute bound and its rows are small, so adaptive coalescing must not put them into one task."""
+    if not by:
+        return models
+    return models.repartition(max(8, models.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def solve(models: DataFrame, scope: Sequence[str], trials: list[dict[str, Any]], p: int, numeric: int, metric: str) -> DataFrame:
     """Fit and score rows (scope..., trial, train, val): adds the validation score."""
     kinds = "".join(f"{c} {dict(models.dtypes)[c]}, " for c in scope)
@@ -98,7 +128,7 @@ def solve(models: DataFrame, scope: Sequence[str], trials: list[dict[str, Any]],
                 scores.append(score_gram(unpack(val, dim), p, raw, bias)[metric])
             yield pdf[[*names, "trial"]].assign(score=scores)
 
-    return models.select(*names, "trial", "train", "val").mapInPandas(run, f"{kinds}trial int, score double")
+    return spread(models.select(*names, "trial", "train", "val"), [*names, "trial"]).mapInPandas(run, f"{kinds}trial int, score double")
 
 
 @dataclass(frozen=True)
@@ -127,9 +157,9 @@ class ElasticNet(Forecaster):
             "selection": Choice(("cyclic", "random")),
         }
 
-    def grams(self, rows: DataFrame, inputs: Inputs, targets: Sequence[str], fill: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    def grams(self, rows: DataFrame, inputs: Inputs, targets: Sequence[str], fill: Fill, group: Sequence[str] = ()) -> DataFrame:
         """Cross products of the imputed inputs and the targets per scope and ``group``."""
-        known = attach_fill(rows.na.drop(subset=list(targets)), fill, self.scope)
+        known = fill.attach(rows.na.drop(subset=list(targets)))
         return gram_table(known, [*self.scope, *group], imputed(inputs), [F.col(t).cast("double") for t in targets])
 
     def fit(self, train: DataFrame, features: Sequence[str], targets: Sequence[str], val: DataFrame | None = None, params: DataFrame | None = None) -> FittedElasticNet:
@@ -156,8 +186,8 @@ class ElasticNet(Forecaster):
                     biases.append(bias.tolist())
                 yield pdf[names].assign(weights=weights, bias=biases, scaled=scaled)
 
-        fitted = grams.mapInPandas(run, f"{kinds}weights array<array<double>>, bias array<double>, scaled array<array<double>>")
-        table = fill.join(fitted, names) if names else attach_fill(fitted, fill)
+        fitted = spread(grams, names).mapInPandas(run, f"{kinds}weights array<array<double>>, bias array<double>, scaled array<array<double>>")
+        table = fill.attach(fitted)
         return FittedElasticNet(stage(table, "elastic-net"), inputs, len(targets), self.scope)
 
 
@@ -181,30 +211,23 @@ class FittedElasticNet(FittedForecaster):
         bias = per.select(*self.scope, (F.col("h") + 1).alias("horizon"), F.lit("(intercept)").alias("feature"), F.col("m.bias").alias("weight"), F.lit(None).cast("double").alias("scaled_weight"))
         return weights.unionByName(bias)
 
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Rows with the fill values, weights and bias of their model."""
+        if self.scope:
+            return df.join(self.table.select(*self.scope, *PARTS), list(self.scope))
+        row = self.table.first()
+        return df.withColumns({c: literal(row[c], kind) for c, kind in PARTS.items()})
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds pred_1..pred_H.  One model: literal non-zero weights in generated code.  One model per series: weights joined by series."""
+        """Adds pred_1..pred_H.  Weights are literals for one model, and joined by series otherwise."""
         names = prediction_names(self.horizon)
-        enc = self.inputs.encoded
-        if not self.scope:
-            row = self.table.first()
-            filled = attach_fill(df, self.table.sparkSession.createDataFrame([(row["medians"], row["modes"])], "medians array<double>, modes array<int>"))
-            inner = filled.withColumns({f"_x_{n}": c for n, c in zip(enc, imputed(self.inputs))})
-            preds = {}
-            for h, name in enumerate(names):
-                total = F.lit(float(row["bias"][h]))
-                for n, w in zip(enc, row["weights"][h]):
-                    if w:
-                        total = total + F.lit(float(w)) * F.col(f"_x_{n}")
-                preds[name] = total
-            return inner.withColumns(preds).drop("medians", "modes", *[f"_x_{n}" for n in enc])
-        models = self.table.select(*self.scope, "medians", "modes", "weights", "bias")
-        joined = df.join(models, list(self.scope)).withColumn("_x", F.array(*imputed(self.inputs)))
+        joined = self.attach(df).withColumn("_x", F.array(*imputed(self.inputs)))
         dots = F.transform(
             F.arrays_zip("weights", "bias"),
             lambda m: m["bias"] + F.aggregate(F.zip_with(m["weights"], F.col("_x"), lambda w, x: w * x), F.lit(0.0), lambda a, v: a + v),
         )
         done = joined.withColumn("_p", dots)
-        return done.withColumns({n: F.col("_p")[h] for h, n in enumerate(names)}).drop("medians", "modes", "weights", "bias", "_x", "_p")
+        return done.withColumns({n: F.col("_p")[h] for h, n in enumerate(names)}).drop(*PARTS, "_x", "_p")
 
     def save(self, path: str) -> None:
         info = self.table.sparkSession.createDataFrame(

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewright.functions.arrays import zero_block
 from tapewright.operators.columns import drop_targets, require_columns
-from tapewright.operators.joins import merge_price_news
 from tapewright.operators.sampling import last_rows
 from tapewright.operators.series import (
-    KEYS, add_calendar, add_lags, add_log_return, add_targets, drop_warmup,
+    KEYS, add_calendar, add_lags, add_log_return, add_targets, drop_warmup, series_window,
 )
 from tapewright.schemas import SENTIMENT_COLUMNS
 
@@ -43,13 +43,17 @@ def merged_panel(price: DataFrame, daily: DataFrame | None, keys=KEYS, dims: int
     """
     if daily is None:
         return zero_sentiment(price, dims)
-    joined = merge_price_news(price, daily.drop("headline_count"), keys)
-    covered = daily.select(*keys).distinct().withColumn("_covered", F.lit(True))
-    names = [c for c in daily.columns if c not in (*keys, "date", "headline_count")]
-    flagged = joined.join(covered, list(keys), "left")
-    return flagged.withColumns(
+    on, names = [*keys, "date"], [c for c in daily.columns if c not in (*keys, "date", "headline_count")]
+    # a full join keeps headlines of days without a price until it is known that their series has news;
+    # the window needs the exchange that the feature windows use anyway
+    both = price.withColumn("_price", F.lit(True)).join(
+        daily.drop("headline_count").withColumn("_news", F.lit(True)), on, "full"
+    )
+    whole = series_window(keys).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    covered = both.withColumn("_covered", F.max("_news").over(whole)).where(F.col("_price"))
+    return covered.withColumns(
         {c: F.when(F.col("_covered").isNull(), F.lit(0.0)).otherwise(F.col(c)) for c in names}
-    ).drop("_covered")
+    ).drop("_price", "_news", "_covered")
 
 
 def inference_rows(price: DataFrame, daily: DataFrame | None = None, horizon: int = 30, back: int = 7, dims: int = 17, keys=KEYS) -> DataFrame:

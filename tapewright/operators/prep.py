@@ -6,6 +6,7 @@ are taken after imputation.  Statistics come from training rows only.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -41,7 +42,29 @@ def _mode(c: str) -> Column:
     return F.mode(F.col(c), True)
 
 
-def fill_values(df: DataFrame, inputs: Inputs, scope: Sequence[str] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class Fill:
+    """Medians and modes: a table with one row per model, or plain values of a single model."""
+
+    table: DataFrame | None = None
+    scope: tuple[str, ...] = ()
+    medians: tuple[float | None, ...] = ()
+    modes: tuple[int | None, ...] = ()
+
+    def columns(self) -> dict[str, Column]:
+        """The values of a single model as literals."""
+        return {"medians": literal(self.medians, "array<double>"), "modes": literal(self.modes, "array<int>")}
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df.join(self.table, list(self.scope)) if self.scope else df.withColumns(self.columns())
+
+
+def literal(values, kind: str) -> Column:
+    """Nested lists of numbers as one folded literal (JSON keeps doubles exactly)."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def fill_values(df: DataFrame, inputs: Inputs, scope: Sequence[str] = ()) -> Fill:
     """Median of every numeric and mode (lowest on a tie) of every categorical input.
 
     Per series the medians are grouped aggregates over a bounded series.  Without scope, one
@@ -52,11 +75,10 @@ def fill_values(df: DataFrame, inputs: Inputs, scope: Sequence[str] = ()) -> Dat
     if scope:
         medians = F.array(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)) for c in num])
         modes = F.array(*[_mode(c).cast("int") for c in cat]) if cat else F.array().cast("array<int>")
-        return df.groupBy(*scope).agg(medians.cast("array<double>").alias("medians"), modes.alias("modes"))
+        return Fill(df.groupBy(*scope).agg(medians.cast("array<double>").alias("medians"), modes.alias("modes")), tuple(scope))
     found = exact_quantiles(df, num, [0.5]) if num else {}
     modes = list(df.agg(*[_mode(c).cast("int").alias(c) for c in cat]).first()) if cat else []
-    row = ([found[c][0] for c in num], modes)
-    return df.sparkSession.createDataFrame([row], "medians array<double>, modes array<int>")
+    return Fill(medians=tuple(found[c][0] for c in num), modes=tuple(modes))
 
 
 def imputed(inputs: Inputs) -> list[Column]:
@@ -76,19 +98,9 @@ def imputed(inputs: Inputs) -> list[Column]:
     return [*num, *[F.coalesce(h, F.lit(0.0)).alias(n) for h, n in zip(hot, inputs.encoded[len(num):])]]
 
 
-def attach_fill(df: DataFrame, fill: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Join the fill values; a single row (no scope) becomes literals."""
-    if scope:
-        return df.join(fill, list(scope))
-    row = fill.first()
-    medians = F.array(*[F.lit(v).cast("double") for v in row["medians"]]).cast("array<double>")
-    modes = F.array(*[F.lit(v).cast("int") for v in row["modes"]]).cast("array<int>")
-    return df.withColumns({"medians": medians, "modes": modes})
-
-
-def encode(df: DataFrame, inputs: Inputs, fill: DataFrame, keep: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+def encode(df: DataFrame, inputs: Inputs, fill: Fill, keep: Sequence[str]) -> DataFrame:
     """keep columns + imputed numeric columns + one-hot columns (not scaled)."""
-    return attach_fill(df, fill, scope).select(*keep, *imputed(inputs))
+    return fill.attach(df).select(*keep, *imputed(inputs))
 
 
 def scale_stats(encoded: DataFrame, inputs: Inputs, scope: Sequence[str] = ()) -> DataFrame:
@@ -104,10 +116,7 @@ def standardise(encoded: DataFrame, inputs: Inputs, stats: DataFrame, keep: Sequ
         joined = encoded.join(stats, list(scope))
     else:
         row = stats.first()
-        joined = encoded.withColumns({
-            "means": F.array(*[F.lit(v).cast("double") for v in row["means"]]),
-            "stds": F.array(*[F.lit(v).cast("double") for v in row["stds"]]),
-        })
+        joined = encoded.withColumns({c: literal(row[c], "array<double>") for c in ("means", "stds")})
     num = [((F.col(c) - F.col("means")[i]) / F.col("stds")[i]).alias(c) for i, c in enumerate(inputs.numeric)]
     return joined.select(*keep, *num, *inputs.encoded[len(num):])
 
@@ -115,11 +124,7 @@ def standardise(encoded: DataFrame, inputs: Inputs, stats: DataFrame, keep: Sequ
 def prep_stats(train: DataFrame, inputs: Inputs, scope: Sequence[str] = ()) -> DataFrame:
     """Long table (scope..., position, feature, median, mean, std); mode under ``median`` for categoricals."""
     fill = fill_values(train, inputs, scope)
-    stats = scale_stats(encode(train, inputs, fill, list(scope), scope), inputs, scope)
-    if scope:
-        both = fill.join(stats, list(scope))
-    else:
-        both = attach_fill(stats, fill)
+    both = fill.attach(scale_stats(encode(train, inputs, fill, list(scope)), inputs, scope))
     rows = [
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col("medians")[i].alias("median"), F.col("means")[i].alias("mean"), F.col("stds")[i].alias("std"))
         for i, c in enumerate(inputs.numeric)

@@ -21,6 +21,11 @@ BUCKETS = 1024
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL, buckets: int = BUCKETS) -> dict[str, list[float | None]]:
     """{column: quantiles}, linear between neighbours; NULLs are skipped."""
+    found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    if df.count() <= small:
+        found.update(_small_quantiles(df, cols, probs))
+        return found
+
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
@@ -28,10 +33,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     size = {c: head[f"n{i}"] for i, c in enumerate(cols)}
 
     few = [c for c in cols if 0 < size[c] <= small]
-    found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     if few:
-        exact = df.agg(*[F.percentile(F.col(c).cast("double"), list(probs)).alias(c) for c in few]).first()
-        found.update({c: list(exact[c]) for c in few})
+        found.update(_small_quantiles(df, few, probs))
 
     many = [(i, c) for i, c in enumerate(cols) if size[c] > small]
     if many:
@@ -52,6 +55,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return found
 
 
+def _small_quantiles(df, cols, probs):
+    """Columns with few values: the built-in aggregate, one group per column."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    exact = long.where(F.col("value").isNotNull()).groupBy("column").agg(F.percentile("value", list(probs)).alias("q"))
+    return {r["column"]: list(r["q"]) for r in exact.collect()}
+
+
 def _order_statistics(df, wanted, size, small, buckets):
     """{(column, k): k-th smallest value}; ``wanted`` holds (low, high, rank inside)."""
     done: dict[tuple[str, int], float] = {}

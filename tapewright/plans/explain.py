@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tapewright.models.boosted_trees import FittedTrees
 from tapewright.models.elastic_net import FittedElasticNet
-from tapewright.operators.prep import attach_fill, imputed
+from tapewright.operators.prep import imputed, literal
 from tapewright.operators.sampling import head_rows, seeded_sample
 from tapewright.session import stage_path
 
@@ -31,21 +31,21 @@ def linear_attribution(model: FittedElasticNet, rows: DataFrame, base: DataFrame
     """
     if model.scope:
         raise ValueError("attributions are for a model of all series; filter one series for its own model")
-    row, enc = model.table.first(), model.inputs.encoded
-    fill = model.table.sparkSession.createDataFrame([(row["medians"], row["modes"])], "medians array<double>, modes array<int>")
-    means = attach_fill(base, fill).select(*imputed(model.inputs)).agg(*[F.avg(c).alias(c) for c in enc]).first()
-    entries = []
-    for h, (weights, bias) in enumerate(zip(row["weights"], row["bias"]), 1):
-        expected = bias + sum(w * means[n] for w, n in zip(weights, enc))
-        for w, n in zip(weights, enc):
-            if w:
-                phi = F.lit(float(w)) * (F.col(f"_x_{n}") - F.lit(float(means[n])))
-                entries.append(F.struct(F.lit(h).alias("horizon"), F.lit(n).alias("feature"), phi.alias("phi"), F.lit(float(expected)).alias("base")))
-    filled = attach_fill(rows, fill).withColumns({f"_x_{n}": c for n, c in zip(enc, imputed(model.inputs))})
-    if not entries:
-        empty = "array<struct<horizon:int,feature:string,phi:double,base:double>>"
-        return filled.select(*keep, F.inline(F.array().cast(empty)))
-    return filled.select(*keep, F.inline(F.array(*entries)))
+    enc, row = model.inputs.encoded, model.table.first()
+    means = list(model.attach(base).select(*imputed(model.inputs)).agg(*[F.avg(c).alias(c) for c in enc]).first())
+    expected = [bias + sum(w * m for w, m in zip(weights, means)) for weights, bias in zip(row["weights"], row["bias"])]
+    centred = model.attach(rows).withColumn(
+        "_d", F.zip_with(F.array(*imputed(model.inputs)), literal(means, "array<double>"), lambda x, m: x - m)
+    )
+    per_horizon = F.posexplode(F.arrays_zip("weights", literal(expected, "array<double>").alias("base")))
+    long = centred.select(*keep, "_d", per_horizon.alias("_h", "_m"))
+    names = F.array(*[F.lit(n) for n in enc])
+    per_input = F.inline(F.arrays_zip(names.alias("feature"), F.col("_m.weights").alias("weight"), F.col("_d").alias("gap")))
+    return (
+        long.select(*keep, (F.col("_h") + 1).alias("horizon"), F.col("_m.base").alias("base"), per_input)
+        .where(F.col("weight") != 0)
+        .select(*keep, "horizon", "feature", (F.col("weight") * F.col("gap")).alias("phi"), "base")
+    )
 
 
 def summarise(phi: DataFrame) -> DataFrame:
@@ -148,9 +148,8 @@ def tree_predictor(trees: list[dict], mean: float, std: float):
 def tree_attribution(model: FittedTrees, rows: DataFrame, base: DataFrame, keep: Sequence[str], rounds: int = 4, seed: int = 42) -> DataFrame:
     """Attributions of a boosted-tree model in the same form as the others."""
     predictors = [tree_predictor(tree_table(m), *s) for m, s in zip(model.models, model.scale)]
-    fill = rows.sparkSession.createDataFrame([model.fill], "medians array<double>, modes array<int>")
 
     def encode(df: DataFrame) -> DataFrame:
-        return attach_fill(df, fill).select(*keep, *imputed(model.inputs))
+        return model.fill.attach(df).select(*keep, *imputed(model.inputs))
 
     return kernel_attribution(predictors, encode(rows), model.inputs.encoded, encode(base), keep, rounds, seed)

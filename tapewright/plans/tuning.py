@@ -88,7 +88,7 @@ def tune_elastic_net(train: DataFrame, features: Sequence[str], targets: Sequenc
 
     every = F.sequence(F.lit(0), F.lit(trials - 1))
     opening = fold_grams[0].withColumn("trial", F.explode(every))
-    first = stage(solve(_spread(opening, scope + ["fold"]), scope + ["fold"], params, p, numeric, metric), "scores")
+    first = stage(solve(opening, scope + ["fold"], params, p, numeric, metric), "scores")
     scores = first
     if folds > 1:
         kept = _survivors(first, scope, trials, metric)
@@ -100,16 +100,11 @@ def tune_elastic_net(train: DataFrame, features: Sequence[str], targets: Sequenc
         else:  # one model: a handful of trial numbers
             alive = [r["trial"] for r in kept.collect()]
             models = later.withColumn("trial", F.explode(F.array(*[F.lit(i) for i in alive])))
-        solved = solve(_spread(models, scope + ["fold"]), scope + ["fold"], params, p, numeric, metric)
+        solved = solve(models, scope + ["fold"], params, p, numeric, metric)
         scores = first.unionByName(stage(solved, "scores"))
     return Tuning(params, scores, stage(_pick(scores, scope, folds, metric), "best"), tuple(scope))
 
 
-def _spread(models: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Solving is compute bound and its rows are small: use all cores."""
-    return models.repartition(max(8, models.sparkSession.sparkContext.defaultParallelism), *by, "trial")
-
-
 def tune(train: DataFrame, features: Sequence[str], targets: Sequence[str], base: Forecaster, trials: int = 30, folds: int = 2, gap: int = 0, metric: str = "rmse", keys=KEYS) -> Tuning:
     """Any forecaster and any metric: fits and scores fold by fold."""
     spark = train.sparkSession
