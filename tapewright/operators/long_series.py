@@ -19,23 +19,35 @@ from pyspark.sql import functions as F
 
 from tapewright.operators.series import KEYS
 
-# Time buckets from coarse to fine; the first whose fullest bucket fits the bound is taken.
-UNITS = ("DAY", "HOUR", "MINUTE", "SECOND")
+# Bucket widths in seconds, from coarse to fine; the first whose fullest bucket fits the bound is taken.
+WIDTHS = (86_400, 3_600, 60, 1)
 
 
-def choose_unit(df: DataFrame, keys: Sequence[str], time: str, bound: int) -> str:
-    """Coarsest bucket width whose fullest bucket has at most ``bound`` rows."""
-    for unit in UNITS[:-1]:
-        counts = df.groupBy(*keys, F.date_trunc(unit, time).alias("_bucket")).count()
+def seconds(df: DataFrame, time: str) -> Column:
+    """Whole seconds that grow with ``time``, free of time-zone shifts for zone-less times."""
+    t = F.col(time)
+    if dict(df.dtypes)[time] != "timestamp_ntz":
+        return F.unix_seconds(t.cast("timestamp"))
+    return F.unix_date(t.cast("date")).cast("long") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60 + F.second(t)
+
+
+def bucket(df: DataFrame, time: str, width: int) -> Column:
+    return F.floor(seconds(df, time) / width)
+
+
+def choose_width(df: DataFrame, keys: Sequence[str], time: str, bound: int) -> int:
+    """Widest bucket whose fullest (series, bucket) has at most ``bound`` rows."""
+    for width in WIDTHS[:-1]:
+        counts = df.groupBy(*keys, bucket(df, time, width).alias("_bucket")).count()
         if (counts.agg(F.max("count")).first()[0] or 0) <= bound:
-            return unit
-    return UNITS[-1]
+            return width
+    return WIDTHS[-1]
 
 
-def add_long_position(df: DataFrame, time: str, tiebreak: Sequence[str], keys=KEYS, bound: int = 1_000_000, unit: str | None = None) -> DataFrame:
+def add_long_position(df: DataFrame, time: str, tiebreak: Sequence[str], keys=KEYS, bound: int = 1_000_000, width: int | None = None) -> DataFrame:
     """0-based position ``pos`` in the series, computed bucket by bucket."""
-    unit = unit or choose_unit(df, keys, time, bound)
-    tagged = df.withColumn("_bucket", F.date_trunc(unit, time))
+    width = width or choose_width(df, keys, time, bound)
+    tagged = df.withColumn("_bucket", bucket(df, time, width))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy(*keys, "_bucket")
@@ -75,14 +87,14 @@ def over_chunks(
     ahead: int = 0,
     keys=KEYS,
     rows: int = 65_536,
-    unit: str | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Run a row-frame operator chunk by chunk.
 
     ``apply(df, keys, order)`` is any operator of :mod:`tapewright.operators.series` whose
     frames reach at most ``back`` rows back and ``ahead`` rows ahead.
     """
-    placed = add_long_position(df, time, tiebreak, keys, unit=unit)
+    placed = add_long_position(df, time, tiebreak, keys, width=width)
     chunked = with_halo(placed, back, ahead, rows)
     done = apply(chunked, [*keys, "_chunk"], ["pos"])
     return done.where(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home")
