@@ -12,7 +12,7 @@ from tapewright.functions.arrays import zero_block
 from tapewright.operators.columns import drop_targets, require_columns
 from tapewright.operators.sampling import last_rows
 from tapewright.operators.series import (
-    KEYS, add_calendar, add_lags, add_log_return, add_targets, drop_warmup, series_window,
+    KEYS, add_log_return, calendar_exprs, lag_exprs, series_window, target_exprs,
 )
 from tapewright.schemas import SENTIMENT_COLUMNS
 
@@ -23,10 +23,11 @@ def create_features(df: DataFrame, horizon: int = 1, back: int = 7, keys=KEYS, o
     The first kept row has a NULL ``lag_{back}``: it would read the return of row 0.
     """
     require_columns(df, [price])
-    out = add_log_return(df, keys, order, price)
-    out = add_targets(out, horizon, keys, order)
-    out = add_lags(out, back, keys, order)
-    return drop_warmup(add_calendar(out, date), back, keys, order)
+    w = series_window(keys, order)
+    out = add_log_return(df, keys, order, price).withColumns({
+        **target_exprs(horizon, w), **lag_exprs(back, w), **calendar_exprs(date), "_place": F.row_number().over(w),
+    })
+    return out.where(F.col("_place") > back).drop("_place")
 
 
 def zero_sentiment(price: DataFrame, dims: int = 17) -> DataFrame:

@@ -76,8 +76,8 @@ def fill_values(df: DataFrame, inputs: Inputs, scope: Sequence[str] = ()) -> Fil
         medians = F.array(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)) for c in num])
         modes = F.array(*[_mode(c).cast("int") for c in cat]) if cat else F.array().cast("array<int>")
         return Fill(df.groupBy(*scope).agg(medians.cast("array<double>").alias("medians"), modes.alias("modes")), tuple(scope))
-    found = exact_quantiles(df, num, [0.5]) if num else {}
-    modes = list(df.agg(*[_mode(c).cast("int").alias(c) for c in cat]).first()) if cat else []
+    total, *modes = df.agg(F.count(F.lit(1)), *[_mode(c).cast("int").alias(c) for c in cat]).first()
+    found = exact_quantiles(df, num, [0.5], total=total) if num else {}
     return Fill(medians=tuple(found[c][0] for c in num), modes=tuple(modes))
 
 

@@ -19,10 +19,10 @@ SMALL = 200_000
 BUCKETS = 1024
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL, buckets: int = BUCKETS) -> dict[str, list[float | None]]:
-    """{column: quantiles}, linear between neighbours; NULLs are skipped."""
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL, buckets: int = BUCKETS, total: int | None = None) -> dict[str, list[float | None]]:
+    """{column: quantiles}, linear between neighbours; NULLs are skipped.  ``total``: row count, if known."""
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    if df.count() <= small:
+    if (df.count() if total is None else total) <= small:
         found.update(_small_quantiles(df, cols, probs))
         return found
 

@@ -40,24 +40,32 @@ def add_log_return(df: DataFrame, keys=KEYS, order=("date",), price: str = "adj_
     return df.withColumn("log_return", log_ratio(price, F.lag(price).over(w)))
 
 
+def lag_exprs(back: int, w: WindowSpec) -> dict[str, Column]:
+    return {f"lag_{k}": F.lag("log_return", k).over(w) for k in range(1, back + 1)}
+
+
 def add_lags(df: DataFrame, back: int = 7, keys=KEYS, order=("date",)) -> DataFrame:
-    w = series_window(keys, order)
-    return df.withColumns({f"lag_{k}": F.lag("log_return", k).over(w) for k in range(1, back + 1)})
+    return df.withColumns(lag_exprs(back, series_window(keys, order)))
 
 
 def target_names(horizon: int) -> list[str]:
     return [f"target_{h}" for h in range(1, horizon + 1)] if horizon > 1 else ["target"]
 
 
+def target_exprs(horizon: int, w: WindowSpec) -> dict[str, Column]:
+    return {name: F.lead("log_return", h).over(w) for h, name in enumerate(target_names(horizon), 1)}
+
+
 def add_targets(df: DataFrame, horizon: int = 1, keys=KEYS, order=("date",)) -> DataFrame:
-    w = series_window(keys, order)
-    return df.withColumns(
-        {name: F.lead("log_return", h).over(w) for h, name in enumerate(target_names(horizon), 1)}
-    )
+    return df.withColumns(target_exprs(horizon, series_window(keys, order)))
+
+
+def calendar_exprs(date: str = "date") -> dict[str, Column]:
+    return {"quarter": quarter(date), "dow": day_of_week(date)}
 
 
 def add_calendar(df: DataFrame, date: str = "date") -> DataFrame:
-    return df.withColumns({"quarter": quarter(date), "dow": day_of_week(date)})
+    return df.withColumns(calendar_exprs(date))
 
 
 def add_position(df: DataFrame, keys=KEYS, order=("date",), name: str = "pos") -> DataFrame:

@@ -64,7 +64,8 @@ _PREP = " UNION ALL ".join([_stat_sql(c, i) for i, c in enumerate(_NUM)] + [_mod
 
 @query("prep_stats", f"SELECT * FROM (WITH t AS {_TRAIN} {_PREP})", ["median", "mean", "std"])
 def prep_stats(spark, d):
-    return prep.prep_stats(split5(spark, d).where("split = 'train'"), INPUTS)
+    train = stage(split5(spark, d).where("split = 'train'"), "train")  # several passes read it
+    return prep.prep_stats(train, INPUTS)
 
 
 @query("prep_stats_by_series", "\nUNION ALL ".join(
@@ -92,7 +93,7 @@ _MOMENTS = ", ".join(f"avg(coalesce(t.{c}, m.m_{c})) AS a_{c}, stddev_pop(coales
  (SELECT {_MOMENTS} FROM {_TRAIN} t, (SELECT {_MEDS} FROM {_TRAIN} q) m) s""", INPUTS.encoded)
 def transformed_features(spark, d):
     """Imputed with training medians, scaled with training moments, one-hot coded."""
-    df = split5(spark, d)
+    df = stage(split5(spark, d), "features")  # several passes read it
     train = df.where("split = 'train'")
     fill = prep.fill_values(train, INPUTS)
     scale = prep.scale_stats(prep.encode(train, INPUTS, fill, []), INPUTS)

@@ -16,10 +16,16 @@ DIGITS = 6
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded, so that the order of a sum does not show; -0.0 becomes 0.0."""
+    """Doubles rounded, so that the order of a sum does not show.
+
+    floor(x * 10^d + 0.5) is plain arithmetic, the same in both engines, and much cheaper
+    than decimal rounding.
+    """
+    unit = float(10**digits)
+
     def one(f: T.StructField):
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            return (F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name)
+            return (F.floor(F.col(f.name).cast("double") * unit + 0.5) / unit).alias(f.name)
         return F.col(f.name)
 
     return df.select(*[one(f) for f in df.schema.fields])
@@ -30,7 +36,7 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), digits
     def add(fn: Query) -> Query:
         QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir), digits)
         if sql is not None:
-            swaps = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE) AS {c}" for c in doubles)
+            swaps = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e{digits} + CAST(0.5 AS DOUBLE)) / 1e{digits} AS {c}" for c in doubles)
             replace = f" REPLACE ({swaps})" if swaps else ""
             ORACLES[name] = f"{with_views(sql)}SELECT *{replace} FROM ({sql.strip()}) AS q"
         return fn
