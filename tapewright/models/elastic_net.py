@@ -39,8 +39,8 @@ def minimise(q: np.ndarray, r: np.ndarray, n: float, alpha: float, l1: float, ma
     p = len(r)
     soft, ridge = alpha * l1 * n, alpha * (1.0 - l1) * n
     usable = np.diag(q) > 1e-12 * max(1.0, n)
-    # the last term only separates inputs that are exact copies of each other when there is no ridge
-    h = q + (ridge + 1e-10 * n) * np.eye(p)
+    # the floor only matters without a ridge, where it separates inputs that are exact copies
+    h = q + max(ridge, 1e-10 * n) * np.eye(p)
     eps = 1e-9 * max(soft, 1e-6 * n)
 
     def objective(w: np.ndarray) -> np.ndarray:
