@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tapewright.operators.series import KEYS
 
+HOT_KEYS = 1000
+
 
 def duplicate_dates(price: DataFrame, keys=KEYS) -> DataFrame:
     """(series, date) pairs that occur more than once."""
@@ -23,15 +25,46 @@ def check_unique_dates(price: DataFrame, keys=KEYS) -> DataFrame:
     return price
 
 
-def merge_price_news(price: DataFrame, news: DataFrame, keys=KEYS, validate: bool = False) -> DataFrame:
+def spread_join(big: DataFrame, unique: DataFrame, on: Sequence[str], salts: int = 16, hot: int = 1_000_000) -> DataFrame:
+    """Left join on keys that are unique on the right and may be very frequent on the left.
+
+    The most frequent keys with more than ``hot`` rows are spread over ``salts`` tasks: their
+    left rows are salted by the row's own content, their single right row is copied once per
+    salt.  The list is cut to ``HOT_KEYS``, which bounds its broadcast; a key beyond the cut
+    holds less than 1 / HOT_KEYS of the rows and needs no salt.  No row is dropped.
+    """
+    on = list(on)
+    frequent = F.broadcast(
+        big.groupBy(*on).count().where(F.col("count") > hot).orderBy(F.col("count").desc()).limit(HOT_KEYS)
+        .select(*on, F.lit(True).alias("_hot"))
+    )
+    others = [c for c in big.columns if c not in on]
+    place = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
+    left = big.join(frequent, on, "left").withColumn("_salt", F.when(F.col("_hot"), place).otherwise(F.lit(0)))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = unique.join(frequent, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.drop("_hot").join(right, [*on, "_salt"], "left").drop("_salt")
+
+
+def merge_price_news(price: DataFrame, news: DataFrame, keys=KEYS, validate: bool = False, many: bool = False, hot: int = 1_000_000) -> DataFrame:
     """Every price row with the news of its date, if any; one-to-many.
 
     ``validate`` checks the one side first.  Skip it where prices come from an aggregation by
     (series, date) or from ``dedupe_last``: they are unique by construction.
+
+    ``many`` is for raw headlines, where one date may hold a large share of all rows: matches
+    come from a join with hot dates spread over tasks, and price dates without news are added.
+    Daily sentiment has one row per date and needs no such care.
     """
     if validate:
         check_unique_dates(price, keys)
-    return price.join(news, [*keys, "date"], "left")
+    on = [*keys, "date"]
+    if not many:
+        return price.join(news, on, "left")
+    found = spread_join(news, price.withColumn("_price", F.lit(True)), on, hot=hot).where(F.col("_price")).drop("_price")
+    bare = price.join(news.select(*on).distinct(), on, "left_anti")
+    columns = [*price.columns, *[c for c in news.columns if c not in on]]
+    return found.select(*columns).unionByName(bare, allowMissingColumns=True)
 
 
 def missing_news_dates(price: DataFrame, news: DataFrame, keys=KEYS) -> DataFrame:

@@ -14,13 +14,12 @@ from pyspark.sql.utils import AnalysisException
 from tapewright.functions.arrays import flatten_dims
 from tapewright.functions.numeric import softmax
 from tapewright.functions.text import occurrences, text_key, text_or_empty
+from tapewright.operators.joins import spread_join
 from tapewright.operators.series import KEYS
 from tapewright.schemas import SENTIMENT_COLUMNS
 
 SCORE_SCHEMA = "text_key string, neu double, pos double, neg double, emb array<float>"
 
-HOT_KEYS = 1000
-
 # The terms of the built-in scorer.
 POSITIVE = ("gain", "rise", "high", "great", "strong", "profit", "record", "best", "good", "beat")
 NEGATIVE = ("loss", "fall", "fraud", "lawsuit", "weak", "miss", "scandal", "bad", "drop", "less")
@@ -138,27 +137,7 @@ def score_cached(news: DataFrame, cache: ScoreCache, scorer: Scorer, text: str =
     """Scores through the cache: each distinct text is scored once."""
     cache.fill(news, scorer, text)
     keyed = news.withColumn("text_key", text_key(text))
-    return add_polarity(spread_join(keyed, cache.read(), "text_key", salts, hot)).drop("text_key")
-
-
-def spread_join(big: DataFrame, unique: DataFrame, key: str, salts: int = 16, hot: int = 1_000_000) -> DataFrame:
-    """Left join on a key that is unique on the right and may be very frequent on the left.
-
-    The most frequent keys with more than ``hot`` rows are spread over ``salts`` tasks: their
-    left rows are salted by the row's own content, their single right row is copied once per
-    salt.  The list is cut to ``HOT_KEYS``, which bounds its broadcast; a key beyond the cut
-    holds less than 1 / HOT_KEYS of the rows and needs no salt.  No row is dropped.
-    """
-    frequent = (
-        big.groupBy(key).count().where(F.col("count") > hot).orderBy(F.col("count").desc()).limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    others = [c for c in big.columns if c != key]
-    place = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
-    left = big.join(F.broadcast(frequent), key, "left").withColumn("_salt", F.when(F.col("_hot"), place).otherwise(F.lit(0)))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = unique.join(F.broadcast(frequent), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.drop("_hot").join(right, [key, "_salt"], "left").drop("_salt")
+    return add_polarity(spread_join(keyed, cache.read(), ["text_key"], salts, hot)).drop("text_key")
 
 
 def aggregate_daily(scored: DataFrame, dims: int | None = 17, text: str = "headline", keys=KEYS) -> DataFrame:

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.operators import enrich, features, sentiment, series
+from tapewright.operators import enrich, features, joins, sentiment, series
 from tapewright.session import stage_path
 from tapewright.sources import files, history, payload
 
@@ -54,7 +54,7 @@ def test_cache_scores_each_text_once(spark):
 def test_spread_join_equals_left_join(spark):
     big = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 11}", i) for i in range(300)], "k string, i int")
     unique = spark.createDataFrame([("hot", 1.0)] + [(f"k{i}", float(i)) for i in range(9)], "k string, v double")
-    got = sorted(map(tuple, sentiment.spread_join(big, unique, "k", salts=5, hot=50).select("k", "i", "v").collect()), key=repr)
+    got = sorted(map(tuple, joins.spread_join(big, unique, ["k"], salts=5, hot=50).select("k", "i", "v").collect()), key=repr)
     assert got == sorted(map(tuple, big.join(unique, "k", "left").select("k", "i", "v").collect()), key=repr)
 
 
