@@ -16,7 +16,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.models.base import FittedForecaster, Forecaster, prediction_names
@@ -158,9 +158,9 @@ class ElasticNet(Forecaster):
         }
 
     def grams(self, rows: DataFrame, inputs: Inputs, targets: Sequence[str], fill: Fill, group: Sequence[str] = ()) -> DataFrame:
-        """Cross products of the imputed inputs and the targets per scope and ``group``."""
+        """Cross products of the imputed inputs, less their medians, and the targets per scope and ``group``."""
         known = fill.attach(rows.na.drop(subset=list(targets)))
-        return gram_table(known, [*self.scope, *group], imputed(inputs), [F.col(t).cast("double") for t in targets])
+        return gram_table(known, [*self.scope, *group], imputed(inputs, shifted=True), [F.col(t).cast("double") for t in targets])
 
     def fit(self, train: DataFrame, features: Sequence[str], targets: Sequence[str], val: DataFrame | None = None, params: DataFrame | None = None) -> FittedElasticNet:
         """``params`` may hold (scope..., alpha, l1_ratio, max_iter) when every series has its own."""
@@ -187,7 +187,12 @@ class ElasticNet(Forecaster):
                 yield pdf[names].assign(weights=weights, bias=biases, scaled=scaled)
 
         fitted = spread(grams, names).mapInPandas(run, f"{kinds}weights array<array<double>>, bias array<double>, scaled array<array<double>>")
-        table = fill.attach(fitted)
+        # the cross products are of inputs less their medians; move that into the intercept
+        def unshift(b: Column, w: Column) -> Column:
+            moved = F.zip_with(F.slice(w, 1, numeric), F.col("medians"), lambda a, m: a * F.coalesce(m, F.lit(0.0)))
+            return b - F.aggregate(moved, F.lit(0.0), lambda s, v: s + v)
+
+        table = fill.attach(fitted).withColumn("bias", F.zip_with("bias", "weights", unshift))
         return FittedElasticNet(stage(table, "elastic-net"), inputs, len(targets), self.scope)
 
 

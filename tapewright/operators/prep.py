@@ -73,7 +73,8 @@ def fill_values(df: DataFrame, inputs: Inputs, scope: Sequence[str] = ()) -> Fil
     """
     num, cat = inputs.numeric, inputs.categorical
     if scope:
-        medians = F.array(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)) for c in num])
+        known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in num]
+        medians = F.array(*[F.percentile(x, F.lit(0.5)) for x in known])
         modes = F.array(*[_mode(c).cast("int") for c in cat]) if cat else F.array().cast("array<int>")
         return Fill(df.groupBy(*scope).agg(medians.cast("array<double>").alias("medians"), modes.alias("modes")), tuple(scope))
     total, *modes = df.agg(F.count(F.lit(1)), *[_mode(c).cast("int").alias(c) for c in cat]).first()
@@ -81,21 +82,24 @@ def fill_values(df: DataFrame, inputs: Inputs, scope: Sequence[str] = ()) -> Fil
     return Fill(medians=tuple(found[c][0] for c in num), modes=tuple(modes))
 
 
-def imputed(inputs: Inputs) -> list[Column]:
+def imputed(inputs: Inputs, shifted: bool = False) -> list[Column]:
     """Encoded input columns for rows that carry ``medians`` and ``modes``.
 
-    Unknown levels encode as all zeros.  An input without a median counts as 0.
+    Unknown levels encode as all zeros.  An input without a median counts as 0; NaN counts
+    as missing.  ``shifted`` subtracts the medians, which keeps sums of products accurate for
+    inputs whose level is large compared with their spread.
     """
-    num = [
-        F.coalesce(F.col(c).cast("double"), F.col("medians")[i], F.lit(0.0)).alias(c)
-        for i, c in enumerate(inputs.numeric)
-    ]
+    num = []
+    for i, c in enumerate(inputs.numeric):
+        median = F.coalesce(F.col("medians")[i], F.lit(0.0))
+        value = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), median)
+        num.append((value - median if shifted else value).alias(c))
     hot = [
-        (F.coalesce(F.col(c).cast("int"), F.col("modes")[i]) == v).cast("double").alias(f"{c}_{v}")
+        F.coalesce((F.coalesce(F.col(c).cast("int"), F.col("modes")[i]) == v).cast("double"), F.lit(0.0)).alias(f"{c}_{v}")
         for i, (c, vs) in enumerate(inputs.levels)
         for v in vs
     ]
-    return [*num, *[F.coalesce(h, F.lit(0.0)).alias(n) for h, n in zip(hot, inputs.encoded[len(num):])]]
+    return [*num, *hot]
 
 
 def encode(df: DataFrame, inputs: Inputs, fill: Fill, keep: Sequence[str]) -> DataFrame:

@@ -20,7 +20,9 @@ BUCKETS = 1024
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL, buckets: int = BUCKETS, total: int | None = None) -> dict[str, list[float | None]]:
-    """{column: quantiles}, linear between neighbours; NULLs are skipped.  ``total``: row count, if known."""
+    """{column: quantiles}, linear between neighbours; NULL and NaN are skipped.  ``total``: row count, if known."""
+    missing = F.lit(None).cast("double")
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), missing).alias(c) for c in cols])
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     if (df.count() if total is None else total) <= small:
         found.update(_small_quantiles(df, cols, probs))
@@ -28,7 +30,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
+        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
     head = df.agg(*aggs).first()
     size = {c: head[f"n{i}"] for i, c in enumerate(cols)}
 
@@ -57,7 +59,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
 def _small_quantiles(df, cols, probs):
     """Columns with few values: the built-in aggregate, one group per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    long = df.unpivot([], list(cols), "column", "value")
     exact = long.where(F.col("value").isNotNull()).groupBy("column").agg(F.percentile("value", list(probs)).alias("q"))
     return {r["column"]: list(r["q"]) for r in exact.collect()}
 
@@ -76,7 +78,7 @@ def _order_statistics(df, wanted, size, small, buckets):
         parts = []
         for i, (c, _) in enumerate(names):
             low, high, _k = wide[names[i]]
-            x = F.col(c).cast("double")
+            x = F.col(c)
             place = F.least(F.floor((x - low) / (high - low) * buckets), F.lit(buckets - 1)).cast("int")
             parts.append(F.when(x.between(low, high), F.struct(F.lit(i).alias("task"), place.alias("bucket"), x.alias("x"))))
         counts = (
@@ -97,7 +99,7 @@ def _order_statistics(df, wanted, size, small, buckets):
         names = list(wanted)
         for i, task in enumerate(names):
             low, high, _k = wanted[task]
-            x = F.col(task[0]).cast("double")
+            x = F.col(task[0])
             parts.append(F.when(x.between(low, high), F.struct(F.lit(i).alias("task"), F.lit(wanted[task][2]).alias("rank"), x.alias("x"))))
         rows = (
             df.select(F.inline(F.array_compact(F.array(*parts))))

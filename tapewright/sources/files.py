@@ -21,12 +21,13 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
 
 
 def load_price(spark: SparkSession, path: str, text: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Price CSV: header normalised, ``date`` parsed strictly, the rest as doubles.
+    """Price CSV: header normalised, ``date`` parsed strictly, the rest as doubles; NaN becomes NULL.
 
     Order is a property of windows and outputs here, so nothing is sorted.
     """
     raw = rename_columns(spark.read.option("header", True).csv(path))
-    numbers = {c: F.col(c).cast("double") for c in raw.columns if c != "date" and c not in text}
+    missing = F.lit(None).cast("double")
+    numbers = {c: F.nanvl(F.col(c).cast("double"), missing) for c in raw.columns if c != "date" and c not in text}
     return raw.withColumns({"date": parse_day("date"), **numbers})
 
 

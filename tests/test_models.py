@@ -93,6 +93,15 @@ def test_one_model_per_series_equals_separate_fits(panel):
         np.testing.assert_allclose(joint.where(own).orderBy("date").toPandas()[["pred_1", "pred_3"]], alone[["pred_1", "pred_3"]], rtol=1e-6, atol=1e-12)
 
 
+def test_large_levels_do_not_spoil_the_fit(panel):
+    """An input of 10^9 plus a small signal is worth exactly the signal."""
+    shift = lambda df: df.withColumn("level", F.col("log_return") * 1000 + F.lit(1e9)).withColumn("signal", F.col("level") - F.lit(1e9))
+    train, test = shift(part(panel, "train")), shift(part(panel, "test"))
+    a = ElasticNet().fit(train, ["level"], T3).transform(test).orderBy("symbol", "date").toPandas()["pred_1"]
+    b = ElasticNet().fit(train, ["signal"], T3).transform(test).orderBy("symbol", "date").toPandas()["pred_1"]
+    np.testing.assert_allclose(a, b, rtol=1e-4, atol=1e-8)
+
+
 def test_bundle_round_trip(spark, panel):
     feats = feature_columns(panel[1])
     model = ElasticNet(scope=("symbol",)).fit(part(panel, "train"), feats, T3)

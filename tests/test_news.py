@@ -106,9 +106,9 @@ def test_wide_news_file(spark, tmp_path):
 
 def test_price_file(spark, tmp_path):
     path = tmp_path / "p.csv"
-    path.write_text("Date, Open,Adj Close \n2020-01-02,1,2.5\n", encoding="utf-8")
+    path.write_text("Date, Open,Adj Close \n2020-01-02,NaN,2.5\n", encoding="utf-8")
     row = files.load_price(spark, str(path)).first()
-    assert row.asDict() == {"date": dt.date(2020, 1, 2), "open": 1.0, "adj_close": 2.5}
+    assert row.asDict() == {"date": dt.date(2020, 1, 2), "open": None, "adj_close": 2.5}
 
 
 def test_lenient_dates_in_uploads(spark, tmp_path):
