@@ -121,7 +121,7 @@ def add_ema(df: DataFrame, value: str = "adj_close", span: int = 10, name: str =
 
 
 def add_sentiment_trend(df: DataFrame, value: str = "pos_minus_neg", rows: int = 7, band: float = 0.05, keys=KEYS, order=("date",)) -> DataFrame:
-    """Smoothed daily sentiment and its place relative to the reference band."""
+    """Smoothed daily sentiment and its place relative to a neutral band."""
     smooth = add_moving_average(df, value, rows, "smoothed", keys, order)
     label = (
         F.when(F.col("smoothed") > band, "above")

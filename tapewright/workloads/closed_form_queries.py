@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import functions as F
 
 from tapewright.models.elastic_net import ElasticNet
 from tapewright.models.spaces import sample

@@ -8,7 +8,7 @@ from tapewright.functions import calendar as cal
 from tapewright.functions.arrays import column_stack, ravel
 from tapewright.functions.numeric import as_double, cumulative, safe_log
 from tapewright.functions.text import symbol_valid
-from tapewright.operators import columns, features, guards, joins, metrics, sampling, series, split, stats
+from tapewright.operators import columns, features, guards, joins, sampling, series, split, stats
 from tapewright.operators.long_series import add_long_position, over_chunks, running_sum
 from tapewright.plans.explore import explore, returns_known
 from tapewright.workloads.registry import H5, H30, LAGS, query
