@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, piece_bpe
+from . import byte_bpe, piece_bpe, quality, sharding
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,8 +36,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.count_tokens(documents(spark, sf_dir), BYTES)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.quality(documents(spark, sf_dir)).select("doc_id", *base, "class_distance", "word_distance")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard(documents(spark, sf_dir), 40)
+
+
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_token_counts": op4_token_counts,
+    "op6_quality": op6_quality,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
