@@ -21,7 +21,7 @@ from .merges import PairTable, merge_words
 
 SPACE = "▁"
 #: Distinct words kept per task between slices.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 CACHE_CHARS = 16_000_000
 
 
@@ -184,8 +184,7 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
             for part, texts in slices(batch, "text"):
                 ids, counts = pieces.encode(strings(texts))
                 ends = np.append(0, np.cumsum(counts)).tolist()
-                flat = ids.tolist()
-                decoded = [pieces.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                decoded = [pieces.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.record_batch([part.column(0), listed, pa.array(decoded, pa.string())], ["key", "ids", "decoded"])
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, piece_bpe, quality, sharding
+from . import byte_bpe, decontaminate, piece_bpe, quality, secrets, sharding
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain test items: a row per pair, with the item's shingles and how many of them are found."""
+    found = decontaminate.contained(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir))
+    pairs = found.select("doc_id", F.explode("leaks").alias("leak"))
+    return pairs.select("doc_id", F.col("leak.item").alias("item_id"), F.col("leak.n_shingles").cast("long").alias("n_shingles"), F.col("leak.n_common").cast("long").alias("n_common"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text that they decode to, as digests."""
     return piece_digests(piece_bpe.encode_decode(documents(spark, sf_dir), PIECES))
@@ -42,15 +53,25 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select("doc_id", *base, "class_distance", "word_distance")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts and digest, and all spans."""
+    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    count = {k: F.size(F.filter("secrets", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.BASE)}
+    base = secrets.spelled(F.filter("secrets", lambda s: s["kind"] < len(secrets.BASE)))
+    return found.select("doc_id", *count.values(), F.sha2(base, 256).alias("base_sha256"), secrets.spelled(F.col("secrets")).alias("spans"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.shard(documents(spark, sf_dir), 40)
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_token_counts": op4_token_counts,
     "op6_quality": op6_quality,
+    "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
