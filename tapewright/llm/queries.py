@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, piece_bpe, quality, secrets, sharding
+from . import byte_bpe, decontaminate, near_dup, piece_bpe, quality, secrets, sharding
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.count_tokens(documents(spark, sf_dir), BYTES)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, component and verdict of every document."""
+    return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_token_counts": op4_token_counts,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,

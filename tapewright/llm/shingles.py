@@ -68,7 +68,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = SHINGLE)
     counts = np.diff(offsets)
     full = np.zeros(len(words), np.uint64)
     for j in range(size):
-        full[: len(words) - j or None] += words[j:] * _PLACES[j]
+        full[: max(0, len(words) - j)] += words[j:] * _PLACES[j]
     number = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     out_at = np.zeros(len(number) + 1, np.int64)
     np.cumsum(number, out=out_at[1:])
@@ -76,7 +76,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = SHINGLE)
     values = full[place]
     for text in np.flatnonzero((counts > 0) & (counts < size)):
         a, b = offsets[text], offsets[text + 1]
-        values[out_at[text]] = (words[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64) + _PLACES[size + b - a]
+        values[out_at[text]] = np.append(words[a:b] * _PLACES[: b - a], _PLACES[size + b - a]).sum(dtype=np.uint64)
     return mix(values), out_at
 
 
