@@ -44,16 +44,16 @@ def split_words(text: Column) -> Column:
 
 
 def document_counts(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts of each text: the base columns, ``classes`` and ``commons`` (arrays of histogram bins)."""
+    """``row`` (the columns ``keep``) and counts of each text: the base columns, ``classes`` and ``commons`` (arrays of histogram bins)."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.select(F.struct(*keep).alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), body.alias("body"))
+    base = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), body.alias("body"))
     base = base.withColumn("words", split_words(F.col("body")))
     n = F.size("words")
     words_at = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("words"), i, WINDOW)))
     lines = F.filter(F.split("body", "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     low = F.split(F.lower(F.array_join("words", " ")), " ")
     first = base.select(
-        "id", "lang",
+        "row", "lang",
         n.cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.char_length("body").cast("long").alias("n_chars"),
@@ -67,7 +67,7 @@ def document_counts(docs: DataFrame, text: str = "text", lang: str = "lang", kee
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     second = first.select(
-        "id", "lang", "n_words", "word_chars", "n_chars", *CLASSES,
+        "row", "lang", "n_words", "word_chars", "n_chars", *CLASSES,
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(twice, placed).alias("placed"), "bare",
         F.size("hits").cast("long").alias("n_hits"),
@@ -80,7 +80,7 @@ def document_counts(docs: DataFrame, text: str = "text", lang: str = "lang", kee
     rest = F.col("word_chars") - sum((F.col(c) for c in CLASSES), F.lit(0))
     bins = [*[F.col(c) for c in CLASSES], F.col("n_chars") - F.col("word_chars"), rest]
     return third.select(
-        "id.*", "lang", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines",
+        "row", "lang", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines",
         F.when(F.col("starts").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"), "n_chars",
         F.array(*[b.cast("double") for b in bins]).alias("classes"),
         F.concat("found", F.array("bare", F.col("n_words") - F.col("n_hits") - F.col("bare"))).alias("commons"),
@@ -125,8 +125,8 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple
     """Counts, distances and verdict of every row; see ``document_counts`` and ``judge``.
 
     Null and empty texts have no words and fail the base rules. A null language is a language of its own. Repeated rows
-    are judged alike, each gives a row. ``keep`` names the columns that are carried along. Without documents the result
-    is empty. The counts are written once to the shared folder, so that texts are read once.
+    are judged alike, each gives a row. ``keep`` names the columns that are carried along in the struct ``row``, so that
+    names cannot clash. Without documents the result is empty. The counts are written once to the shared folder, so that texts are read once.
     """
     counts = stage(document_counts(docs, text, lang, keep), "quality")
     return judge(counts, stage(references(counts), "references"))

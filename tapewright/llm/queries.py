@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, near_dup, piece_bpe, quality, secrets, sharding
+from . import byte_bpe, decontaminate, lm_score, near_dup, piece_bpe, quality, secrets, sharding
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +42,15 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+LM_ORDER = 2
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document; one in seven is held out by a checksum of its id."""
+    learned = "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) <> 2"
+    return lm_score.score(documents(spark, sf_dir), learned, LM_ORDER)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every text."""
     return byte_bpe.count_tokens(documents(spark, sf_dir), BYTES)
@@ -55,7 +64,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return quality.quality(documents(spark, sf_dir)).select("doc_id", *base, "class_distance", "word_distance")
+    return quality.quality(documents(spark, sf_dir)).select("row.doc_id", *base, "class_distance", "word_distance")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_lm_score": op3_lm_score,
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,

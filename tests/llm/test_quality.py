@@ -74,7 +74,7 @@ def test_equals_brute_force(spark, source):
                 (5, "Same\nSame\nsame\n \n\x0b\n", "xx"), (None, "w " * 30000, "en"), (6, "the of and é中 {x} " * 40 + "q w e", "en"), (6, "the of and é中 {x} " * 40 + "q w e", "en"),
                 (7, "\x85a b c " * 30, "zz"), (8, "x" * 5000, "en")]
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    columns = ["row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     got = [tuple(r) for r in quality.quality(docs).select(columns).collect()]
     assert sorted(got, key=repr) == sorted(brute(rows), key=repr)
 
