@@ -5,8 +5,7 @@ bucket of the key: sorted keys as differences, so that a key costs about six byt
 chunks and answers each chunk with the totals in the order of its keys, about a byte each. No key is a large group: a
 chunk sends it once, however often it occurs.
 
-Chunks are numbered by task and place, so a table of chunks must be read the same way each time: from files, not from
-a shuffle. An answer that does not fit the keys of its chunk raises an error.
+Chunks are written to the shared folder first, so that every pass sees the same ones whatever happens to executors.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .batches import slices
 
 #: Bytes of text per bucket of keys; a bucket is handled by one task at a time.
@@ -106,7 +106,7 @@ def joined(parts: list[tuple[int, bytes]], keys: np.ndarray) -> np.ndarray:
     """Totals of a chunk's sorted keys from its answers (bucket, totals)."""
     out = np.concatenate([unpacked(data) for _, data in sorted(parts)]) if parts else np.zeros(0, np.uint64)
     if len(out) != len(keys):
-        raise ValueError("a chunk was read differently the second time: its documents must come from files")
+        raise ValueError("an answer does not fit the keys of its chunk")
     return out.astype(np.int64)
 
 
@@ -124,19 +124,41 @@ def unpayload(data: bytes) -> pa.RecordBatch:
     return table.combine_chunks().to_batches()[0]
 
 
-PAYLOAD_KIND = -1
-
-
-def payloads(rows: DataFrame, text: str = "text") -> DataFrame:
-    """The chunks themselves as answers of kind -1, for grouping with the totals by chunk."""
+def stored_chunks(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows as chunks (chunk, payload), written to the shared folder: what a chunk holds is settled once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
             for part, _ in slices(batch, text):
-                yield pa.record_batch([
-                    pa.array([next_chunk(number)], pa.int64()), pa.array([PAYLOAD_KIND], pa.int32()), pa.array([0], pa.int32()),
-                    pa.array([payload(part)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                ], ["chunk", "kind", "bucket", "totals", "distinct", "total"])
+                yield pa.record_batch([pa.array([next_chunk(number)], pa.int64()), pa.array([payload(part)], pa.binary())], ["chunk", "payload"])
                 number += 1
 
-    return rows.mapInArrow(run, ANSWER)
+    return stage(rows.mapInArrow(run, "chunk long, payload binary"), "chunks")
+
+
+def each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Id and rows of every chunk."""
+    for batch in batches:
+        for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield chunk, unpayload(data.as_py())
+
+
+PAYLOAD_KIND = -1
+
+
+def with_payload(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Answers and the chunks themselves (kind -1, payload as totals), to be grouped by chunk."""
+    none = F.lit(None).cast("long")
+    own = chunks.select("chunk", F.lit(PAYLOAD_KIND).alias("kind"), F.lit(0).alias("bucket"), F.col("payload").alias("totals"), none.alias("distinct"), none.alias("total"))
+    return found.where("chunk >= 0").unionByName(own)
+
+
+def chunk_of(table: pa.Table) -> tuple[pa.RecordBatch, dict[int, list[tuple[int, bytes]]]]:
+    """Rows of a group of ``with_payload``, and its answers (bucket, totals) by kind."""
+    rows, parts = None, {}
+    for kind, bucket, data in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["totals"], strict=True):
+        if kind == PAYLOAD_KIND:
+            rows = unpayload(data.as_py())
+        else:
+            parts.setdefault(kind, []).append((bucket, data.as_py()))
+    return rows, parts

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from . import census
-from .batches import buffers, ragged, slices, text_column
+from .batches import buffers, ragged, text_column
 from .shingles import mix, word_hashes
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # outside of words: their hashes are these with a chance of 2^-63
@@ -100,8 +100,7 @@ def score(docs: DataFrame, train: str, order: int = 2, mu: float = MU, key: str
     ``train`` is an SQL condition on the columns of ``docs``: rows for which it is true are learned from, null counts as
     false. Words are runs of other than ASCII white space, A-Z in lower case; each text ends with one end token, null
     and empty texts have that only. Repeated rows are learned from and scored each. Counts are of 64-bit hashes of
-    n-grams: two of D distinct n-grams share one with a chance of D^2 / 2^65. ``docs`` must be read from files, so that
-    chunks are the same in both passes. Without documents the result is empty; without training documents N = V = 0.
+    n-grams: two of D distinct n-grams share one with a chance of D^2 / 2^65. Without documents the result is empty; without training documents N = V = 0.
     """
     buckets = census.bucket_count(docs, text)
     learned = F.coalesce(F.expr(train).cast("boolean"), F.lit(False))
@@ -109,24 +108,21 @@ def score(docs: DataFrame, train: str, order: int = 2, mu: float = MU, key: str
     kind = rows.schema["key"].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for batch in batches:
-            for part, texts in slices(batch, "text"):
-                grams, own = Grams(texts, order), np.asarray(part.column(1))
-                for k in range(order):
-                    yield census.request(census.next_chunk(number), k, grams.keys[k], grams.counts(k, own), buckets)
-                number += 1
-
-    found = stage(census.answers(rows.mapInArrow(ask, census.REQUEST)), "counts")
+        for chunk, part in census.each_chunk(batches):
+            grams, own = Grams(text_column(part, "text"), order), np.asarray(part.column(1).to_pylist(), bool)
+            for k in range(order):
+                yield census.request(chunk, k, grams.keys[k], grams.counts(k, own), buckets)
+
+    chunks = census.stored_chunks(rows)
+    found = stage(census.answers(chunks.mapInArrow(ask, census.REQUEST)), "counts")
     sums = found.where("chunk = -1 and kind = 0").agg(F.sum("distinct"), F.sum("total")).first()
     starts = rows.where("train").count()  # the start mark is counted as a key, but is no token
     distinct, tokens = (sums[0] or 0) - (starts > 0), (sums[1] or 0) - starts
 
     def scored(table: pa.Table) -> pa.Table:
-        kinds, parts = table["kind"].to_pylist(), table["bucket"].to_pylist()
-        batch = census.unpayload(table["totals"][kinds.index(census.PAYLOAD_KIND)].as_py())
+        batch, parts = census.chunk_of(table)
         grams = Grams(text_column(batch, "text"), order)
-        totals = [census.joined([(parts[i], table["totals"][i].as_py()) for i, x in enumerate(kinds) if x == k], grams.keys[k]) for k in range(order)]
+        totals = [census.joined(parts.get(k, []), grams.keys[k]) for k in range(order)]
         count = np.where(grams.depth > 0, totals[0][grams.place[0]], 0)
         base = np.where(grams.depth > 0, np.log10((count + 1) / (tokens + distinct + 1)), 0.0)
         model = Automaton(grams, totals, tokens, distinct, mu).run(grams)
@@ -137,6 +133,5 @@ def score(docs: DataFrame, train: str, order: int = 2, mu: float = MU, key: str
             pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(model, at)),
         ], ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    chunks = found.where("chunk >= 0").unionByName(census.payloads(rows))
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.groupBy("chunk").applyInArrow(scored, schema).withColumnRenamed("key", key)
+    return census.with_payload(found, chunks).groupBy("chunk").applyInArrow(scored, schema).withColumnRenamed("key", key)
