@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
 from .batches import slices
+from .stored import stage
 
 #: Bytes of text per bucket of keys; a bucket is handled by one task at a time.
 BUCKET_BYTES = 6 << 20

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from .stored import stage
+
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

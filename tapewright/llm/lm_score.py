@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
 from . import census
 from .batches import buffers, ragged, text_column
 from .shingles import mix, word_hashes
+from .stored import stage
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # outside of words: their hashes are these with a chance of 2^-63
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)

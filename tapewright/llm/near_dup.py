@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
 from .batches import buffers, slices
 from .graph import components
 from .shingles import SHINGLE, mix, shingle_hashes, word_hashes
+from .stored import stage
 
 BANDS, ROWS = 32, 4
 THRESHOLD = 75  # per cent

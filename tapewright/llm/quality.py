@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from .stored import stage
+
 
 #: Frequent function words; each is a bin of the word histogram. Two more bins: words without letter or
 #: digit, and all other words.

@@ -15,7 +15,8 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from .stored import stage
+
 
 #: Buckets of the global order. Part of the law: another number gives another shuffle. At 10^11 rows a bucket has 10^7.
 BUCKETS = 8192
