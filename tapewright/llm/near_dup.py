@@ -4,9 +4,10 @@ Shingles are placed on a circle of 2^32 by a first permutation; coordinate k of
 second permutation, shifted by k places along the circle. Two permutations thus give all 128 coordinates. 32 bands of
 4 make two sets of similarity 0.75 meet in a bucket but for a chance of 5 in a million.
 
-Documents with equal sets are one node. Within a bucket, members are compared with pivots, not with each other: first
-with the member that shares most buckets, then, in buckets whose members are not yet one component, with growing
-numbers of pivots until every pair in different components has been compared. Every link is confirmed on full sets.
+Documents with equal sets are one node. Within a bucket, members are compared with one pivot, the member that shares
+most buckets. Only where a bucket's members are not one component by then, those in different components are held
+against each other in blocks, so that no link is lost; pairs come out only where components are joined. Every link is
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ BANDS, ROWS = 32, 4
 THRESHOLD = 75  # per cent
 #: Members that are verified against one copy of their pivot; more are dealt over several copies.
 MEMBERS = 64
-#: Pivots of the first round after the central one; each further round doubles them.
-PIVOTS = 4
+#: Members of a bucket that a task holds against each other; larger buckets are cut into blocks, taken by twos.
+BLOCK = 512
 _STEP, _SPREAD, _LAST = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _CELL = 1 << 15
 
@@ -116,6 +117,109 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("pivot", "copy", "member", "doc", "text").mapInArrow(_verified, "a long, b long")
 
 
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lower 32 bits of the shingle hashes of each text, and how many hashes fell together."""
+    for batch in batches:
+        for part, texts in slices(batch, "text"):
+            hashes, at = shingle_hashes(*word_hashes(*buffers(texts)))
+            full = [np.unique(hashes[a:b]) for a, b in zip(at, at[1:], strict=False)]
+            short = [np.unique(f.astype(np.uint32)) for f in full]
+            yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in short], pa.binary()), pa.array([len(f) for f in full], pa.int64())], ["doc", "short", "n"])
+
+
+def shared_counts(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Upper bounds of the common shingles of all pairs of a block: common short hashes, and what may hide in equal ones."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    both = times[place] > 1
+    owner, column = owner[both], column[place[both]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    step = 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [low, low + step])
+        part = np.zeros((len(sets), step), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    hidden = sizes - np.array([len(s) for s in sets])
+    return np.round(out).astype(np.int64) + np.minimum(hidden[:, None], hidden[None, :])
+
+
+def _block_links(sparing: bool):
+    """Pairs (node, pivot) of a block that seem linked and are in different components.
+
+    ``sparing``: only as many as join the components that they join.
+    """
+    def found(rows: list[tuple]) -> list[tuple[int, int]]:
+        nodes, labels = [r[1] for r in rows], [r[2] for r in rows]
+        if len(set(labels)) < 2:
+            return []
+        sizes = np.array([r[4] for r in rows], np.int64)
+        common = shared_counts([np.frombuffer(r[3], np.uint32) for r in rows], sizes)
+        label, side = np.unique(labels, return_inverse=True)[1], np.array([r[5] for r in rows])
+        near = (100 * common >= THRESHOLD * (sizes[:, None] + sizes[None, :] - common)) & (label[:, None] != label[None, :])
+        if side.max() > 0:
+            near &= side[:, None] != side[None, :]
+        out, parent = [], list(range(len(rows)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i, j in np.argwhere(np.triu(near)).tolist():
+            a, b = root(label[i]), root(label[j])
+            if a != b or not sparing:
+                parent[a] = b
+                out.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            out = []
+            for block, *row in zip(*columns, strict=True):
+                if block != group:
+                    out += found(rows) if len(rows) > 1 else []
+                    group, rows = block, []
+                rows.append((block, *row))
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "pivot"])
+        a, b = zip(*out, strict=True) if (out := found(rows) if len(rows) > 1 else []) else ((), ())
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "pivot"])
+
+    return run
+
+
+def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets in which, besides the pivot, texts of different components meet."""
+    labelled = members.where("size > 2").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("bucket")
+    return stage(labelled.join(mixed, "bucket").select("bucket", "node", "label", "size"), "open")
+
+
+def linked_in_buckets(open_: DataFrame, texts: DataFrame, sparing: bool) -> DataFrame:
+    """Pairs of members of a bucket that seem linked and are in different components.
+
+    A bucket is cut into blocks of at most about ``BLOCK`` members; a task gets one block, or two to hold against each
+    other, and counts what their sets have in common by products of 0-1 matrices. Pairs are not made but where linked.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cut = cut.withColumn("other", other)
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    key = F.when(low == high, F.xxhash64("bucket", low)).otherwise(F.xxhash64("bucket", low, high))
+    cut = cut.select(F.col("node").alias("doc"), "label", key.alias("block"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") == low, 1).otherwise(2).alias("side"))
+    short = stage(texts.select("doc", "text").mapInArrow(_short_sets, "doc long, short binary, n long"), "short")
+    rows = cut.join(short, "doc").select("block", "doc", "label", "short", "n", "side")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_block_links(sparing), "node long, pivot long")
+
+
 def _even(a: str, b: str):
     """Sizes allow the similarity: the smaller set has 75 % of the larger one at least."""
     return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
@@ -149,29 +253,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = members.join(heads, "bucket").select("node", (-F.col("head.minus")).alias("pivot"), "n", F.col("head.n").alias("pivot_n"))
     pairs = stage(pairs.where("node <> pivot").where(_even("n", "pivot_n")).select("node", "pivot").distinct(), "pairs")
     links = links.union(stage(confirmed(pairs, texts), "links"))
-    tested = _ordered(pairs)
 
-    low, high = 0, PIVOTS
     found = components(links)
-    while True:
-        labelled = members.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("size").alias("most")).where("l < h and most > " + str(low))
-        open_ = stage(labelled.join(mixed.select("bucket"), "bucket").withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30) * F.col("size")), "open")
+    for sparing in (True, False):
+        open_ = unresolved(members, found)
         if open_.isEmpty():
             break
-        turns = open_.where(F.col("turn").between(low, high) & (F.col("turn") < high)).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-        pairs = open_.where(F.col("turn") >= low).join(turns, "bucket").where("label <> pivot_label").where(_even("n", "pivot_n"))
-        pairs = stage(_ordered(pairs).distinct().join(tested, ["node", "pivot"], "left_anti"), "pairs")
-        links = links.union(stage(confirmed(pairs, texts), "links"))
-        tested = tested.union(pairs)
+        pairs = stage(linked_in_buckets(open_, texts, sparing).distinct(), "pairs")
+        fresh = stage(confirmed(pairs, texts).distinct(), "links")
+        links = links.union(fresh)
         found = components(links)
-        low, high = high, high + 2 * (high - low)
+        if pairs.count() == fresh.count():  # a refuted pair may have stood in for another one: then all are tried
+            break
 
     whole = placed.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     single = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = whole.union(single).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     return out.withColumnRenamed("doc_id", key)
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))

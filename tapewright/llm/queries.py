@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, lm_score, near_dup, piece_bpe, quality, repeats, secrets, sharding
+from . import byte_bpe, decontaminate, html_text, lm_score, near_dup, piece_bpe, quality, repeats, secrets, sharding
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +67,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select("row.doc_id", *base, "class_distance", "word_distance")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article text of every page."""
+    return html_text.extract(pages(spark, sf_dir), html_text.trained(pages(spark, sf_dir)))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without the 50-byte strings of documents with smaller ids."""
     return repeats.remove_repeats(documents(spark, sf_dir), digest=True)
@@ -92,6 +101,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
+    "op7_html_text": op7_html_text,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,

@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from tapewright.llm import graph, near_dup, queries
 from tapewright.llm.shingles import plain_shingles
 
@@ -79,9 +81,10 @@ def test_query(spark):
     assert got(queries.op5_near_duplicates(spark, sf)) == brute(rows)
 
 
-def test_pairs_of_middling_similarity_meet_later_pivots(spark, monkeypatch):
-    """Many texts share 60 % of their words and few are linked: no pair may be lost in the rounds."""
-    monkeypatch.setattr(near_dup, "PIVOTS", 1)
+@pytest.mark.parametrize("block", [7, 512])
+def test_pairs_of_middling_similarity_meet_in_blocks(spark, monkeypatch, block):
+    """Many texts share 60 % of their words and few are linked: no pair may be lost."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rng = random.Random(8)
     common = [f"c{i}" for i in range(60)]
     rows = []
