@@ -24,6 +24,8 @@ from .stored import stage
 
 #: Bytes of text per bucket of keys; a bucket is handled by one task at a time.
 BUCKET_BYTES = 6 << 20
+#: Bytes of text per chunk; a task holds the keys of one chunk at a time.
+CHUNK_BYTES = 5 << 20
 REQUEST = "bucket int, chunk long, kind int, keys binary, counts binary"
 ANSWER = "chunk long, kind int, bucket int, totals binary, distinct long, total long"
 
@@ -129,7 +131,7 @@ def stored_chunks(rows: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
-            for part, _ in slices(batch, text):
+            for part, _ in slices(batch, text, CHUNK_BYTES):
                 yield pa.record_batch([pa.array([next_chunk(number)], pa.int64()), pa.array([payload(part)], pa.binary())], ["chunk", "payload"])
                 number += 1
 
