@@ -23,7 +23,7 @@ from .batches import slices
 from .stored import stage
 
 #: Bytes of text per bucket of keys; a bucket is handled by one task at a time.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes of text per chunk; a task holds the keys of one chunk at a time.
 CHUNK_BYTES = 5 << 20
 REQUEST = "bucket int, chunk long, kind int, keys binary, counts binary"

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import census
 from .batches import buffers, text_column
-from .shingles import _VALUES, _power_tables, mix
+from .shingles import _VALUES, BLOCK, mix, power_tables
 from .stored import stage
 
 LENGTH, GRAM = 50, 16
@@ -40,12 +40,21 @@ class Anchors:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         self.raw, self.offsets = raw, offsets
+        blocks = [self._of_block(low, min(low + BLOCK, len(raw))) for low in range(0, len(raw) - LENGTH + 1, BLOCK)]
+        at, first, last, keys = (np.concatenate(c) for c in zip((np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),), *blocks, strict=True))
+        again = np.zeros(len(at), bool)  # windows of one anchor on both sides of a block's edge
+        again[1:] = (at[1:] == at[:-1]) & (first[1:] == last[:-1] + 1)
+        ends = np.flatnonzero(~np.append(again[1:], False))
+        self.at, self.first, self.last, self.keys = at[~again], first[~again], last[ends], keys[~again]
+        self.text = np.searchsorted(offsets, self.at, "right") - 1
+
+    def _of_block(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors of the windows that start in a block of bytes: place, first and last window, key."""
+        raw, offsets = self.raw[low:high + LENGTH - 1], self.offsets
         none = np.zeros(0, np.int64)
-        self.at = self.first = self.last = self.text = none
-        self.keys = np.zeros(0, np.uint64)
         if len(raw) < LENGTH:
-            return
-        powers, inverse = _power_tables(len(raw))
+            return none, none, none, np.zeros(0, np.uint64)
+        powers, inverse = power_tables(len(raw))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_VALUES[raw] * powers[: len(raw)], out=sums[1:])
         hashes = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(raw) - GRAM + 1])
@@ -56,17 +65,18 @@ class Anchors:
             span *= 2
         if span < WINDOWS:
             least = np.minimum(least[: len(least) - (WINDOWS - span)], least[WINDOWS - span:])
-        ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
+        one, two = np.searchsorted(offsets, [low, low + len(least) - 1], "right") - 1
+        bounds = np.clip(offsets[one:two + 2], low, low + len(least)) - low
+        ends = np.repeat(offsets[one + 1:two + 2] - low, np.diff(bounds))
         starts = np.flatnonzero(np.arange(LENGTH, LENGTH + len(least)) <= ends)
         if not len(starts):
-            return
+            return none, none, none, np.zeros(0, np.uint64)
         place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.ones(len(starts), bool)
         new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
         begin = np.flatnonzero(new)
-        self.at, self.first, self.last = place[begin], starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
-        self.text = np.searchsorted(offsets, self.at, "right") - 1
-        self.keys = hashes[self.at]
+        last = starts[np.append(begin[1:], len(starts)) - 1]
+        return place[begin] + low, starts[begin] + low, last + low, hashes[place[begin]]
 
     def documents_per_key(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, whether one or more ids hold them (1 or 2), and the key of every anchor."""

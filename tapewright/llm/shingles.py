@@ -17,25 +17,25 @@ _VALUES[65:91] = _VALUES[97:123]  # A-Z as a-z
 _PLACES = _rng.integers(1, 1 << 64, 64, np.uint64) | np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes that are hashed at a time: arrays of eight bytes for each of them stay small.
+BLOCK = 1 << 20
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int, known={}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006 - tables of the worker process
     """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        if size <= 1 << 24:
-            _powers.clear()
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            tables.append(out)
-        if size > 1 << 24:
-            return tables[0], tables[1]
-        _powers[size] = (tables[0], tables[1])
-    return _powers[size]
+    if 2 * BLOCK not in known:
+        known[2 * BLOCK] = _powers(2 * BLOCK)
+    return known[2 * BLOCK] if n <= 2 * BLOCK else _powers(n)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        np.multiply.accumulate(out, out=out)
+        tables.append(out)
+    return tables[0], tables[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,10 +56,18 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     first[1:] &= ~ink[:-1] | edge[1:-1]
     last[:-1] &= ~ink[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    powers, inverse = _power_tables(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * powers[: len(raw)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    hashes = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):  # words of a block, the last of which may reach beyond it
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + BLOCK)))
+        base = starts[low]
+        part = raw[base:ends[high - 1]]
+        powers, inverse = power_tables(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUES[part] * powers[: len(part)], out=sums[1:])
+        begin, end = starts[low:high] - base, ends[low:high] - base
+        hashes[low:high] = mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        low = high
     return hashes, np.searchsorted(starts, offsets)
 
 

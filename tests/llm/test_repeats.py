@@ -66,7 +66,18 @@ def test_merge_of_front_coded_runs():
         assert a[:s] == b[:s] and (s == repeats.WIDTH or a[s] != b[s])
 
 
-def test_equals_brute_force(spark, monkeypatch):
+def test_blocks_do_not_matter(monkeypatch):
+    raw = np.frombuffer("".join(t or "" for _, t in made(9)).encode(), np.uint8)
+    offsets = np.array([0, 10, 10, 700, 3000, 3049, len(raw) - 5, len(raw)])
+    want = repeats.Anchors(raw, offsets)
+    for block in (64, 1000, 4096):
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        got = repeats.Anchors(raw, offsets)
+        for name in ("at", "first", "last", "keys", "text"):
+            assert np.array_equal(getattr(got, name), getattr(want, name)), (block, name)
+
+
+def test_equals_brute_force(spark):
     rows = made()
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, kept string").repartition(6)
     got = repeats.remove_repeats(docs, digest=True)
