@@ -23,6 +23,7 @@ from tapewright.models.base import FittedForecaster, Forecaster, prediction_name
 from tapewright.models.spaces import Choice, Steps, Uniform
 from tapewright.operators.columns import split_types
 from tapewright.operators.gram import gram_table, unpack
+from tapewright.operators.joins import join_models
 from tapewright.operators.prep import Fill, Inputs, fill_values, imputed, literal
 from tapewright.session import stage
 
@@ -149,7 +150,7 @@ class ElasticNet(Forecaster):
 
     @classmethod
     def search_space(cls) -> dict[str, Any]:
-        # Ranges of the tuned parameters.
+        # Ranges of the tuned parameters (the defaults above are fixed as well).
         return {
             "alpha": Uniform(1e-5, 1e-2, log=True),
             "l1_ratio": Uniform(0.0, 1.0),
@@ -158,18 +159,22 @@ class ElasticNet(Forecaster):
         }
 
     def grams(self, rows: DataFrame, inputs: Inputs, targets: Sequence[str], fill: Fill, group: Sequence[str] = ()) -> DataFrame:
-        """Cross products of the imputed inputs, less their medians, and the targets per scope and ``group``."""
+        """Cross products of the imputed inputs, less their medians, and the targets, less their level, per scope and ``group``.
+
+        Errors and r2 do not change with the level; sums of squares of large levels would hide them.
+        """
         known = fill.attach(rows.na.drop(subset=list(targets)))
-        return gram_table(known, [*self.scope, *group], imputed(inputs, shifted=True), [F.col(t).cast("double") for t in targets])
+        return gram_table(known, [*self.scope, *group], imputed(inputs, shifted=True), [F.col(t).cast("double") - F.coalesce("target_level", F.lit(0.0)) for t in targets])
 
     def fit(self, train: DataFrame, features: Sequence[str], targets: Sequence[str], val: DataFrame | None = None, params: DataFrame | None = None) -> FittedElasticNet:
         """``params`` may hold (scope..., alpha, l1_ratio, max_iter) when every series has its own."""
         inputs = Inputs.of(*split_types(features))
         known = train.na.drop(subset=list(targets))
-        fill = fill_values(known, inputs, self.scope)
+        fill = fill_values(known, inputs, self.scope, targets)
         grams = self.grams(known, inputs, targets, fill)
         if params is not None and self.scope:
-            grams = grams.join(params.select(*self.scope, "alpha", "l1_ratio", "max_iter"), list(self.scope))
+            grams = join_models(grams, params.select(*self.scope, "alpha", "l1_ratio", "max_iter"), self.scope)
+            grams = grams.withColumns({c: F.coalesce(c, F.lit(getattr(self, c))) for c in ("alpha", "l1_ratio", "max_iter")})
         else:
             grams = grams.withColumns({"alpha": F.lit(self.alpha), "l1_ratio": F.lit(self.l1_ratio), "max_iter": F.lit(self.max_iter)})
         p, numeric, names = len(inputs.encoded), len(inputs.numeric), list(self.scope)
@@ -190,9 +195,9 @@ class ElasticNet(Forecaster):
         # the cross products are of inputs less their medians; move that into the intercept
         def unshift(b: Column, w: Column) -> Column:
             moved = F.zip_with(F.slice(w, 1, numeric), F.col("medians"), lambda a, m: a * F.coalesce(m, F.lit(0.0)))
-            return b - F.aggregate(moved, F.lit(0.0), lambda s, v: s + v)
+            return b - F.aggregate(moved, F.lit(0.0), lambda s, v: s + v) + F.col("target_level")
 
-        table = fill.attach(fitted).withColumn("bias", F.zip_with("bias", "weights", unshift))
+        table = fill.attach(fitted).withColumn("bias", F.zip_with("bias", "weights", unshift)).drop("target_level")
         return FittedElasticNet(stage(table, "elastic-net"), inputs, len(targets), self.scope)
 
 
@@ -219,7 +224,7 @@ class FittedElasticNet(FittedForecaster):
     def attach(self, df: DataFrame) -> DataFrame:
         """Rows with the fill values, weights and bias of their model."""
         if self.scope:
-            return df.join(self.table.select(*self.scope, *PARTS), list(self.scope))
+            return join_models(df, self.table.select(*self.scope, *PARTS), self.scope)
         row = self.table.first()
         return df.withColumns({c: literal(row[c], kind) for c, kind in PARTS.items()})
 

@@ -53,11 +53,11 @@ def gram_table(rows: DataFrame, group: Sequence[str], x: Sequence[Column], y: Se
             schema = batch.schema
             z = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
             if names:
-                where = pd.DataFrame({c: batch.column(i).to_pandas() for i, c in enumerate(names)}).groupby(names, sort=False).indices
+                where = pd.DataFrame({c: batch.column(i).to_pandas() for i, c in enumerate(names)}).groupby(names, sort=False, dropna=False).indices
             else:
                 where = {(): slice(None)}
             for key, at in where.items():
-                key = key if isinstance(key, tuple) else (key,)
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
                 sums[key] = sums.get(key, 0.0) + z[at].T @ z[at]
             if len(sums) > FLUSH_GROUPS:
                 yield emit(sums, schema)

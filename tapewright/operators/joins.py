@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.operators.series import KEYS
+from tapewright.session import stage
 
-HOT_KEYS = 1000
+#: Rows of one key that a task may get; more frequent keys are dealt over several tasks.
+ROWS_PER_TASK = 1_000_000
+#: Frequent keys up to which their list is sent to all tasks; beyond it the list is joined like any other table.
+BROADCAST_KEYS = 500_000
 
 
 def duplicate_dates(price: DataFrame, keys=KEYS) -> DataFrame:
@@ -25,28 +30,40 @@ def check_unique_dates(price: DataFrame, keys=KEYS) -> DataFrame:
     return price
 
 
-def spread_join(big: DataFrame, unique: DataFrame, on: Sequence[str], salts: int = 16, hot: int = 1_000_000) -> DataFrame:
+def frequent_keys(big: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more rows than a task may get, and ``_salts``, the tasks that their rows need."""
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
+    return counts.select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
+
+
+def spread_join(big: DataFrame, unique: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Left join on keys that are unique on the right and may be very frequent on the left.
 
-    The most frequent keys with more than ``hot`` rows are spread over ``salts`` tasks: their
-    left rows are salted by the row's own content, their single right row is copied once per
-    salt.  The list is cut to ``HOT_KEYS``, which bounds its broadcast; a key beyond the cut
-    holds less than 1 / HOT_KEYS of the rows and needs no salt.  No row is dropped.
+    A key with more than ``rows_per_task`` rows is dealt over as many tasks as its count asks
+    for: its left rows are salted by the row's own content, its single right row is copied
+    once per salt.  All such keys are dealt; their list is counted before it is broadcast, and
+    a longer one is joined by key, where adaptive execution splits large partitions.
     """
     on = list(on)
-    frequent = F.broadcast(
-        big.groupBy(*on).count().where(F.col("count") > hot).orderBy(F.col("count").desc()).limit(HOT_KEYS)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
+    frequent = stage(frequent_keys(big, on, rows_per_task), "frequent")
+    if frequent.count() <= BROADCAST_KEYS:
+        frequent = F.broadcast(frequent)
     others = [c for c in big.columns if c not in on]
-    place = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int") if others else F.lit(0)
-    left = big.join(frequent, on, "left").withColumn("_salt", F.when(F.col("_hot"), place).otherwise(F.lit(0)))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = unique.join(frequent, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.drop("_hot").join(right, [*on, "_salt"], "left").drop("_salt")
+    salts = F.coalesce("_salts", F.lit(1))
+    place = F.pmod(F.xxhash64(*others), salts).cast("int") if others else F.lit(0)
+    left = big.join(frequent, on, "left").withColumn("_salt", place).drop("_salts")
+    right = unique.join(frequent, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+
 
+def join_models(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every row with the columns of its series' model: NULL where there is none; NULL keys are a series too."""
+    renamed = table.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return df.join(renamed, match, "left").drop(*[f"_of_{k}" for k in keys])
 
-def merge_price_news(price: DataFrame, news: DataFrame, keys=KEYS, validate: bool = False, many: bool = False, hot: int = 1_000_000) -> DataFrame:
+
+def merge_price_news(price: DataFrame, news: DataFrame, keys=KEYS, validate: bool = False, many: bool = False, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Every price row with the news of its date, if any; one-to-many.
 
     ``validate`` checks the one side first.  Skip it where prices come from an aggregation by
@@ -61,7 +78,7 @@ def merge_price_news(price: DataFrame, news: DataFrame, keys=KEYS, validate: boo
     on = [*keys, "date"]
     if not many:
         return price.join(news, on, "left")
-    found = spread_join(news, price.withColumn("_price", F.lit(True)), on, hot=hot).where(F.col("_price")).drop("_price")
+    found = spread_join(news, price.withColumn("_price", F.lit(True)), on, rows_per_task).where(F.col("_price")).drop("_price")
     bare = price.join(news.select(*on).distinct(), on, "left_anti")
     columns = [*price.columns, *[c for c in news.columns if c not in on]]
     return found.select(*columns).unionByName(bare, allowMissingColumns=True)
@@ -71,8 +88,3 @@ def missing_news_dates(price: DataFrame, news: DataFrame, keys=KEYS) -> DataFram
     """Distinct price dates without any news."""
     on = [*keys, "date"]
     return price.select(*on).distinct().join(news.select(*on).distinct(), on, "left_anti")
-
-
-def align_steps(forecast: DataFrame, actual: DataFrame, on: Sequence[str] = ("symbol", "step")) -> DataFrame:
-    """Forecast and actual of the same step; the longer side is cut."""
-    return forecast.join(actual, list(on))

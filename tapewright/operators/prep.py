@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.operators.joins import join_models
 from tapewright.operators.quantiles import exact_quantiles
 
 # All levels of the calendar parts.
@@ -50,13 +51,14 @@ class Fill:
     scope: tuple[str, ...] = ()
     medians: tuple[float | None, ...] = ()
     modes: tuple[int | None, ...] = ()
+    level: float = 0.0  # mean of all targets, in the table where there is one
 
     def columns(self) -> dict[str, Column]:
         """The values of a single model as literals."""
-        return {"medians": literal(self.medians, "array<double>"), "modes": literal(self.modes, "array<int>")}
+        return {"medians": literal(self.medians, "array<double>"), "modes": literal(self.modes, "array<int>"), "target_level": F.lit(self.level)}
 
     def attach(self, df: DataFrame) -> DataFrame:
-        return df.join(self.table, list(self.scope)) if self.scope else df.withColumns(self.columns())
+        return join_models(df, self.table, self.scope) if self.scope else df.withColumns(self.columns())
 
 
 def literal(values, kind: str) -> Column:
@@ -64,22 +66,25 @@ def literal(values, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def fill_values(df: DataFrame, inputs: Inputs, scope: Sequence[str] = ()) -> Fill:
+def fill_values(df: DataFrame, inputs: Inputs, scope: Sequence[str] = (), targets: Sequence[str] = ()) -> Fill:
     """Median of every numeric and mode (lowest on a tie) of every categorical input.
 
     Per series the medians are grouped aggregates over a bounded series.  Without scope, one
     model for all rows, the bracketing algorithm of ``exact_quantiles`` keeps memory bounded.
-    A column without any value gets no median and is left out of the model.
+    A column without any value gets no median and is left out of the model.  With ``targets``
+    also their common mean.
     """
+    means = F.array_compact(F.array(*[F.avg(F.col(t).cast("double")) for t in targets])) if targets else F.array().cast("array<double>")
+    level = F.when(F.size(means) > 0, F.aggregate(means, F.lit(0.0), lambda a, x: a + x) / F.size(means)).otherwise(0.0).alias("target_level")
     num, cat = inputs.numeric, inputs.categorical
     if scope:
         known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in num]
         medians = F.array(*[F.percentile(x, F.lit(0.5)) for x in known])
         modes = F.array(*[_mode(c).cast("int") for c in cat]) if cat else F.array().cast("array<int>")
-        return Fill(df.groupBy(*scope).agg(medians.cast("array<double>").alias("medians"), modes.alias("modes")), tuple(scope))
-    total, *modes = df.agg(F.count(F.lit(1)), *[_mode(c).cast("int").alias(c) for c in cat]).first()
+        return Fill(df.groupBy(*scope).agg(medians.cast("array<double>").alias("medians"), modes.alias("modes"), level), tuple(scope))
+    total, level, *modes = df.agg(F.count(F.lit(1)), level, *[_mode(c).cast("int").alias(c) for c in cat]).first()
     found = exact_quantiles(df, num, [0.5], total=total) if num else {}
-    return Fill(medians=tuple(found[c][0] for c in num), modes=tuple(modes))
+    return Fill(medians=tuple(found[c][0] for c in num), modes=tuple(modes), level=level)
 
 
 def imputed(inputs: Inputs, shifted: bool = False) -> list[Column]:

@@ -2,9 +2,11 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer, which is fine for a daily
 series and fatal for a column of 10^12 rows.  Here the bracket around each wanted order
-statistic shrinks: one pass counts rows per equal-width bucket, the bucket that holds the
-rank becomes the next bracket.  With 1024 buckets three passes narrow 10^12 rows to about a
-thousand.  Only bucket counts reach the driver.
+statistic shrinks: one pass counts rows per bucket, the bucket that holds the rank becomes the
+next bracket.  Buckets are of equal width in turns on the scale of the values and on that of
+their signed logarithm, so that long tails narrow as fast as even spreads.  A bracket
+spans the least and greatest value in it, which fall in its first and last bucket: it shrinks
+with each pass.  Infinities are set aside and counted.  Only bucket counts reach the driver.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        finite = F.when(F.abs(F.col(c)) < math.inf, F.col(c))
+        aggs += [F.count(c).alias(f"n{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"),
+                 F.count_if(F.col(c) == -math.inf).alias(f"less{i}"), F.count(finite).alias(f"in{i}")]
     head = df.agg(*aggs).first()
     size = {c: head[f"n{i}"] for i, c in enumerate(cols)}
 
@@ -40,23 +44,32 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     many = [(i, c) for i, c in enumerate(cols) if size[c] > small]
     if many:
-        wanted = {}
+        wanted, outside = {}, {}
         for i, c in many:
             for p in probs:
                 at = p * (size[c] - 1)
                 for k in {math.floor(at), math.ceil(at)}:
-                    wanted[(c, k)] = (head[f"lo{i}"], head[f"hi{i}"], k)
-        stats = _order_statistics(df, wanted, size, small, buckets)
+                    inner = k - head[f"less{i}"]
+                    if 0 <= inner < head[f"in{i}"]:
+                        wanted[(c, k)] = (head[f"lo{i}"], head[f"hi{i}"], inner)
+                    else:
+                        outside[(c, k)] = -math.inf if inner < 0 else math.inf
+        stats = {**_order_statistics(df, wanted, size, small, buckets), **outside}
         for _, c in many:
             row = []
             for p in probs:
                 at = p * (size[c] - 1)
                 low, high = stats[(c, math.floor(at))], stats[(c, math.ceil(at))]
-                row.append(low + (high - low) * (at - math.floor(at)))
+                row.append(low if low == high else low + (high - low) * (at - math.floor(at)))
             found[c] = row
     return found
 
 
+def _bent(x: float) -> float:
+    """Signed logarithm: ascending, and even over long tails."""
+    return math.copysign(math.log1p(abs(x)), x)
+
+
 def _small_quantiles(df, cols, probs):
     """Columns with few values: the built-in aggregate, one group per column."""
     long = df.unpivot([], list(cols), "column", "value")
@@ -68,6 +81,7 @@ def _order_statistics(df, wanted, size, small, buckets):
     """{(column, k): k-th smallest value}; ``wanted`` holds (low, high, rank inside)."""
     done: dict[tuple[str, int], float] = {}
     left = {task: int(size[task[0]]) for task in wanted}
+    bent = False
     while True:
         for task in [t for t in wanted if wanted[t][0] == wanted[t][1]]:
             done[task] = wanted.pop(task)[0]
@@ -79,7 +93,12 @@ def _order_statistics(df, wanted, size, small, buckets):
         for i, (c, _) in enumerate(names):
             low, high, _k = wide[names[i]]
             x = F.col(c)
-            place = F.least(F.floor((x - low) / (high - low) * buckets), F.lit(buckets - 1)).cast("int")
+            part = (x - low) / (high - low) if math.isfinite(high - low) else (x / 2 - low / 2) / (high / 2 - low / 2)
+            if bent and _bent(low) < _bent(high):
+                part = (F.signum(x) * F.log1p(F.abs(x)) - _bent(low)) / (_bent(high) - _bent(low))
+            place = F.greatest(F.least(F.floor(part * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int")
+            # the ends of the bracket are in the end buckets whatever rounding does
+            place = F.when(x == low, 0).when(x == high, buckets - 1).otherwise(place)
             parts.append(F.when(x.between(low, high), F.struct(F.lit(i).alias("task"), place.alias("bucket"), x.alias("x"))))
         counts = (
             df.select(F.inline(F.array_compact(F.array(*parts))))
@@ -87,6 +106,7 @@ def _order_statistics(df, wanted, size, small, buckets):
             .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
             .collect()
         )
+        bent = not bent
         for i, task in enumerate(names):
             rank = wide[task][2]
             for r in sorted((r for r in counts if r["task"] == i), key=lambda r: r["bucket"]):

@@ -29,10 +29,11 @@ def dedupe_last(df: DataFrame, keys=("symbol", "date"), arrival: str = "seq") ->
     return keep_first(df, keys, [F.col(arrival).desc()], 1)
 
 
-def trim_news(df: DataFrame, per_day: int = 20, total: int = 1000, keys=KEYS, arrival: str = "seq") -> DataFrame:
-    """First ``per_day`` headlines of each date, then the last ``total`` of each series."""
-    daily = keep_first(df, [*keys, "date"], [F.col(arrival)], per_day)
-    return last_rows(daily, total, keys, ("date", arrival))
+def trim_news(df: DataFrame, per_day: int | None = 20, total: int | None = 1000, keys=KEYS, arrival: str = "seq") -> DataFrame:
+    """First ``per_day`` headlines of each date, then the last ``total`` of each series; None leaves a cut out."""
+    if per_day is not None:
+        df = keep_first(df, [*keys, "date"], [F.col(arrival)], per_day)
+    return df if total is None else last_rows(df, total, keys, ("date", arrival))
 
 
 def history_window(df: DataFrame, rows: int = 200, keys=KEYS, order=("date",)) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.utils import AnalysisException
 from tapewright.functions.arrays import flatten_dims
 from tapewright.functions.numeric import softmax
 from tapewright.functions.text import occurrences, text_key, text_or_empty
-from tapewright.operators.joins import spread_join
+from tapewright.operators.joins import ROWS_PER_TASK, spread_join
 from tapewright.operators.series import KEYS
 from tapewright.schemas import SENTIMENT_COLUMNS
 
@@ -114,10 +114,15 @@ class ScoreCache:
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame:
+        """One row per text, also where two writers scored it; a missing folder is an empty cache."""
         try:
-            return self.spark.read.schema(SCORE_SCHEMA).parquet(self.path)
-        except AnalysisException:
+            rows = self.spark.read.schema(SCORE_SCHEMA).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], SCORE_SCHEMA)
+        values = [c for c in rows.columns if c != "text_key"]
+        return rows.groupBy("text_key").agg(F.min(F.struct(*values)).alias("_s")).select("text_key", "_s.*").select(rows.columns)
 
     def misses(self, news: DataFrame, text: str = "headline") -> DataFrame:
         """Distinct texts without a score.
@@ -133,11 +138,11 @@ class ScoreCache:
         scored.where(F.col("pos").isNotNull()).write.mode("append").parquet(self.path)
 
 
-def score_cached(news: DataFrame, cache: ScoreCache, scorer: Scorer, text: str = "headline", salts: int = 16, hot: int = 1_000_000) -> DataFrame:
+def score_cached(news: DataFrame, cache: ScoreCache, scorer: Scorer, text: str = "headline", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Scores through the cache: each distinct text is scored once."""
     cache.fill(news, scorer, text)
     keyed = news.withColumn("text_key", text_key(text))
-    return add_polarity(spread_join(keyed, cache.read(), ["text_key"], salts, hot)).drop("text_key")
+    return add_polarity(spread_join(keyed, cache.read(), ["text_key"], rows_per_task)).drop("text_key")
 
 
 def aggregate_daily(scored: DataFrame, dims: int | None = 17, text: str = "headline", keys=KEYS) -> DataFrame:

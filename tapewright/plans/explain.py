@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tapewright.models.boosted_trees import FittedTrees
 from tapewright.models.elastic_net import FittedElasticNet
+from tapewright.operators.joins import join_models
 from tapewright.operators.prep import imputed, literal
 from tapewright.operators.sampling import head_rows, seeded_sample
 from tapewright.session import stage_path
@@ -28,22 +29,24 @@ def linear_attribution(model: FittedElasticNet, rows: DataFrame, base: DataFrame
     """phi = weight * (x - mean of x over the background): (keep..., horizon, feature, phi, base).
 
     ``base`` is the mean prediction over the background, so prediction = base + sum of phi.
+    Every row has every input at every horizon, with weight 0 too.  A model per series takes
+    the background rows of its series.
     """
-    if model.scope:
-        raise ValueError("attributions are for a model of all series; filter one series for its own model")
-    enc, row = model.inputs.encoded, model.table.first()
-    means = list(model.attach(base).select(*imputed(model.inputs)).agg(*[F.avg(c).alias(c) for c in enc]).first())
-    expected = [bias + sum(w * m for w, m in zip(weights, means)) for weights, bias in zip(row["weights"], row["bias"])]
-    centred = model.attach(rows).withColumn(
-        "_d", F.zip_with(F.array(*imputed(model.inputs)), literal(means, "array<double>"), lambda x, m: x - m)
-    )
-    per_horizon = F.posexplode(F.arrays_zip("weights", literal(expected, "array<double>").alias("base")))
+    enc, scope = model.inputs.encoded, list(model.scope)
+    means = model.attach(base).select(*scope, *imputed(model.inputs)).groupBy(*scope).agg(F.array(*[F.avg(c) for c in enc]).alias("_means"))
+    known = model.attach(rows)
+    if scope:
+        known = join_models(known, means, scope)
+    else:
+        known = known.withColumn("_means", literal(means.first()["_means"], "array<double>"))
+    expected = F.zip_with("weights", "bias", lambda w, b: b + F.aggregate(F.zip_with(w, F.col("_means"), lambda x, m: x * m), F.lit(0.0), lambda a, v: a + v))
+    centred = known.withColumn("_d", F.zip_with(F.array(*imputed(model.inputs)), "_means", lambda x, m: x - m)).withColumn("_base", expected)
+    per_horizon = F.posexplode(F.arrays_zip("weights", F.col("_base").alias("base")))
     long = centred.select(*keep, "_d", per_horizon.alias("_h", "_m"))
     names = F.array(*[F.lit(n) for n in enc])
     per_input = F.inline(F.arrays_zip(names.alias("feature"), F.col("_m.weights").alias("weight"), F.col("_d").alias("gap")))
     return (
         long.select(*keep, (F.col("_h") + 1).alias("horizon"), F.col("_m.base").alias("base"), per_input)
-        .where(F.col("weight") != 0)
         .select(*keep, "horizon", "feature", (F.col("weight") * F.col("gap")).alias("phi"), "base")
     )
 
@@ -77,13 +80,13 @@ def sampled_shapley(predict, x: np.ndarray, base: np.ndarray, rounds: int, rng:
     return phi / (2 * rounds)
 
 
-def kernel_attribution(predictors: Sequence, encoded: DataFrame, inputs: Sequence[str], base: DataFrame, keep: Sequence[str], rounds: int = 4, seed: int = 42) -> DataFrame:
+def kernel_attribution(predictors: Sequence, encoded: DataFrame, inputs: Sequence[str], base: DataFrame, keep: Sequence[str], rounds: int = 4, seed: int = 42, size: int = BACKGROUND) -> DataFrame:
     """Model-agnostic attributions of rows that hold the encoded ``inputs``.
 
     ``predictors``: one function matrix -> vector per horizon.  The background is an ordered
-    sample of at most 50 rows, so what travels with the tasks has a fixed size.
+    sample of at most ``size`` rows, so what travels with the tasks has a fixed size.
     """
-    sample = head_rows(base.select(*keep, *inputs), keep, BACKGROUND).select(*inputs)
+    sample = head_rows(base.select(*keep, *inputs), keep, size).select(*inputs)
     ground = np.array([list(r) for r in sample.collect()], dtype=float)
     names, kept = list(inputs), list(keep)
 

@@ -16,13 +16,12 @@ from tapewright.operators.columns import require_columns
 from tapewright.operators.enrich import enrich_news
 from tapewright.operators.features import inference_rows
 from tapewright.operators.guards import news_violations, price_violations
+from tapewright.operators.joins import check_unique_dates
 from tapewright.operators.sampling import dedupe_last, trim_news
 from tapewright.operators.sentiment import LexiconScorer, add_polarity, aggregate_daily
 from tapewright.operators.series import KEYS, add_successor, series_window
 from tapewright.schemas import PRICE_COLUMNS
 
-MAX_HORIZON = 30
-
 
 def request_violations(price: DataFrame, news: DataFrame | None, keys=KEYS) -> DataFrame:
     """Series that break a request limit, with the table and the reason."""
@@ -41,24 +40,29 @@ def batch_forecast(
     enrich: bool = False,
     back: int = 7,
     dims: int = 17,
-    limits: bool = True,
+    limits: bool = False,
     arrival: str = "seq",
     keys=KEYS,
+    per_day: int | None = None,
+    total: int | None = None,
 ) -> DataFrame:
-    """One forecast row per series.
+    """One forecast row per series; the path is NULL where the model does not know the series.
 
-    ``limits`` leaves out series that break a request limit (:func:`request_violations` lists
-    them); it is meant for request-sized inputs.
+    All series, rows and headlines are used unless asked otherwise: ``limits`` leaves out
+    series that break a request limit (:func:`request_violations` lists them), ``per_day`` and
+    ``total`` cut the headlines of a request.  Only the model's own horizon bounds the path.
+    Without an ``arrival`` column price dates must be unique.
     """
     require_columns(price, PRICE_COLUMNS)
-    horizon = min(horizon, MAX_HORIZON)
     if arrival in price.columns:
         price = dedupe_last(price, [*keys, "date"], arrival).drop(arrival)
+    else:
+        check_unique_dates(price, keys)
     if limits:
         price = price.join(request_violations(price, news, keys).select(*keys).distinct(), list(keys), "left_anti")
     daily = None
     if news is not None:
-        kept = trim_news(news, keys=keys, arrival=arrival)
+        kept = trim_news(news, per_day, total, keys, arrival)
         if enrich:
             kept = enrich_news(price, kept, keys)
         scored = add_polarity((scorer or LexiconScorer(dims=dims)).score(kept, "headline"))

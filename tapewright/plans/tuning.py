@@ -81,7 +81,7 @@ def tune_elastic_net(train: DataFrame, features: Sequence[str], targets: Sequenc
     fold_grams = []
     for fold in range(folds):
         part = rows.where(F.col("fold") == fold)
-        fill = fill_values(part.where("role = 'train'"), inputs, scope)
+        fill = fill_values(part.where("role = 'train'"), inputs, scope, targets)
         grams = base.grams(part, inputs, targets, fill, ["role"])
         fold_grams.append(grams.groupBy(*scope).pivot("role", ["train", "val"]).agg(F.first("gram")).withColumn("fold", F.lit(fold)))
     p, numeric = len(inputs.encoded), len(inputs.numeric)

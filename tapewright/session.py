@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +28,33 @@ def build_session(app: str = "tapewright", master: str | None = None, **extra: s
         builder = builder.master(master)
     for key, value in {**CONF, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, which may not have it on their path."""
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach: ``spark.checkpoint.dir`` when it is set.
+    """Folder that every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder of this machine is used.
+    Where the setting is absent a local master (tests) gets a temporary folder of this
+    machine; on a cluster that would lose rows, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = os.environ.get("TAPEWRIGHT_LOCAL_STAGE")
     if not root:
         root = tempfile.mkdtemp(prefix="tapewright-")

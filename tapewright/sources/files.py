@@ -14,9 +14,12 @@ from tapewright.operators.columns import normalise_header, rename_columns
 from tapewright.operators.metrics import METRICS
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with header; every column is text unless a schema is given (no inference pass)."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, lines_in_cells: bool = False) -> DataFrame:
+    """CSV with header; every column is text unless a schema is given (no inference pass).
+
+    ``lines_in_cells`` is for quoted line breaks: a file is then read by one task.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", lines_in_cells)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -43,8 +46,8 @@ def melt_news(wide: DataFrame, keep: Sequence[str] = ("date",)) -> DataFrame:
     return long.withColumn("headline", strip(F.col("headline").cast("string"))).drop("rank")
 
 
-def load_news(spark: SparkSession, path: str, keep: Sequence[str] = ("date",)) -> DataFrame:
-    return melt_news(read_csv(spark, path), keep).withColumn("date", parse_day("date"))
+def load_news(spark: SparkSession, path: str, keep: Sequence[str] = ("date",), lines_in_cells: bool = False) -> DataFrame:
+    return melt_news(read_csv(spark, path, lines_in_cells=lines_in_cells), keep).withColumn("date", parse_day("date"))
 
 
 def coerce_dates(df: DataFrame, date: str = "date") -> DataFrame:

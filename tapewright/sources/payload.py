@@ -10,8 +10,9 @@ from tapewright.operators.columns import require_columns
 from tapewright.schemas import PRICE_COLUMNS, REQUEST
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REQUEST).option("multiLine", True).json(path)
+def read_requests(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Requests, one JSON object per line; ``whole_files`` for one object per file."""
+    return spark.read.schema(REQUEST).option("multiLine", whole_files).json(path)
 
 
 def parse_requests(bodies: DataFrame, body: str = "body") -> DataFrame:

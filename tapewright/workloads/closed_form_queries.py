@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
 
 from tapewright.models.elastic_net import ElasticNet
 from tapewright.models.spaces import sample
 from tapewright.operators import sampling
+from tapewright.operators.quantiles import exact_quantiles
 from tapewright.plans import explain, forecast, training, tuning
 from tapewright.session import stage
 from tapewright.workloads.registry import H5, query
@@ -18,7 +20,7 @@ from tapewright.workloads.series_queries import KD, T5, split5
 from tapewright.workloads.views import bars
 
 ALPHA, L1 = 0.005, 0.4
-TRIALS, SEED = 8, 7
+TRIALS, SEED = 30, 7
 SPACE = sample(ElasticNet.search_space(), TRIALS, SEED)
 
 
@@ -98,10 +100,77 @@ _GROUND = """(SELECT avg(log_return) AS m FROM (SELECT * FROM v_split5 WHERE spl
 
 
 @query("net_attributions", f"""SELECT t.symbol, t.date, CAST(k.h AS INTEGER) AS horizon, 'log_return' AS feature, k.w * (t.log_return - g.m) AS phi, k.b + k.w * g.m AS base
-FROM v_split5 t, {_POOLED} k, {_GROUND} g WHERE t.split = 'test' AND k.w <> 0""", ["phi", "base"], digits=7)
+FROM v_split5 t, {_POOLED} k, {_GROUND} g WHERE t.split = 'test'""", ["phi", "base"], digits=7)
 def net_attributions(spark, d):
     """Linear attributions against a seeded background of 100 rows."""
     df = stage(split5(spark, d), "features")
     test = df.where("split = 'test'")
     model = ElasticNet(alpha=ALPHA, l1_ratio=L1).fit(df.where("split = 'train'"), ["log_return"], T5)
     return explain.linear_attribution(model, test, sampling.seeded_sample(test, 100, 42, KD), KD)
+
+
+# --- hard inputs ------------------------------------------------------------------------------
+
+LEVEL = 1e6
+
+
+@query("net_tuning_level", f"""SELECT CAST(trial AS INTEGER) AS trial, CAST(fold AS INTEGER) AS fold, score FROM {_ALL} a WHERE fold = 0 OR trial IN (
+  SELECT trial FROM {_ALL} b WHERE fold = 0 ORDER BY score, trial LIMIT {math.ceil(TRIALS / tuning.REDUCTION)})""", ["score"], digits=6)
+def net_tuning_level(spark, d):
+    """Scores do not change when all targets are raised by a large level."""
+    train = stage(split5(spark, d).where("split = 'train'").withColumns({t: F.col(t) + LEVEL for t in T5}), "features")
+    return tuning.tune_elastic_net(train, ["log_return"], T5, ElasticNet(seed=SEED), trials=TRIALS).trials.select("trial", "fold", "score")
+
+
+@query("net_unseen_series", f"""SELECT f.symbol, f.date, CAST(f.h AS INTEGER) AS horizon, f.y AS y_true, k.b + k.w * f.x AS y_pred
+FROM {long_sql("v_split5 WHERE split = 'test'", "symbol, date")} f LEFT JOIN {_COEF} k ON k.symbol = f.symbol AND k.h = f.h AND k.symbol <> '5-LOW'""", ["y_true", "y_pred"])
+def net_unseen_series(spark, d):
+    """A series left out of training keeps its rows, without predictions."""
+    df = stage(split5(spark, d), "features")
+    return training.predict_long(by_series(df.where("symbol <> '5-LOW'")), df.where("split = 'test'"), T5, KD)
+
+
+_OF_SERIES = """(SELECT symbol, avg(log_return) AS m FROM v_split5 WHERE split = 'test' GROUP BY symbol)"""
+
+
+@query("net_attributions_by_series", f"""SELECT t.symbol, t.date, CAST(k.h AS INTEGER) AS horizon, 'log_return' AS feature, k.w * (t.log_return - g.m) AS phi, k.b + k.w * g.m AS base
+FROM v_split5 t JOIN {_COEF} k ON k.symbol = t.symbol JOIN {_OF_SERIES} g ON g.symbol = t.symbol WHERE t.split = 'test'""", ["phi", "base"], digits=7)
+def net_attributions_by_series(spark, d):
+    """Attributions of a model per series, against all test rows of the series."""
+    df = stage(split5(spark, d), "features")
+    test = df.where("split = 'test'")
+    return explain.linear_attribution(by_series(df), test, test, KD)
+
+
+@query("net_shap_summary", f"""SELECT CAST(k.h AS INTEGER) AS horizon, 'log_return' AS feature, avg(abs(k.w * (t.log_return - g.m))) AS importance, CAST(1 AS INTEGER) AS rank
+FROM v_split5 t, {_POOLED} k, {_GROUND} g WHERE t.split = 'test' GROUP BY k.h""", ["importance"], digits=7)
+def net_shap_summary(spark, d):
+    return explain.summarise(net_attributions(spark, d))
+
+
+_FIRST_ROWS = """(SELECT avg(log_return) AS m FROM (SELECT * FROM v_split5 WHERE split = 'test' ORDER BY symbol, date LIMIT 50))"""
+
+
+@query("kernel_linear", f"""SELECT t.symbol, t.date, CAST(k.h AS INTEGER) AS horizon, 'log_return' AS feature, k.w * (t.log_return - g.m) AS phi, k.b + k.w * g.m AS base
+FROM v_split5 t, {_POOLED} k, {_FIRST_ROWS} g WHERE t.split = 'test'""", ["phi", "base"], digits=7)
+def kernel_linear(spark, d):
+    """Permutation attributions equal the closed form where the model is linear."""
+    df = stage(split5(spark, d), "features")
+    test = df.where("split = 'test'")
+    model = ElasticNet(alpha=ALPHA, l1_ratio=L1).fit(df.where("split = 'train'"), ["log_return"], T5)
+    row = model.table.first()
+    predictors = [lambda x, w=w[0], b=b: x[:, 0] * w + b for w, b in zip(row["weights"], row["bias"], strict=True)]
+    return explain.kernel_attribution(predictors, test, ["log_return"], test, KD)
+
+
+_PRICES = "(SELECT CASE WHEN o_orderkey % 40 = 0 THEN CAST('inf' AS DOUBLE) WHEN o_orderkey % 50 = 1 THEN CAST('-inf' AS DOUBLE) ELSE CAST(o_totalprice AS DOUBLE) END AS x FROM orders)"
+
+
+@query("quantiles_infinite", f"""SELECT quantile_cont(x, CAST(0.1 AS DOUBLE)) AS q10, quantile_cont(x, CAST(0.5 AS DOUBLE)) AS q50, quantile_cont(x, CAST(0.9 AS DOUBLE)) AS q90, max(x) = CAST('inf' AS DOUBLE) AS top FROM {_PRICES}""", ["q10", "q50", "q90"], digits=4)
+def quantiles_infinite(spark, d):
+    """Exact quantiles of a column with infinite values, by narrowing brackets."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    x = F.when(key % 40 == 0, F.lit(math.inf)).when(key % 50 == 1, F.lit(-math.inf)).otherwise(price)
+    df = spark.read.parquet(f"{d}/orders.parquet").select(x.alias("x"))
+    q10, q50, q90, top = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9, 1.0], small=500)["x"]
+    return spark.createDataFrame([(q10, q50, q90, top == math.inf)], "q10 double, q50 double, q90 double, top boolean")

@@ -45,6 +45,12 @@ def panel5(spark, d):
     return split.time_series_split(features.create_features(merged, 5), horizon=5)
 
 
+def panel30(spark, d):
+    """Features with sentiment, thirty targets and the split: the reference setting of models."""
+    merged = features.merged_panel(bars(spark, d), daily(spark, d))
+    return split.time_series_split(features.create_features(merged, 30), horizon=30)
+
+
 # --- preparation ---------------------------------------------------------------------------
 
 def _stat_sql(c: str, i: int) -> str:
@@ -317,23 +323,24 @@ def layered_chart(spark, d):
 # --- fitted models (rows only) ------------------------------------------------------------------
 
 def fitted_net(df, scope=()):
-    feats = columns.feature_columns(df)
-    return ElasticNet(horizon=5, scope=scope, alpha=1e-3, l1_ratio=0.2).fit(df.where("split = 'train'"), feats, T5)
+    """Elastic net for all targets of the table."""
+    feats, targets = columns.feature_columns(df), [t for t in T30 if t in df.columns]
+    return ElasticNet(horizon=len(targets), scope=scope, alpha=1e-3, l1_ratio=0.2).fit(df.where("split = 'train'"), feats, targets)
 
 
 @query("elastic_net")
 def elastic_net(spark, d):
     """Test errors of one model over all series, beside the zero-return baseline."""
-    df = stage(panel5(spark, d), "panel")
+    df = stage(panel30(spark, d), "panel")
     test = df.where("split = 'test'")
-    scored = training.evaluate(fitted_net(df), test, T5).select(F.lit("linreg").alias("name"), *ERRORS)
+    scored = training.evaluate(fitted_net(df), test, T30).select(F.lit("linreg").alias("name"), *ERRORS)
     return training.with_baseline(scored, df)
 
 
 @query("elastic_net_by_series")
 def elastic_net_by_series(spark, d):
-    df = stage(panel5(spark, d), "panel")
-    return training.evaluate(fitted_net(df, ("symbol",)), df.where("split = 'test'"), T5, ["symbol"])
+    df = stage(panel30(spark, d), "panel")
+    return training.evaluate(fitted_net(df, ("symbol",)), df.where("split = 'test'"), T30, ["symbol"])
 
 
 @query("coefficients")
@@ -354,36 +361,35 @@ def bundle_roundtrip(spark, d):
 
 @query("tuning_trials")
 def tuning_trials(spark, d):
-    df = stage(split5(spark, d), "panel")
-    net = ElasticNet(horizon=5)
-    return tuning.tune_elastic_net(df.where("split = 'train'"), MODEL_INPUTS, T5, net, trials=12).trials
+    df = stage(panel30(spark, d), "panel")
+    return tuning.tune_elastic_net(df.where("split = 'train'"), MODEL_INPUTS, T30, ElasticNet(horizon=30), trials=30).trials
 
 
 @query("tuning_by_series")
 def tuning_by_series(spark, d):
-    df = stage(split5(spark, d), "panel")
-    net = ElasticNet(horizon=5, scope=("symbol",))
-    return tuning.tune_elastic_net(df.where("split = 'train'"), MODEL_INPUTS, T5, net, trials=12).best_table()
+    df = stage(panel30(spark, d), "panel")
+    net = ElasticNet(horizon=30, scope=("symbol",))
+    return tuning.tune_elastic_net(df.where("split = 'train'"), MODEL_INPUTS, T30, net, trials=30).best_table()
 
 
 @query("experiments")
 def experiments(spark, d):
     """Tuned elastic net with and without sentiment, compared."""
-    df = features.create_features(features.merged_panel(bars(spark, d), daily(spark, d)), 5)
+    df = features.create_features(features.merged_panel(bars(spark, d), daily(spark, d)), 30)
     pair = [Experiment("linreg", lambda h, s: ElasticNet(h, s), True), Experiment("linreg_wo_sent", lambda h, s: ElasticNet(h, s), False)]
-    results = training.run_experiments(df, pair, 5, 42, trials=9)
+    results = training.run_experiments(df, pair, 30, 42, trials=30)
     tagged = [metrics.tag(r.metrics.withColumn("name", F.lit("linreg")), "sentiment", "with" if r.include_sentiment else "without") for r in results]
     return metrics.improvement(metrics.compare(tagged[0].unionByName(tagged[1]), ["name"], "sentiment", ["with", "without"]), ["name"])
 
 
 @query("batch_forecast")
 def batch_forecast(spark, d):
-    df = stage(panel5(spark, d), "panel")
-    path = forecast.batch_forecast(bars(spark, d), news(spark, d), fitted_net(df), 5, enrich=True, limits=False)
+    df = stage(panel30(spark, d), "panel")
+    path = forecast.batch_forecast(bars(spark, d), news(spark, d), fitted_net(df), 30, enrich=True)
     return forecast.explode_path(path)
 
 
-def fitted_trees(df, horizons=T5[:2]):
+def fitted_trees(df, horizons=T5):
     part = {s: df.where(F.col("split") == s) for s in ("train", "val")}
     trees = BoostedTrees(horizon=len(horizons), n_estimators=10, max_depth=3, learning_rate=0.1, max_bin=64)
     return trees.fit(part["train"], MODEL_INPUTS, horizons, part["val"])
@@ -394,7 +400,7 @@ def boosted_trees(spark, d):
     df = stage(split5(spark, d), "panel")
     path = stage_path(spark, "trees-bundle")
     fitted_trees(df).save(path)
-    return training.evaluate(FittedTrees.load(spark, path), df.where("split = 'test'"), T5[:2], ["symbol"])
+    return training.evaluate(FittedTrees.load(spark, path), df.where("split = 'test'"), T5, ["symbol"])
 
 
 @query("linear_shap")
@@ -411,8 +417,8 @@ def shap_summary(spark, d):
 
 @query("kernel_shap")
 def kernel_shap(spark, d):
-    """Sampled Shapley values of the tree model for the newest row of every series, background from test rows."""
+    """Sampled Shapley values of the tree model of the first horizon for all test rows, background from test rows."""
     df = stage(split5(spark, d), "panel")
     model = fitted_trees(df, T5[:1])
-    newest = df.where("is_forecast")
-    return explain.tree_attribution(model, newest, explain.background(df.where("split = 'test'"), KD), KD, rounds=2)
+    test = df.where("split = 'test'")
+    return explain.tree_attribution(model, test, explain.background(test, KD), KD, rounds=2)

@@ -188,7 +188,7 @@ def cache_misses(spark, d):
 def score_cache(spark, d):
     """Every row scored through the cache, each distinct text once."""
     cache = sentiment.ScoreCache(spark, stage_path(spark, "scores"))
-    out = sentiment.score_cached(news(spark, d), cache, sentiment.LexiconScorer(), hot=1000)
+    out = sentiment.score_cached(news(spark, d), cache, sentiment.LexiconScorer(), rows_per_task=3)
     return out.select("symbol", "seq", *SENTIMENT)
 
 
@@ -202,7 +202,7 @@ def price_news_join(spark, d):
 @query("price_news_rows", """SELECT p.symbol, p.date, p.adj_close, n.seq FROM v_price p LEFT JOIN v_news n ON p.symbol = n.symbol AND p.date = n.date""", ["adj_close"])
 def price_news_rows(spark, d):
     """One-to-many: a price row per headline of its date."""
-    rows = joins.merge_price_news(bars(spark, d), news(spark, d).select(*KD, "seq"), validate=True, many=True, hot=3)
+    rows = joins.merge_price_news(bars(spark, d), news(spark, d).select(*KD, "seq"), validate=True, many=True, rows_per_task=3)
     return rows.select(*KD, "adj_close", "seq")
 
 

@@ -239,7 +239,8 @@ def test_forecast_uses_news_and_reports_violations(spark, panel):
     assert with_news["log_return"] > without["log_return"]
     assert forecast.request_violations(price, news).count() == 0
     wide = price.withColumn("date", F.date_add("date", F.col("seq").cast("int") * 40))
-    assert forecast.batch_forecast(wide, None, model, 3).count() == 0
+    assert forecast.batch_forecast(wide, None, model, 3, limits=True).count() == 0
+    assert forecast.batch_forecast(wide, None, model, 3).count() == 1
     assert [r["reason"] for r in forecast.request_violations(wide, None).collect()] == ["span_too_long"]
 
 
@@ -257,3 +258,44 @@ def test_overlays_and_diagnostics(panel):
     assert h1.count() == full.where("symbol = 'B' AND split = 'test'").count()
     hist = forecast.h_overlay_history(full, 20).where("symbol = 'A'")
     assert hist.count() == 20 and hist.agg(F.max("date")).first()[0] == anchor["date"]
+
+
+# --- hard inputs ---------------------------------------------------------------------------
+
+def test_levels_of_targets_do_not_change_scores(spark, panel):
+    train = part(panel, "train")
+    raised = train.withColumns({t: F.col(t) + 1e8 for t in T3})
+    one, other = (tuning.tune_elastic_net(df, ["log_return", "lag_1"], T3, ElasticNet(seed=1), trials=6, metric=m).trials.orderBy("trial", "fold").collect()
+                  for df, m in ((train, "r2"), (raised, "r2")))
+    assert [r["score"] for r in one] == pytest.approx([r["score"] for r in other], abs=1e-5)
+    fits = [ElasticNet(alpha=1e-4).fit(df, ["log_return"], T3).table.first() for df in (train, raised)]
+    assert np.array(fits[1]["bias"]) - 1e8 == pytest.approx(np.array(fits[0]["bias"]), abs=1e-5)
+
+
+def test_unseen_and_null_series_keep_their_rows(spark, panel):
+    train = part(panel, "train")
+    named = train.withColumn("symbol", F.lit(None).cast("string")).unionByName(train.withColumn("symbol", F.lit("A")))
+    model = ElasticNet(alpha=1e-4, scope=("symbol",)).fit(named, ["log_return"], T3)
+    assert {r["symbol"] for r in model.table.collect()} == {None, "A"}
+    asked = named.unionByName(train.withColumn("symbol", F.lit("new")))
+    out = model.transform(asked)
+    assert out.count() == asked.count()
+    assert {r["symbol"]: r["n"] > 0 for r in out.groupBy("symbol").agg(F.count("pred_1").alias("n")).collect()} == {None: True, "A": True, "new": False}
+
+
+def test_attributions_are_complete(spark, panel):
+    train = part(panel, "train")
+    model = ElasticNet(alpha=10.0, l1_ratio=1.0).fit(train, ["log_return", "lag_1"], T3)  # all weights are 0
+    phi = explain.linear_attribution(model, train, train, ["date"])
+    assert phi.count() == train.count() * 2 * 3 and phi.agg(F.max(F.abs("phi"))).first()[0] == 0.0
+
+
+def test_forecast_is_not_cut_unless_asked(spark, panel):
+    """More than 2,000 rows and 5 years, a long horizon and many headlines: every series comes back."""
+    rows = spark.range(2600).selectExpr("'L' symbol", "date_add(date '2000-01-03', cast(id as int)) date", "100 + id % 7 adj_close")
+    price = rows.selectExpr("symbol", "date", *[f"cast(adj_close as double) {c}" for c in ("open", "high", "low", "close", "adj_close")], "1.0D volume")
+    out = forecast.batch_forecast(price, None, FittedNaive(45, 1.0), 45).collect()
+    assert len(out) == 1 and out[0]["horizon"] == 45 and len(out[0]["log_return_path"]) == 45
+    assert forecast.batch_forecast(price, None, FittedNaive(45, 1.0), 45, limits=True).count() == 0
+    with pytest.raises(ValueError, match="not unique"):
+        forecast.batch_forecast(price.unionByName(price.limit(1)), None, FittedNaive(3, 1.0), 3)

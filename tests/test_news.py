@@ -43,7 +43,7 @@ def test_cache_scores_each_text_once(spark):
     df = news(spark, [("2024-01-01", "gain"), ("2024-01-02", "gain"), ("2024-01-02", "loss"), ("2024-01-03", None)])
     cache = sentiment.ScoreCache(spark, stage_path(spark, "cache"))
     assert cache.misses(df).count() == 3
-    first = sentiment.score_cached(df, cache, sentiment.LexiconScorer(), hot=1, salts=4)
+    first = sentiment.score_cached(df, cache, sentiment.LexiconScorer(), rows_per_task=1)
     inline = {r["seq"]: r["pos"] for r in sentiment.score_inline(df).collect()}
     assert {r["seq"]: r["pos"] for r in first.collect()} == pytest.approx(inline)
     assert cache.misses(df).count() == 0
@@ -54,10 +54,29 @@ def test_cache_scores_each_text_once(spark):
 def test_spread_join_equals_left_join(spark):
     big = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 11}", i) for i in range(300)], "k string, i int")
     unique = spark.createDataFrame([("hot", 1.0)] + [(f"k{i}", float(i)) for i in range(9)], "k string, v double")
-    got = sorted(map(tuple, joins.spread_join(big, unique, ["k"], salts=5, hot=50).select("k", "i", "v").collect()), key=repr)
+    got = sorted(map(tuple, joins.spread_join(big, unique, ["k"], rows_per_task=20).select("k", "i", "v").collect()), key=repr)
     assert got == sorted(map(tuple, big.join(unique, "k", "left").select("k", "i", "v").collect()), key=repr)
 
 
+def test_all_of_many_frequent_keys_are_dealt(spark):
+    big = spark.range(24_000).selectExpr("concat('k', id % 2000) k", "id i")
+    keys = joins.frequent_keys(big, ["k"], 5)
+    assert keys.count() == 2000 and {r["_salts"] for r in keys.collect()} == {3}
+    unique = spark.range(1500).selectExpr("concat('k', id) k", "id v")
+    got = joins.spread_join(big, unique, ["k"], rows_per_task=5)
+    assert got.count() == 24_000 and got.where("v is null").count() == 6_000
+    assert got.where("k <> concat('k', v)").count() == 0
+
+
+def test_two_writers_do_not_double_rows(spark, tmp_path):
+    cache = sentiment.ScoreCache(spark, str(tmp_path / "scores"))
+    df = spark.createDataFrame([("gain and profit", i) for i in range(9)], "headline string, seq int")
+    cache.fill(df, sentiment.LexiconScorer())
+    spark.read.parquet(cache.path).write.mode("append").parquet(cache.path + "2")
+    spark.read.parquet(cache.path + "2").write.mode("append").parquet(cache.path)
+    assert sentiment.score_cached(df, cache, sentiment.LexiconScorer()).count() == 9
+
+
 def test_model_scorer_keeps_rows_aligned_when_a_batch_fails(spark):
     def load():
         def model(texts):
@@ -100,7 +119,7 @@ def test_trend_band(spark):
 def test_wide_news_file(spark, tmp_path):
     path = tmp_path / "news.csv"
     path.write_text('Date,Top1,Top2,Top3\n2020-01-02,"b""quoted"" one",  padded  ,\n2020-01-01,"two\nlines",,three, \n', encoding="utf-8")
-    got = sorted((r["date"].isoformat(), r["headline"]) for r in files.load_news(spark, str(path)).collect())
+    got = sorted((r["date"].isoformat(), r["headline"]) for r in files.load_news(spark, str(path), lines_in_cells=True).collect())
     assert got == [("2020-01-01", "three"), ("2020-01-01", "two\nlines"), ("2020-01-02", 'b"quoted" one'), ("2020-01-02", "padded")]
 
 

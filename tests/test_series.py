@@ -156,7 +156,7 @@ def test_join_keeps_every_price_row(spark):
     news = spark.createDataFrame([("A", dt.date(2020, 1, 2), "x"), ("A", dt.date(2020, 1, 2), "y"), ("A", dt.date(2021, 1, 1), "off")], "symbol string, date date, headline string")
     got = [(r["date"].day, r["headline"]) for r in joins.merge_price_news(price, news, validate=True).orderBy("date", "headline").collect()]
     assert got == [(1, None), (2, "x"), (2, "y"), (3, None)]
-    hot = joins.merge_price_news(price, news, many=True, hot=1)
+    hot = joins.merge_price_news(price, news, many=True, rows_per_task=1)
     assert hot.columns == joins.merge_price_news(price, news).columns
     assert [(r["date"].day, r["headline"]) for r in hot.orderBy("date", "headline").collect()] == got
 

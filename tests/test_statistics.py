@@ -175,3 +175,16 @@ def test_gram_is_independent_of_partitioning(spark):
         np.testing.assert_allclose(got[s], z.T @ z, rtol=1e-12)
     total = unpack(gram_table(df, [], [F.col("x1"), F.col("x2")], [F.col("y")]).first()["gram"], 4)
     np.testing.assert_allclose(total, sum(got.values()), rtol=1e-12)
+
+
+@pytest.mark.parametrize("small", [20, 10_000])
+def test_quantiles_of_infinite_and_far_values(spark, small):
+    values = [float("inf")] * 7 + [float("-inf")] * 5 + [1e308, -1e308, 5e-324, 0.0] + [math.exp(i / 3) for i in range(-900, 900)] + [1.0 + i * 1e-15 for i in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    probs = [0.0, 0.01, 0.3, 0.5, 0.77, 0.99, 1.0]
+    got = exact_quantiles(df, ["a"], probs, small=small, buckets=16)["a"]
+    ordered = sorted(values)
+    for p, g in zip(probs, got, strict=True):
+        at = p * (len(ordered) - 1)
+        low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+        assert g == (low if low == high else pytest.approx(low + (high - low) * (at - math.floor(at))))
