@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, lm_score, near_dup, piece_bpe, quality, repeats, secrets, sharding
+from . import byte_bpe, decontaminate, html_text, lm_score, near_dup, oracles, piece_bpe, quality, repeats, secrets, sharding
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,7 +64,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return quality.quality(documents(spark, sf_dir)).select("row.doc_id", *base, "class_distance", "word_distance")
+    return quality.quality(documents(spark, sf_dir)).select("row.doc_id", *base)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,4 +106,10 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+#: The others are checked against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op1_decontamination": oracles.OP1,
+    "op5_near_duplicates": oracles.OP5,
+    "op6_quality": oracles.OP6,
+    "op9_secrets": oracles.OP9,
+}
