@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, html_text, lm_score, near_dup, oracles, piece_bpe, quality, repeats, secrets, sharding
@@ -84,9 +84,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base counts and digest, and all spans."""
     found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
-    count = {k: F.size(F.filter("secrets", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.BASE)}
+    count = [_of_kind(i).alias(f"n_{k}") for i, k in enumerate(secrets.BASE)]
     base = secrets.spelled(F.filter("secrets", lambda s: s["kind"] < len(secrets.BASE)))
-    return found.select("doc_id", *count.values(), F.sha2(base, 256).alias("base_sha256"), secrets.spelled(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(base, 256).alias("base_sha256"), secrets.spelled(F.col("secrets")).alias("spans"))
+
+
+def _of_kind(kind: int) -> Column:
+    return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
