@@ -200,24 +200,25 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, n
     return run_of, place_of, shared
 
 
-def least_ids(rows: np.ndarray, shared: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Least id that has each window of each row: (windows by bytes left of the anchor) x rows; NOBODY where there is none."""
-    out = np.full((LEFT + 1, len(rows)), NOBODY)
+def least_ids(rows: np.ndarray, shared: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each number of bytes left of the anchor: the least id that has that window of each row, NOBODY where there is none."""
     right, left = rows[:, LENGTH].astype(np.int64), rows[:, -1].astype(np.int64)
     lefts, of_row = np.unique(np.ascontiguousarray(rows[:, LENGTH + 1:-1]).view(f"S{LEFT}").reshape(-1), return_inverse=True)
     table = lefts.view(np.uint8).reshape(-1, LEFT)
     differ = np.concatenate([[0], (table[1:] != table[:-1]).argmax(axis=1)]) if len(table) else np.zeros(0, np.int64)
     for l in range(LEFT + 1):  # noqa: E741
+        out = np.full(len(rows), NOBODY)
         ok = np.flatnonzero((left >= l) & (right >= LENGTH - l))
         if not len(ok):
+            yield l, out
             continue
         block = np.cumsum(shared < LENGTH - l)[ok]
         group = np.cumsum(differ < l)[of_row[ok]] if l else np.zeros(len(ok), np.int64)
         _, place = np.unique(block * (len(table) + 1) + group, return_inverse=True)
         low = np.full(place.max() + 1, NOBODY)
         np.minimum.at(low, place, least[ok])
-        out[l, ok] = low[place]
-    return out
+        out[ok] = low[place]
+        yield l, out
 
 
 def _merged(table: pa.Table) -> pa.Table:
@@ -227,10 +228,14 @@ def _merged(table: pa.Table) -> pa.Table:
     run_of, place_of, shared = merge_runs([(rows, prefixes) for rows, prefixes, _ in parts])
     flat = np.frombuffer(b"".join(b"".join(rows) for rows, _, _ in parts), np.uint8).reshape(-1, WIDTH)
     starts = np.cumsum([0] + [len(rows) for rows, _, _ in parts])
+    least = np.concatenate([ids for _, _, ids in parts])
+    del parts  # rows as Python objects, larger than all arrays below
     order = starts[run_of] + place_of
-    found = np.empty((LEFT + 1, len(flat)), np.int64)
-    found[:, order] = least_ids(flat[order], shared, np.concatenate([ids for _, _, ids in parts])[order])
-    answers = [packed_windows(found[:, a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+    distinct = np.append(np.unique(least), NOBODY)
+    found = np.empty((LEFT + 1, len(flat)), np.int32)  # places in distinct
+    for l, low in least_ids(flat[order], shared, least[order]):  # noqa: E741
+        found[l, order] = np.searchsorted(distinct, low)
+    answers = [packed_windows(distinct[found[:, a:b]]) for a, b in zip(starts, starts[1:], strict=False)]
     n = len(chunks)
     return pa.table([pa.array(chunks, pa.int64()), pa.array([1] * n, pa.int32()), pa.array([bucket] * n, pa.int32()),
                      pa.array(answers, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["chunk", "kind", "bucket", "totals", "distinct", "total"])
@@ -292,16 +297,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
         anchors, chosen, suffixes, ids = _chosen(batch, parts, buckets)
         raw, offsets = anchors.raw, anchors.offsets
         edge = np.zeros(len(raw) + 1, np.int64)
-        answers = [unpacked_windows(data) for _, data in sorted(parts.get(1, []))]
-        if answers:
-            least = np.concatenate(answers, axis=1)
-            if least.shape[1] != len(suffixes.rows):
-                raise ValueError("an answer does not fit the suffixes of its chunk")
-            own = ids[anchors.text[chosen]]
+        own, by_place = ids[anchors.text[chosen]], np.argsort(suffixes.place, kind="stable")
+        places, done = suffixes.place[by_place], 0
+        for _, data in sorted(parts.get(1, [])):  # buckets in the order of the suffixes
+            least = unpacked_windows(data)
+            members = by_place[slice(*np.searchsorted(places, [done, done + least.shape[1]]))]
+            column = suffixes.place[members] - done
+            done += least.shape[1]
             for l in range(LEFT + 1):  # noqa: E741
-                starts = anchors.at[chosen[least[l, suffixes.place] < own]] - l
+                starts = anchors.at[chosen[members[least[l, column] < own[members]]]] - l
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, starts + LENGTH, -1)
+        if done != len(suffixes.rows):
+            raise ValueError("answers do not fit the suffixes of their chunk")
         gone = np.cumsum(edge[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
