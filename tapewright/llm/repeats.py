@@ -76,7 +76,8 @@ class Anchors:
         new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
         begin = np.flatnonzero(new)
         last = starts[np.append(begin[1:], len(starts)) - 1]
-        return place[begin] + low, starts[begin] + low, last + low, hashes[place[begin]]
+        # hashed once more: least hashes are small, and buckets are equal ranges of keys
+        return place[begin] + low, starts[begin] + low, last + low, mix(hashes[place[begin]] + np.uint64(1))
 
     def documents_per_key(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, whether one or more ids hold them (1 or 2), and the key of every anchor."""
