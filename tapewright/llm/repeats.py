@@ -158,7 +158,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, n
     prefixes = [s for _, s in runs] + [[]] * (leaves - len(runs))
     next_ = [0] * leaves
     head = [r[0] if r else None for r in rows]
-    known = [0] * leaves
+    known = [0 if r else -1 for r in rows]
     loser = [0] * leaves
 
     def wins(a: int, b: int) -> bool:
@@ -183,22 +183,25 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, n
         winner[node], loser[node] = (a, b) if wins(a, b) else (b, a)
     best = winner[1] if leaves > 1 else 0
     total = sum(len(r) for r, _ in runs)
-    run_of, place_of, shared = np.zeros(total, np.int32), np.zeros(total, np.int32), np.zeros(total, np.int64)
-    for out in range(total):
+    run_of, place_of, shared = [], [], []
+    for _ in range(total):
         at = next_[best]
-        run_of[out], place_of[out], shared[out] = best, at, known[best]
+        run_of.append(best)
+        place_of.append(at)
+        shared.append(known[best])
         at += 1
         next_[best] = at
         if at < len(rows[best]):
             head[best], known[best] = rows[best][at], prefixes[best][at]
         else:
-            head[best] = None
+            head[best], known[best] = None, -1  # comes after all others
         node = (best + leaves) // 2
         while node:
-            if not wins(best, loser[node]):
-                best, loser[node] = loser[node], best
+            other = loser[node]
+            if known[best] < known[other] or known[best] == known[other] >= 0 and not wins(best, other):
+                best, loser[node] = other, best
             node //= 2
-    return run_of, place_of, shared
+    return np.array(run_of, np.int32), np.array(place_of, np.int32), np.array(shared, np.int64)
 
 
 def least_ids(rows: np.ndarray, shared: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -232,10 +235,11 @@ def _merged(table: pa.Table) -> pa.Table:
     least = np.concatenate([ids for _, _, ids in parts])
     del parts  # rows as Python objects, larger than all arrays below
     order = starts[run_of] + place_of
-    distinct = np.append(np.unique(least), NOBODY)
+    distinct, place = np.unique(least, return_inverse=True)
     found = np.empty((LEFT + 1, len(flat)), np.int32)  # places in distinct
-    for l, low in least_ids(flat[order], shared, least[order]):  # noqa: E741
-        found[l, order] = np.searchsorted(distinct, low)
+    for l, low in least_ids(flat[order], shared, place[order]):  # noqa: E741
+        found[l, order] = np.minimum(low, len(distinct))
+    distinct = np.append(distinct, NOBODY)
     answers = [packed_windows(distinct[found[:, a:b]]) for a, b in zip(starts, starts[1:], strict=False)]
     n = len(chunks)
     return pa.table([pa.array(chunks, pa.int64()), pa.array([1] * n, pa.int32()), pa.array([bucket] * n, pa.int32()),
