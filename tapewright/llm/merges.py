@@ -5,14 +5,20 @@ least rank of each word by a segmented minimum, merges all leftmost non-overlapp
 closes the gaps. Words without a pair of the table leave the array; the rounds end when none is left.
 
 Merging all pairs of a rank at once equals merging them one after another as long as a merge cannot give a pair that
-comes before the remaining ones. Where the table allows that (``serial`` symbols), a round merges the leftmost only.
+comes before the remaining ones. Where the table allows that (``serial`` symbols), a round merges the leftmost only; a
+word with many such merges ahead (a long run of one sign) leaves the rounds and is merged from a heap of its pairs, so
+that its time stays near its length.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 NONE = np.iinfo(np.int32).max
+#: Serial merges of one rank in a word beyond which it is merged from a heap.
+SERIAL = 32
 
 
 class PairTable:
@@ -42,6 +48,44 @@ class PairTable:
         return np.where(self.keys[at] == key, self.rank[at], NONE).astype(np.int32), at
 
 
+def merge_by_heap(symbols: list[int], table: PairTable) -> list[int]:
+    """Symbols that survive in one word, by the least rank and the leftmost place at every step."""
+    known: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def pair(a: int, b: int) -> tuple[int, int]:
+        if (a, b) not in known:
+            rank, at = table.find(np.array([a]), np.array([b]))
+            known[a, b] = (int(rank[0]), int(table.merged[at[0]]) if rank[0] != NONE else -1)
+        return known[a, b]
+
+    n = len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r << 40) | i for i in range(n - 1) if (r := pair(symbols[i], symbols[i + 1])[0]) != NONE]
+    heapq.heapify(heap)
+    while heap:
+        top = heapq.heappop(heap)
+        rank, i = top >> 40, top & ((1 << 40) - 1)
+        j = after[i]
+        if symbols[i] < 0 or j >= n:
+            continue
+        now, merged = pair(symbols[i], symbols[j])
+        if now != rank:
+            continue
+        symbols[i], symbols[j] = merged, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            r = pair(merged, symbols[k])[0]
+            if r != NONE:
+                heapq.heappush(heap, (r << 40) | i)
+        h = before[i]
+        if h >= 0:
+            r = pair(symbols[h], merged)[0]
+            if r != NONE:
+                heapq.heappush(heap, (r << 40) | h)
+    return [s for s in symbols if s >= 0]
+
+
 def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Symbols that survive, word after word, and their number per word."""
     count = len(lengths)
@@ -66,7 +110,18 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> t
         within = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         merged = table.merged[place[at]]
         keep = within % 2 == 0
-        if table.serial[merged].any():
+        late = table.serial[merged]
+        if late.any():
+            many = np.flatnonzero(np.bincount(word[at[late]], minlength=1) > SERIAL)
+            if len(many):
+                for w in many.tolist():
+                    a, b = np.searchsorted(word, [w, w + 1])
+                    rest = np.array(merge_by_heap(sym[a:b].tolist(), table), np.int32)
+                    done_words.append(np.full(len(rest), w, np.int32))
+                    done_syms.append(rest)
+                alive = ~(over | np.isin(word, many))
+                sym, word, rank, place = sym[alive], word[alive], rank[alive], place[alive]
+                continue
             leftmost = np.ones(len(at), bool)
             leftmost[1:] = word[at[1:]] != word[at[:-1]]
             keep &= leftmost | ~table.serial[merged]

@@ -20,9 +20,11 @@ from .batches import slices, strings
 from .merges import PairTable, merge_words
 
 SPACE = "▁"
-#: Distinct words kept per task between slices.
-CACHE_WORDS = 400_000
-CACHE_CHARS = 16_000_000
+#: Bytes of text that are cut into words at a time; words are Python strings of many times that size.
+SLICE_BYTES = 1 << 20
+#: Memory of the words that a worker keeps between slices, with what dictionary and objects take.
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 180
 
 
 def _each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -69,7 +71,8 @@ class PieceModel:
                 self.char_ids[ord(piece)] = i
         self.space = normal[SPACE][0] if SPACE in normal else -1
         self.runs = self._space_runs(normal)
-        joined = set(self.runs.tolist()) if self.runs is not None else set()
+        self.known_runs: dict[int, np.ndarray] = {}
+        joined = set(self.runs.values())
         scores = sorted({-s for _, s in normal.values()})
         ranks = {s: r for r, s in enumerate(scores)}
         rows = []
@@ -86,16 +89,28 @@ class PieceModel:
         self.cache: dict[str, bytes] = {}
         self.cached = 0
 
-    def _space_runs(self, normal) -> np.ndarray | None:
-        """Ids of runs of 1, 2, ... spaces, if they merge after all else and from left to right."""
+    def _space_runs(self, normal) -> dict[int, int]:
+        """Ids of the pieces of 1, 2, ... spaces, if these merge after all else and by one score; else none."""
         pieces = {len(p): v for p, v in normal.items() if not p.strip(SPACE)}
-        longest = max(pieces, default=0)
-        rest = [s for p, (_, s) in normal.items() if p.strip(SPACE) or len(p) == 1]
-        even = len({pieces[n][1] for n in pieces if n > 1}) == 1
+        rest = [s for p, (_, s) in normal.items() if p.strip(SPACE) and len(p) > 1]
+        even = len({s for n, (_, s) in pieces.items() if n > 1}) == 1
         other = any(p.startswith(SPACE * 2) and p.strip(SPACE) for p in normal)
-        if longest < 2 or sorted(pieces) != list(range(1, longest + 1)) or not even or other or pieces[2][1] >= min(rest):
-            return None
-        return np.array([0, *(pieces[n][0] for n in range(1, longest + 1))], np.int32)
+        if not {1, 2} <= set(pieces) or not even or other or pieces[2][1] >= min(rest, default=np.inf):
+            return {}
+        return {n: i for n, (i, _) in pieces.items()}
+
+    def run_ids(self, length: int) -> np.ndarray:
+        """Ids of a run of single spaces: as all scores are equal, the leftmost pair that makes a piece merges first."""
+        if length not in self.known_runs:
+            parts: list[int] = []
+            for _ in range(length):
+                parts.append(1)
+                while len(parts) > 1 and parts[-2] + parts[-1] in self.runs:
+                    parts[-2:] = [parts[-2] + parts[-1]]
+            if len(self.known_runs) >= 4096:
+                self.known_runs.clear()
+            self.known_runs[length] = np.array([self.runs[n] for n in parts], np.int32)
+        return self.known_runs[length]
 
     def words(self, text: str) -> list[str]:
         text = ((SPACE if self.prefix else "") + text).replace(" ", SPACE) if text else ""
@@ -105,7 +120,7 @@ class PieceModel:
         """Ids of each word as bytes of int32."""
         sym = self.char_ids[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         ids, lengths = merge_words(sym, np.fromiter(map(len, words), np.int64, len(words)), self.pairs)
-        if self.runs is not None:
+        if self.runs:
             ids, lengths = self._join_spaces(ids, lengths)
         ids, lengths = self._fall_back(ids, lengths)
         raw, ends = ids.astype("<i4").tobytes(), (np.cumsum(lengths) * 4).tolist()
@@ -114,18 +129,19 @@ class PieceModel:
     def _join_spaces(self, ids, lengths):
         word = np.repeat(np.arange(len(lengths)), lengths)
         blank = ids == self.space
-        starts = blank.copy()
-        starts[1:] &= ~(blank[:-1] & (word[:-1] == word[1:]))
-        at = np.arange(len(ids))
-        within = at - np.maximum.accumulate(np.where(starts | ~blank, at, 0))
-        most = len(self.runs) - 1
-        head = ~blank | (within % most == 0)
-        group = np.cumsum(head) - 1
-        size = np.bincount(group, minlength=int(head.sum())) if len(ids) else np.zeros(0, int)
-        kept = ids[head].copy()
-        spaces = blank[head]
-        kept[spaces] = self.runs[size[spaces]]
-        return kept, np.bincount(word[head], minlength=len(lengths))
+        head = np.ones(len(ids), bool)
+        head[1:] = ~(blank[1:] & blank[:-1] & (word[:-1] == word[1:]))
+        first = np.flatnonzero(head)
+        size = np.diff(np.append(first, len(ids)))
+        kept, times = ids[first].copy(), np.ones(len(first), np.int64)
+        for n in np.unique(size[size > 1]).tolist():
+            times[size == n] = len(self.run_ids(n))
+        out = np.repeat(kept, times)
+        starts = np.cumsum(times) - times
+        for n in np.unique(size[size > 1]).tolist():
+            run = self.run_ids(n)
+            out[starts[size == n][:, None] + np.arange(len(run))] = run
+        return out, np.bincount(np.repeat(word[first], times), minlength=len(lengths))
 
     def _fall_back(self, ids, lengths):
         odd = np.flatnonzero(ids >= self.size)
@@ -145,10 +161,10 @@ class PieceModel:
         new = list({w for words in cut for w in words} - self.cache.keys())
         if new:
             self.cache.update(zip(new, self.encode_words(new), strict=True))
-            self.cached += sum(map(len, new))
+            self.cached += sum(8 * len(w) + ENTRY_BYTES for w in new)  # ids of four bytes, characters of up to four
         get = self.cache.__getitem__
         joined = [b"".join(map(get, words)) for words in cut]
-        if len(self.cache) > CACHE_WORDS or self.cached > CACHE_CHARS:
+        if self.cached > CACHE_BYTES:
             self.cache, self.cached = {}, 0
         return np.frombuffer(b"".join(joined), "<i4"), np.fromiter(map(len, joined), np.int64, len(joined)) // 4
 
@@ -181,7 +197,7 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _load(model)
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", SLICE_BYTES):
                 ids, counts = pieces.encode(strings(texts))
                 ends = np.append(0, np.cumsum(counts)).tolist()
                 decoded = [pieces.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
@@ -191,6 +207,3 @@ def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     out = rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("key", key)
-
-
-

@@ -36,6 +36,30 @@ def test_pieces_equal_library(pieces):
         assert pieces.decode(got) == library.decode(got)
 
 
+@pytest.mark.parametrize("unit", [" ", "\t", "=", "-", "\n", "a", "ab", "#"])
+def test_long_runs_are_not_quadratic(pieces, unit):
+    import time
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    texts = [unit * n for n in (14, 15, 16, 17, 29, 30, 31, 33, 47, 100, 1_000_000)]
+    texts += ["x" + unit * n + "the" for n in (2, 15, 31, 48, 40_001)] if unit == " " else []
+    for text in texts:
+        want = library.encode(text)
+        began = time.perf_counter()
+        got, _ = pieces.encode([text])
+        assert time.perf_counter() - began < (20 if unit == "#" else 5)  # the only one of these with merges one by one
+        assert got.tolist() == want and pieces.decode(want) == library.decode(want)
+
+
+def test_words_kept_are_bounded_by_bytes():
+    model = piece_bpe.PieceModel(queries.PIECES)
+    for low in range(0, 400_000, 40_000):
+        model.encode([" ".join(f"w{i}" for i in range(low, low + 40_000))])
+    assert model.cached <= piece_bpe.CACHE_BYTES and len(model.cache) < 150_000
+
+
 def test_decode_any_ids(pieces):
     import sentencepiece
 
