@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, lm_score, near_dup, oracles, piece_bpe, quality, repeats, secrets, sharding
+from . import byte_bpe, conversation_trie, decontaminate, html_text, lm_score, near_dup, oracles, piece_bpe, quality, repeats, secrets, sharding, spelling
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,6 +98,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 40)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, form and root."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return conversation_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -109,6 +119,8 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
+    "op12_spelling": op12_spelling,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 #: The others are checked against brute force in tests/llm.
 ORACLES: dict[str, str] = {
