@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_trie, decontaminate, html_text, lm_score, near_dup, oracles, piece_bpe, quality, repeats, secrets, sharding, spelling
+from . import byte_bpe, conversation_trie, decontaminate, embed_dup, html_text, lm_score, near_dup, oracles, piece_bpe, quality, repeats, secrets, sharding, spelling
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,6 +98,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 40)
 
 
+def op11_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return embed_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their near words, form and root."""
     return spelling.spelling_variants(documents(spark, sf_dir))
@@ -119,6 +124,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
+    "op11_embedding_duplicates": op11_embedding_duplicates,
     "op12_spelling": op12_spelling,
     "op13_conversation_trie": op13_conversation_trie,
 }
