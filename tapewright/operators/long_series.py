@@ -5,8 +5,10 @@ not become one window partition.  The series is cut into chunks of ``rows`` cons
 rows; each chunk also receives the few neighbouring rows that its frames can reach.  A window
 partitioned by (series, chunk) then gives the same values as one over the whole series.
 
-Positions come from counts per (series, time bucket): the counts are a partial aggregation,
-their running sum is taken over buckets, not over rows.
+Positions come from ranges: rows are dealt by ranges of (series, time, tie-break), written
+once, and numbered inside their range; what a series has in the ranges before is a running
+sum over ranges, in two levels.  A second that is flooded with events is cut like any other
+stretch, as equal times are told apart by the tie-break and then by a hash of the row.
 """
 
 from __future__ import annotations
@@ -17,50 +19,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewright.operators.scans import exclusive_sums
 from tapewright.operators.series import KEYS
+from tapewright.session import stage
 
-# Bucket widths in seconds, from coarse to fine; the first whose fullest bucket fits the bound is taken.
-WIDTHS = (86_400, 3_600, 60, 1)
+#: Ranges whose offsets are broadcast; a longer list is joined.
+BROADCAST_RANGES = 200_000
 
 
-def seconds(df: DataFrame, time: str) -> Column:
-    """Whole seconds that grow with ``time``, free of time-zone shifts for zone-less times."""
-    t = F.col(time)
-    if dict(df.dtypes)[time] != "timestamp_ntz":
-        return F.unix_seconds(t.cast("timestamp"))
-    return F.unix_date(t.cast("date")).cast("long") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60 + F.second(t)
+def add_long_position(df: DataFrame, time: str, tiebreak: Sequence[str], keys=KEYS, bound: int = 1_000_000) -> DataFrame:
+    """0-based position ``pos`` in the series; no task gets more than about ``bound`` rows."""
+    ranged = stage(_ranged(df, time, tiebreak, keys, bound), "ranges")
+    piece = F.shiftrightunsigned("_at", 33).alias("_piece")  # the range's part of the row number
+    pieces = ranged.groupBy(*keys, piece).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    offsets = stage(exclusive_sums(pieces, keys, "_piece", {"_offset": "_n"}).drop("_n"), "offsets")
+    small = offsets.count() <= BROADCAST_RANGES
+    placed = ranged.withColumn("_piece", piece).join(F.broadcast(offsets) if small else offsets, [*keys, "_piece"])
+    return placed.withColumn("pos", (F.col("_offset") + F.col("_at") - F.col("_first")).cast("long")).select(*df.columns, "pos")
 
 
-def bucket(df: DataFrame, time: str, width: int) -> Column:
-    return F.floor(seconds(df, time) / width)
-
-
-def choose_width(df: DataFrame, keys: Sequence[str], time: str, bound: int) -> int:
-    """Widest bucket whose fullest (series, bucket) has at most ``bound`` rows."""
-    for width in WIDTHS[:-1]:
-        counts = df.groupBy(*keys, bucket(df, time, width).alias("_bucket")).count()
-        if (counts.agg(F.max("count")).first()[0] or 0) <= bound:
-            return width
-    return WIDTHS[-1]
-
-
-def add_long_position(df: DataFrame, time: str, tiebreak: Sequence[str], keys=KEYS, bound: int = 1_000_000, width: int | None = None) -> DataFrame:
-    """0-based position ``pos`` in the series, computed bucket by bucket."""
-    width = width or choose_width(df, keys, time, bound)
-    tagged = df.withColumn("_bucket", bucket(df, time, width))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(time, *tiebreak)
-    placed = tagged.withColumn("_place", F.row_number().over(inside) - 1)
-    return (
-        placed.join(offsets, [*keys, "_bucket"])
-        .withColumn("pos", (F.col("_offset") + F.col("_place")).cast("long"))
-        .drop("_bucket", "_place", "_offset")
-    )
+def _ranged(df: DataFrame, time: str, tiebreak: Sequence[str], keys: Sequence[str], bound: int) -> DataFrame:
+    """Rows sorted within ranges of about half of ``bound``, with their number ``_at``."""
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-2 * df.count() // bound))
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = [*keys, time, *tiebreak, "_tie"]
+    sorted_ = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return sorted_.drop("_tie").withColumn("_at", F.monotonically_increasing_id())
 
 
 def with_halo(df: DataFrame, back: int, ahead: int, rows: int) -> DataFrame:
@@ -87,14 +71,13 @@ def over_chunks(
     ahead: int = 0,
     keys=KEYS,
     rows: int = 65_536,
-    width: int | None = None,
 ) -> DataFrame:
     """Run a row-frame operator chunk by chunk.
 
     ``apply(df, keys, order)`` is any operator of :mod:`tapewright.operators.series` whose
     frames reach at most ``back`` rows back and ``ahead`` rows ahead.
     """
-    placed = add_long_position(df, time, tiebreak, keys, width=width)
+    placed = add_long_position(df, time, tiebreak, keys)
     chunked = with_halo(placed, back, ahead, rows)
     done = apply(chunked, [*keys, "_chunk"], ["pos"])
     return done.where(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home")
@@ -104,12 +87,8 @@ def running_sum(df: DataFrame, value: str | Column, name: str, keys=KEYS, rows:
     """Running sum along ``pos``: within chunks, plus the total of the chunks before."""
     x = F.col(value) if isinstance(value, str) else value
     tagged = df.withColumn("_x", x).withColumn("_chunk", F.floor(F.col("pos") / rows))
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        tagged.groupBy(*keys, "_chunk")
-        .agg(F.sum("_x").alias("_total"))
-        .select(*keys, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0.0)).alias("_carry"))
-    )
+    totals = tagged.groupBy(*keys, "_chunk").agg(F.sum("_x").alias("_total"))
+    carry = exclusive_sums(totals, keys, "_chunk", {"_carry": "_total"}).drop("_total")
     inside = W.partitionBy(*keys, "_chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     return (
         tagged.withColumn("_part", F.sum("_x").over(inside))

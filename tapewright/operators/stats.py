@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewright.operators.long_series import add_long_position, with_halo
 from tapewright.operators.series import KEYS, series_window
 
 # Fixed value: two-sided 95 % point of the normal distribution.
@@ -114,8 +115,25 @@ def autocorrelation(df: DataFrame, value: str = "log_return", lags: int = 30, ke
     """Biased autocorrelation for lags 1..k and the half-width of Bartlett's 95 % band."""
     known = df.where(F.col(value).isNotNull()).select(*keys, *order, F.col(value).alias("_x"))
     centred = known.withColumn("_d", F.col("_x") - F.avg("_x").over(W.partitionBy(*keys)))
-    w = series_window(keys, order)
-    lagged = centred.withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in range(1, lags + 1)})
+    return _correlogram(_lag_products(centred, lags, series_window(keys, order)), lags, keys)
+
+
+def long_autocorrelation(df: DataFrame, value: str, time: str, tiebreak: Sequence[str], lags: int = 30, keys=KEYS, rows: int = 65_536) -> DataFrame:
+    """The same for series of any length: lag products within chunks, which see the last rows of the chunk before."""
+    known = df.where(F.col(value).isNotNull()).select(*keys, time, *tiebreak, F.col(value).cast("double").alias("_x"))
+    placed = add_long_position(known, time, tiebreak, keys)
+    means = placed.groupBy(*keys).agg(F.avg("_x").alias("_mean"))
+    centred = placed.join(means, list(keys)).select(*keys, "pos", (F.col("_x") - F.col("_mean")).alias("_d"))
+    chunks = with_halo(centred, lags, 0, max(rows, lags))
+    products = _lag_products(chunks, lags, W.partitionBy(*keys, "_chunk").orderBy("pos"))
+    return _correlogram(products.where(F.col("_chunk") == F.col("_home")), lags, keys)
+
+
+def _lag_products(centred: DataFrame, lags: int, w) -> DataFrame:
+    return centred.withColumns({f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in range(1, lags + 1)})
+
+
+def _correlogram(lagged: DataFrame, lags: int, keys: Sequence[str]) -> DataFrame:
     sums = lagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("_s0"),
         *[F.sum(f"_p{k}").alias(f"_s{k}") for k in range(1, lags + 1)],

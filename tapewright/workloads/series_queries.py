@@ -10,6 +10,7 @@ from tapewright.functions.numeric import as_double, cumulative, safe_log
 from tapewright.functions.text import symbol_valid
 from tapewright.operators import columns, features, guards, joins, sampling, series, split, stats
 from tapewright.operators.long_series import add_long_position, over_chunks, running_sum
+from tapewright.operators.scans import add_long_ema
 from tapewright.plans.explore import explore, returns_known
 from tapewright.workloads.registry import H5, H30, LAGS, query
 from tapewright.workloads.views import bars, table, ticks
@@ -462,3 +463,24 @@ def tick_rolling(spark, d):
 def tick_running_sum(spark, d):
     placed = add_long_position(ticks(spark, d), **TICK)
     return running_sum(placed, "value", "total").select("symbol", "seq", "total")
+
+
+@query("tick_ema", """SELECT a.symbol, a.seq,
+  sum(b.value * pow(CAST(9 AS DOUBLE) / 11, a.pos - b.pos)) / sum(pow(CAST(9 AS DOUBLE) / 11, a.pos - b.pos)) AS ema
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS pos FROM v_ticks) a
+JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS pos FROM v_ticks) b
+  ON a.symbol = b.symbol AND b.pos <= a.pos AND b.pos >= a.pos - 200
+GROUP BY a.symbol, a.seq""", ["ema"])
+def tick_ema(spark, d):
+    placed = add_long_position(ticks(spark, d), **TICK)
+    return add_long_ema(placed, "value", 10).select("symbol", "seq", "ema")
+
+
+@query("tick_acf", f"""SELECT symbol, CAST(lag AS INTEGER) AS lag, acf,
+  1.959963984540054 * sqrt((1 + 2 * coalesce(sum(acf * acf) OVER (PARTITION BY symbol ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) AS band
+FROM (SELECT symbol, n, unnest(range(1, 31)) AS lag, unnest([{", ".join(f"a{k}" for k in H30)}]) AS acf
+  FROM (SELECT symbol, count(*) AS n, {_ACF} FROM (
+    SELECT symbol, dv, {_ACFL} FROM (SELECT symbol, ts, seq, value - avg(value) OVER (PARTITION BY symbol) AS dv FROM v_ticks WHERE value IS NOT NULL)
+    WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)) GROUP BY symbol))""", ["acf", "band"])
+def tick_acf(spark, d):
+    return stats.long_autocorrelation(ticks(spark, d), "value", **TICK)

@@ -87,10 +87,10 @@ def test_results_do_not_depend_on_partitioning(spark, noisy):
     pd.testing.assert_frame_equal(one, many)
 
 
-@pytest.mark.parametrize("width, rows", [(86_400, 16), (3_600, 64), (None, 1000)])
-def test_chunked_windows_equal_whole_windows(spark, width, rows):
+@pytest.mark.parametrize("seed, rows", [(86_400, 16), (3_600, 64), (7, 1000)])
+def test_chunked_windows_equal_whole_windows(spark, seed, rows):
     """A hot series with gaps and equal times, cut into small chunks."""
-    rng = random.Random(width or 7)
+    rng = random.Random(seed)
     base = dt.datetime(2024, 3, 30)
     data = []
     for i in range(1500):
@@ -107,7 +107,7 @@ def test_chunked_windows_equal_whole_windows(spark, width, rows):
         return series.add_moving_average(part, "value", 10, "sma_10", keys, order)
 
     whole = steps(df, ["symbol"], ["ts", "seq"]).orderBy("seq").toPandas()
-    cut = over_chunks(df, steps, "ts", ["seq"], back=9, ahead=5, rows=rows, width=width).orderBy("seq").toPandas()
+    cut = over_chunks(df, steps, "ts", ["seq"], back=9, ahead=5, rows=rows).orderBy("seq").toPandas()
     pd.testing.assert_frame_equal(whole, cut[whole.columns], rtol=1e-12)
 
     placed = add_long_position(df, "ts", ["seq"], bound=20)
