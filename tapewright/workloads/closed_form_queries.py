@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from tapewright.models.elastic_net import ElasticNet
 from tapewright.models.spaces import sample
 from tapewright.operators import sampling
-from tapewright.operators.quantiles import exact_quantiles
+from tapewright.operators.quantiles import exact_quantiles, sketched_quantiles
 from tapewright.plans import explain, forecast, training, tuning
 from tapewright.session import stage
 from tapewright.workloads.registry import H5, query
 from tapewright.workloads.series_queries import KD, T5, split5
-from tapewright.workloads.views import bars
+from tapewright.workloads.views import bars, ticks
 
 ALPHA, L1 = 0.005, 0.4
 TRIALS, SEED = 30, 7
@@ -168,9 +168,36 @@ _PRICES = "(SELECT CASE WHEN o_orderkey % 40 = 0 THEN CAST('inf' AS DOUBLE) WHEN
 
 @query("quantiles_infinite", f"""SELECT quantile_cont(x, CAST(0.1 AS DOUBLE)) AS q10, quantile_cont(x, CAST(0.5 AS DOUBLE)) AS q50, quantile_cont(x, CAST(0.9 AS DOUBLE)) AS q90, max(x) = CAST('inf' AS DOUBLE) AS top FROM {_PRICES}""", ["q10", "q50", "q90"], digits=4)
 def quantiles_infinite(spark, d):
-    """Exact quantiles of a column with infinite values, by narrowing brackets."""
+    """Exact quantiles of a column with infinite values, by sketches and brackets."""
     key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
     x = F.when(key % 40 == 0, F.lit(math.inf)).when(key % 50 == 1, F.lit(-math.inf)).otherwise(price)
     df = spark.read.parquet(f"{d}/orders.parquet").select(x.alias("x"))
     q10, q50, q90, top = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9, 1.0], small=500)["x"]
     return spark.createDataFrame([(q10, q50, q90, top == math.inf)], "q10 double, q50 double, q90 double, top boolean")
+
+
+_LINES = ("l_quantity", "l_extendedprice", "l_discount")
+_SHARES = (0.01, 0.25, 0.5, 0.75, 0.999)
+
+
+def _quantiles_sql(source: str, columns, key: str) -> str:
+    of = lambda c: ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), CAST({p} AS DOUBLE)) AS q{i}" for i, p in enumerate(_SHARES))
+    return "\nUNION ALL ".join(f"SELECT {key}'{c}' AS \"column\", count({c}) AS n, {of(c)} FROM {source}{' GROUP BY 1' if key else ''}" for c in columns)
+
+
+def _wide():
+    return [F.col("q")[i].alias(f"q{i}") for i in range(len(_SHARES))]
+
+
+@query("column_quantiles", _quantiles_sql("lineitem", _LINES, ""), [f"q{i}" for i in range(len(_SHARES))])
+def column_quantiles(spark, d):
+    """Exact quantiles of whole columns: a sketch pass, and one that resolves its brackets."""
+    found = sketched_quantiles(spark.read.parquet(f"{d}/lineitem.parquet"), _LINES, _SHARES, small=1000)
+    return found.select("column", "n", *_wide())
+
+
+@query("tick_quantiles", _quantiles_sql("v_ticks", ("value",), "symbol, "), [f"q{i}" for i in range(len(_SHARES))])
+def tick_quantiles(spark, d):
+    """The same for every series, of any length."""
+    found = sketched_quantiles(ticks(spark, d), ["value"], _SHARES, ["symbol"])
+    return found.select("symbol", "column", "n", *_wide())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import metrics, prep, stats
 from tapewright.operators.gram import gram_table, unpack
-from tapewright.operators.quantiles import exact_quantiles
+from tapewright.operators.quantiles import exact_quantiles, sketched_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -188,3 +188,30 @@ def test_quantiles_of_infinite_and_far_values(spark, small):
         at = p * (len(ordered) - 1)
         low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
         assert g == (low if low == high else pytest.approx(low + (high - low) * (at - math.floor(at))))
+
+
+@pytest.mark.parametrize("small, size", [(200_000, 4096), (5, 8)])
+def test_sketched_quantiles_by_series(spark, small, size):
+    """A hot series, heavy tails, a million equal values; tiny sketches and buffers force every round."""
+    probs = [0.9, 0.0, 0.25, 0.5, 1.0, 0.999]
+    rng = np.random.default_rng(8)
+    data = {"hot": np.exp(rng.standard_normal(3000) * 9), "s": rng.integers(0, 4, 500).astype(float), "one": np.array([7.0]),
+            "ends": np.array([-np.inf] * 30 + [np.inf] * 50 + list(rng.standard_normal(100)))}
+    rows = [(k, float(v), None if i % 3 else float(-v)) for k, vs in data.items() for i, v in enumerate(vs)] + [("none", None, None), ("s", float("nan"), None)]
+    df = spark.createDataFrame(rows, "symbol string, a double, b double").repartition(6)
+    got = {(r.symbol, r.column): (r.n, r.q) for r in sketched_quantiles(df, ["a", "b"], probs, ["symbol"], small, 4, size).collect()}
+    for k, vs in data.items():
+        for column, known in (("a", vs), ("b", -vs[::3])):
+            n, q = got.pop((k, column))
+            assert n == len(known)
+            ordered = np.sort(known)
+            for p, g in zip(probs, q, strict=True):
+                at = p * (len(ordered) - 1)
+                low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+                assert g == (low if low == high else pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-12))
+    assert not got
+
+
+def test_quantiles_of_a_million_equal_values(spark):
+    df = spark.range(1_200_000).select(F.when(F.col("id") < 1_000_000, 5.0).otherwise(F.col("id") / 3).alias("a"))
+    assert exact_quantiles(df, ["a"], [0.0, 0.1, 0.5, 1.0], small=1000)["a"] == [5.0, 5.0, 5.0, pytest.approx(1_199_999 / 3)]
