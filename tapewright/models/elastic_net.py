@@ -115,21 +115,23 @@ def spread(models: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def solve(models: DataFrame, scope: Sequence[str], trials: list[dict[str, Any]], p: int, numeric: int, metric: str) -> DataFrame:
-    """Fit and score rows (scope..., trial, train, val): adds the validation score."""
+    """Fit and score rows (scope..., trials, train, val): a row (scope..., trial, score) for each of the trials."""
     kinds = "".join(f"{c} {dict(models.dtypes)[c]}, " for c in scope)
     names = list(scope)
     plain = [(t["alpha"], t["l1_ratio"], int(t["max_iter"])) for t in trials]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            scores = []
-            for trial, train, val in zip(pdf["trial"], pdf["train"], pdf["val"]):
-                dim = int((np.sqrt(8 * len(train) + 1) - 1) / 2)
-                raw, bias, _ = fit_gram(unpack(train, dim), p, numeric, *plain[trial])
-                scores.append(score_gram(unpack(val, dim), p, raw, bias)[metric])
-            yield pdf[[*names, "trial"]].assign(score=scores)
-
-    return spread(models.select(*names, "trial", "train", "val"), [*names, "trial"]).mapInPandas(run, f"{kinds}trial int, score double")
+            scored = []
+            for row in pdf.itertuples(index=False):
+                dim = int((np.sqrt(8 * len(row.train) + 1) - 1) / 2)
+                fit_on, score_on = unpack(row.train, dim), unpack(row.val, dim)
+                for trial in row.trials:
+                    raw, bias, _ = fit_gram(fit_on, p, numeric, *plain[trial])
+                    scored.append((*[getattr(row, c) for c in names], int(trial), score_gram(score_on, p, raw, bias)[metric]))
+            yield pd.DataFrame(scored, columns=[*names, "trial", "score"])
+
+    return spread(models.select(*names, "trials", "train", "val"), [*names, "trials"]).mapInPandas(run, f"{kinds}trial int, score double")
 
 
 @dataclass(frozen=True)

@@ -59,3 +59,23 @@ def expanding_folds(df: DataFrame, n_splits: int = 2, gap: int = 0, keys=KEYS, o
         .when((F.col("_pos") >= start) & (F.col("_pos") < start + size), "val")
     )
     return exploded.withColumn("role", role).where(F.col("role").isNotNull()).drop("_pos", "_n")
+
+
+TRAIN, VAL, OUT = "T", "V", "-"
+
+
+def fold_states(df: DataFrame, n_splits: int = 2, gap: int = 0, keys=KEYS, order=("date",)) -> DataFrame:
+    """Adds ``states``, a letter per fold: training, validation or neither.  The folds of ``expanding_folds``, each row once."""
+    placed = df.withColumns({
+        "_pos": F.row_number().over(series_window(keys, order)) - 1,
+        "_n": F.count(F.lit(1)).over(W.partitionBy(*keys)),
+    })
+    size, pos = F.floor(F.col("_n") / (n_splits + 1)), F.col("_pos")
+    starts = [F.col("_n") - (n_splits - fold) * size for fold in range(n_splits)]
+    states = [F.when(pos < start - gap, TRAIN).when((pos >= start) & (pos < start + size), VAL).otherwise(OUT) for start in starts]
+    return placed.withColumn("states", F.concat(*states)).drop("_pos", "_n")
+
+
+def in_fold(fold: int, role: str):
+    """Rows of ``fold_states`` that have this role in a fold."""
+    return F.substring("states", fold + 1, 1) == role

@@ -1,8 +1,8 @@
 """Random search with successive halving over expanding folds.
 
 All trials are scored on the first fold, the best third also on the following ones; the mean
-over folds decides.  For the elastic net one Gram table per fold serves all trials: models
-are solved in parallel tasks and no rows are read again.
+over folds decides.  For the elastic net one pass gives the cross products of all folds, which
+serve all trials: models are solved in parallel tasks and no rows are read again.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from tapewright.models.base import Forecaster, prediction_names
 from tapewright.models.elastic_net import ElasticNet, solve
 from tapewright.models.spaces import sample
 from tapewright.operators.columns import split_types
+from tapewright.operators.fold_grams import fold_grams
 from tapewright.operators.metrics import is_maximise, paired, score
-from tapewright.operators.prep import Inputs, fill_values
+from tapewright.operators.prep import Inputs
 from tapewright.operators.series import KEYS
-from tapewright.operators.split import expanding_folds
+from tapewright.operators.split import TRAIN, VAL, fold_states, in_fold
 from tapewright.session import stage
 
 REDUCTION = 3
@@ -70,38 +71,31 @@ def _pick(scores: DataFrame, scope: Sequence[str], folds: int, metric: str) -> D
     return done.select(*scope, "b.trial", "b.value")
 
 
+def _with_trials(grams: DataFrame, scope: Sequence[str], numbers: Sequence[int]) -> DataFrame:
+    """Each model with the trials to solve: all in one row where there are many models, else a row per trial."""
+    if scope:
+        return grams.withColumn("trials", F.array(*[F.lit(i) for i in numbers]))
+    return grams.withColumn("trials", F.explode(F.array(*[F.array(F.lit(i)) for i in numbers])))
+
+
 def tune_elastic_net(train: DataFrame, features: Sequence[str], targets: Sequence[str], base: ElasticNet, trials: int = 30, folds: int = 2, gap: int = 0, metric: str = "rmse", keys=KEYS) -> Tuning:
     if metric not in GRAM_METRICS:
         return tune(train, features, targets, base, trials, folds, gap, metric, keys)
     params = sample(base.search_space(), trials, base.seed)
     inputs, scope = Inputs.of(*split_types(features)), list(base.scope)
-    rows = stage(
-        expanding_folds(train.na.drop(subset=list(targets)).select(*keys, "date", *features, *targets), folds, gap, keys), "folds"
-    )
-    fold_grams = []
-    for fold in range(folds):
-        part = rows.where(F.col("fold") == fold)
-        fill = fill_values(part.where("role = 'train'"), inputs, scope, targets)
-        grams = base.grams(part, inputs, targets, fill, ["role"])
-        fold_grams.append(grams.groupBy(*scope).pivot("role", ["train", "val"]).agg(F.first("gram")).withColumn("fold", F.lit(fold)))
+    rows = train.select(*keys, "date", *features, *targets)
+    grams = stage(fold_grams(rows, inputs, targets, scope, folds, gap, keys), "fold-grams")
     p, numeric = len(inputs.encoded), len(inputs.numeric)
 
-    every = F.sequence(F.lit(0), F.lit(trials - 1))
-    opening = fold_grams[0].withColumn("trial", F.explode(every))
-    first = stage(solve(opening, scope + ["fold"], params, p, numeric, metric), "scores")
+    first = stage(solve(_with_trials(grams.where("fold = 0"), scope, range(trials)), scope + ["fold"], params, p, numeric, metric), "scores")
     scores = first
     if folds > 1:
-        kept = _survivors(first, scope, trials, metric)
-        later = fold_grams[1]
-        for g in fold_grams[2:]:
-            later = later.unionByName(g)
+        kept, later = _survivors(first, scope, trials, metric), grams.where("fold > 0")
         if scope:
-            models = later.join(kept, scope)
+            models = later.join(kept.groupBy(*scope).agg(F.collect_list("trial").alias("trials")), scope)
         else:  # one model: a handful of trial numbers
-            alive = [r["trial"] for r in kept.collect()]
-            models = later.withColumn("trial", F.explode(F.array(*[F.lit(i) for i in alive])))
-        solved = solve(models, scope + ["fold"], params, p, numeric, metric)
-        scores = first.unionByName(stage(solved, "scores"))
+            models = _with_trials(later, scope, [r["trial"] for r in kept.collect()])
+        scores = first.unionByName(stage(solve(models, scope + ["fold"], params, p, numeric, metric), "scores"))
     return Tuning(params, scores, stage(_pick(scores, scope, folds, metric), "best"), tuple(scope))
 
 
@@ -109,11 +103,10 @@ def tune(train: DataFrame, features: Sequence[str], targets: Sequence[str], base
     """Any forecaster and any metric: fits and scores fold by fold."""
     spark = train.sparkSession
     params = sample(base.search_space(), trials, getattr(base, "seed", 42))
-    rows = stage(expanding_folds(train.na.drop(subset=list(targets)), folds, gap, keys), "folds")
+    rows = stage(fold_states(train.na.drop(subset=list(targets)), folds, gap, keys), "folds")
     alive, found = list(range(trials)), []
     for fold in range(folds):
-        part = rows.where(F.col("fold") == fold).drop("fold")
-        tr, va = part.where("role = 'train'").drop("role"), part.where("role = 'val'").drop("role")
+        tr, va = (rows.where(in_fold(fold, role)).drop("states") for role in (TRAIN, VAL))
         scored = []
         for i in alive:
             model = base.with_params(**params[i]).fit(tr, features, targets, va)

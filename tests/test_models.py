@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapewright.models.base import Experiment
@@ -128,6 +129,43 @@ def test_gram_scores_equal_predicted_scores(panel):
     assert per.best_table().count() == 2
 
 
+@pytest.mark.parametrize("scope, folds, gap", [((), 4, 3), (("symbol",), 3, 0)])
+def test_fold_grams_impute_by_fold(panel, scope, folds, gap):
+    """Folds with gaps and missing values, a late column without any early value: the same scores as fits on copied rows."""
+    feats = ["log_return", "lag_1", "lag_2", "dow"]
+    gone = F.pmod(F.xxhash64("symbol", "date"), F.lit(4))
+    late = F.row_number().over(Window.partitionBy("symbol").orderBy("date")) > 40
+    train = part(panel, "train").withColumns({
+        "lag_1": F.when(gone != 0, F.col("lag_1")), "lag_2": F.when(late, F.col("lag_2")), "dow": F.when(gone != 1, F.col("dow")),
+    })
+    net = ElasticNet(seed=3, scope=scope)
+    fast = tuning.tune_elastic_net(train, feats, T3, net, trials=3, folds=folds, gap=gap)
+    assert fast.trials.groupBy("trial", "fold").count().count() == 3 + folds - 1
+    if not scope:
+        slow = tuning.tune(train, feats, T3, net, trials=3, folds=folds, gap=gap)
+        a = {(r["trial"], r["fold"]): r["score"] for r in fast.trials.collect()}
+        assert a == pytest.approx({(r["trial"], r["fold"]): r["score"] for r in slow.trials.collect()}, rel=1e-8)
+    else:
+        for symbol in ("A", "B"):
+            one = train.where(F.col("symbol") == symbol)
+            if one.isEmpty():
+                continue
+            slow = tuning.tune(one, feats, T3, ElasticNet(seed=3), trials=3, folds=folds, gap=gap)
+            a = {(r["trial"], r["fold"]): r["score"] for r in fast.trials.where(F.col("symbol") == symbol).collect()}
+            assert a == pytest.approx({(r["trial"], r["fold"]): r["score"] for r in slow.trials.collect()}, rel=1e-8)
+
+
+def test_folds_without_copies(panel):
+    """Ten folds: one row per input row, and no operator that copies rows."""
+    rows = part(panel, "train")
+    placed = split.fold_states(rows, 10, 2)
+    assert placed.count() == rows.count()
+    copied = split.expanding_folds(rows, 10, 2).groupBy("fold", "role").count().collect()
+    for r in copied:
+        letter = {"train": split.TRAIN, "val": split.VAL}[r["role"]]
+        assert placed.where(split.in_fold(r["fold"], letter)).count() == r["count"]
+
+
 def test_sampling_is_seeded_and_in_range():
     space = BoostedTrees.search_space()
     a = sample(space, 50, 1)
