@@ -20,6 +20,8 @@ from tapewright.session import stage
 
 # Objective names and the losses of the regressor that they stand for.
 LOSSES = {"reg:squarederror": "squared", "reg:absoluteerror": "absolute"}
+#: Depth of trees without a limit, which the regressor does not know; ``ignored`` reports it.
+UNLIMITED = 8
 IGNORED = ("reg_alpha", "reg_lambda", "grow_policy", "max_leaves", "tree_method", "eval_metric")
 
 
@@ -39,7 +41,6 @@ class BoostedTrees(Forecaster):
     max_bin: int = 128
     objective: str = "reg:squarederror"
     early_stopping_rounds: int = 30
-    tolerance: float = 0.01
     parallel_fits: int = 2
     extra: dict[str, Any] = field(default_factory=dict)
     name = "xgboost"
@@ -50,8 +51,8 @@ class BoostedTrees(Forecaster):
         return replace(self, **known, extra={**self.extra, **rest})
 
     def ignored(self) -> dict[str, Any]:
-        """Parameters that were given and have no effect here."""
-        return dict(self.extra)
+        """Parameters that were given and have no effect here, or another one: trees without a limit get a deepest depth."""
+        return {**self.extra, **({} if self.max_depth else {"max_depth": 0})}
 
     @classmethod
     def search_space(cls) -> dict[str, Any]:
@@ -74,15 +75,13 @@ class BoostedTrees(Forecaster):
             "tree_method": "hist",
         }
 
-    def _regressor(self, j: int, stop: bool) -> GBTRegressor:
-        # depth 0 means "no limit"; the regressor knows no such setting, so its deepest common depth is used
+    def _regressor(self, j: int) -> GBTRegressor:
         return GBTRegressor(
             featuresCol="_vector", labelCol=f"_y{j}", predictionCol=f"_p{j}", seed=self.seed + j,
-            maxIter=self.n_estimators, stepSize=self.learning_rate, maxDepth=self.max_depth or 8,
+            maxIter=self.n_estimators, stepSize=self.learning_rate, maxDepth=self.max_depth or UNLIMITED,
             subsamplingRate=self.subsample, featureSubsetStrategy=str(float(self.colsample_bytree)),
             minInstancesPerNode=max(1, round(self.min_child_weight)), minInfoGain=self.gamma,
             maxBins=int(self.max_bin), lossType=LOSSES[self.objective],
-            **({"validationIndicatorCol": "_val", "validationTol": self.tolerance} if stop else {}),
         )
 
     def fit(self, train: DataFrame, features: Sequence[str], targets: Sequence[str], val: DataFrame | None = None) -> FittedTrees:
@@ -100,7 +99,11 @@ class BoostedTrees(Forecaster):
         stop = val is not None and self.early_stopping_rounds > 0
 
         def one(j: int) -> GBTRegressionModel:
-            return self._regressor(j, stop).fit(data.select("_vector", "_val", f"_y{j}"))
+            model = self._regressor(j).fit(data.where("NOT _val").select("_vector", f"_y{j}"))
+            if not stop:
+                return model
+            losses = model.evaluateEachIteration(data.where("_val").select("_vector", f"_y{j}"), LOSSES[self.objective])
+            return first_trees(model, best_round(losses, self.early_stopping_rounds))
 
         if self.parallel_fits > 1 and len(targets) > 1:
             with ThreadPool(self.parallel_fits) as pool:
@@ -110,6 +113,39 @@ class BoostedTrees(Forecaster):
         return FittedTrees(models, inputs, fill, [scale[t] for t in targets])
 
 
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """Rounds to keep: the best one before ``patience`` rounds have gone by without a better one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first rounds: later trees do not change earlier ones."""
+    if rounds >= model.getNumTrees:
+        return model
+    java, context = model._java_obj, SparkSession.active().sparkContext
+    gateway = context._gateway
+    trees = gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(java.trees(), java.treeWeights(), strict=True)):
+        if i < rounds:
+            trees[i], weights[i] = tree, weight
+    cut = context._jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    return _with_columns(GBTRegressionModel(cut), model)
+
+
+def _with_columns(cut: GBTRegressionModel, model: GBTRegressionModel) -> GBTRegressionModel:
+    cut._java_obj.setFeaturesCol(model.getFeaturesCol())
+    cut._java_obj.setPredictionCol(model.getPredictionCol())
+    cut._transfer_params_from_java()
+    return cut
+
+
 def _vectors(df: DataFrame, inputs: Inputs) -> DataFrame:
     return VectorAssembler(inputCols=inputs.encoded, outputCol="_vector").transform(df)
 

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapewright.models.boosted_trees import FittedTrees
+from tapewright.models.base import FittedForecaster
 from tapewright.models.elastic_net import FittedElasticNet
 from tapewright.operators.joins import join_models
 from tapewright.operators.prep import imputed, literal
 from tapewright.operators.sampling import head_rows, seeded_sample
-from tapewright.session import stage_path
 
-BACKGROUND = 50
+#: Rows of the background and coalitions of the design: what a row costs in predictions.
+BACKGROUND, COALITIONS = 50, 48
 
 
 def background(rows: DataFrame, key: Sequence[str], n: int = 100, seed: int = 42) -> DataFrame:
@@ -58,101 +58,72 @@ def summarise(phi: DataFrame) -> DataFrame:
     return means.withColumn("rank", F.row_number().over(order))
 
 
-def sampled_shapley(predict, x: np.ndarray, base: np.ndarray, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    """Permutation estimate of Shapley values: rows x features.
+def coalition_design(features: int, coalitions: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions (0-1 rows) and the matrix that maps their values to Shapley values.
 
-    Each permutation is walked forwards and backwards, from every background row to x; the sum
-    over features is exactly prediction minus mean background prediction.
+    The first row is the empty coalition, the second the full one.  Sizes from the outside in are taken whole, each
+    coalition with its complement, as long as ``coalitions`` allow; the rest is drawn, in pairs, by kernel weight.
+    All coalitions give exact Shapley values, any such design gives those of an additive model.  The weighted least
+    squares under the condition that attributions add up to the prediction are linear in the values of the
+    coalitions, and the design is the same for all rows: so one matrix solves them all.
     """
-    n, p = x.shape
-    phi = np.zeros((n, p))
-    m = len(base)
-    for _ in range(rounds):
-        order = rng.permutation(p)
-        for path in (order, order[::-1]):
-            mixed = np.repeat(base[None, :, :], n, axis=0)
-            before = predict(mixed.reshape(-1, p)).reshape(n, m).mean(axis=1)
-            for j in path:
-                mixed[:, :, j] = x[:, j][:, None]
-                after = predict(mixed.reshape(-1, p)).reshape(n, m).mean(axis=1)
-                phi[:, j] += after - before
-                before = after
-    return phi / (2 * rounds)
-
-
-def kernel_attribution(predictors: Sequence, encoded: DataFrame, inputs: Sequence[str], base: DataFrame, keep: Sequence[str], rounds: int = 4, seed: int = 42, size: int = BACKGROUND) -> DataFrame:
-    """Model-agnostic attributions of rows that hold the encoded ``inputs``.
-
-    ``predictors``: one function matrix -> vector per horizon.  The background is an ordered
-    sample of at most ``size`` rows, so what travels with the tasks has a fixed size.
+    p = features
+    ends = np.array([np.zeros(p), np.ones(p)])
+    if p == 1:
+        return ends, np.array([[-1.0, 1.0]])
+    kernel = {k: (p - 1) / (k * (p - k)) for k in range(1, p)}  # weight of all coalitions of a size
+    rows: dict[tuple[int, ...], float] = {}
+    inner = list(range(1, p // 2 + 1))
+    while inner:
+        k = inner[0]
+        sets = list(combinations(range(p), k)) if math.comb(p, k) <= coalitions else None
+        members = None if sets is None else {tuple(int(j in s) for j in range(p)) for s in sets}
+        both = None if members is None else members | {tuple(1 - z for z in m) for m in members}
+        if both is None or (len(rows) + len(both) > coalitions and rows):
+            break
+        rows.update({m: kernel[k] / math.comb(p, k) for m in both})
+        inner.pop(0)
+    if inner:
+        rng = np.random.default_rng(seed)
+        shares = np.array([kernel[k] * (1 if 2 * k == p else 2) for k in inner])
+        drawn: dict[tuple[int, ...], int] = {}
+        for _ in range(max(0, coalitions - len(rows)) // 2):
+            chosen = rng.permutation(p)[: inner[rng.choice(len(inner), p=shares / shares.sum())]]
+            one = tuple(int(j in chosen) for j in range(p))
+            for m in (one, tuple(1 - z for z in one)):
+                drawn[m] = drawn.get(m, 0) + 1
+        rows.update({m: shares.sum() * n / sum(drawn.values()) for m, n in drawn.items()})
+    masks = np.array(list(rows), float)
+    weight = np.array(list(rows.values()))
+    a = masks[:, :-1] - masks[:, -1:]
+    solver = np.linalg.solve(a.T @ (weight[:, None] * a), a.T * weight)
+    last = masks[:, -1]
+    values = np.column_stack([-solver @ (1 - last), -solver @ last, solver])
+    rest = -values.sum(axis=0)
+    rest[:2] += [-1.0, 1.0]
+    return np.vstack([ends, masks]), np.vstack([values, rest])
+
+
+def coalition_attribution(model: FittedForecaster, rows: DataFrame, base: DataFrame, keep: Sequence[str], coalitions: int = COALITIONS, size: int = BACKGROUND, seed: int = 42) -> DataFrame:
+    """Attributions of any model to its inputs, by weighted coalitions: (keep..., horizon, feature, phi, base).
+
+    Every row is mixed with the background, an ordered sample of ``size`` rows: inputs of the coalition from the row,
+    the others from the background.  The model only predicts; attributions are sums over its predictions, so rows are
+    neither solved one by one nor collected.  ``keep`` identifies a row.
     """
-    sample = head_rows(base.select(*keep, *inputs), keep, size).select(*inputs)
-    ground = np.array([list(r) for r in sample.collect()], dtype=float)
-    names, kept = list(inputs), list(keep)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), 256):
-                part = pdf.iloc[start:start + 256].reset_index(drop=True)
-                for h, predict in enumerate(predictors, 1):
-                    expected = float(predict(ground).mean())
-                    phi = sampled_shapley(predict, part[names].to_numpy(float), ground, rounds, np.random.default_rng(seed))
-                    for j, name in enumerate(names):
-                        yield part[kept].assign(horizon=h, feature=name, phi=phi[:, j], base=expected)
-
-    kinds = ", ".join(f"{c} {dict(encoded.dtypes)[c]}" for c in kept)
-    return encoded.select(*kept, *names).mapInPandas(run, f"{kinds}, horizon int, feature string, phi double, base double")
-
-
-def tree_table(model: GBTRegressionModel) -> list[dict]:
-    """Nodes of every tree, read from the model's own saved form (bounded by the model, not by data)."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
-    path = stage_path(spark, "trees")
-    model.write().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
-    trees: dict[int, list] = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], []).append(r)
-    out = []
-    for tree_id, weight in enumerate(model.treeWeights):
-        nodes = sorted(trees[tree_id], key=lambda r: r["id"])
-        out.append({
-            "weight": float(weight),
-            "value": np.array([r["prediction"] for r in nodes]),
-            "left": np.array([r["leftChild"] for r in nodes]),
-            "right": np.array([r["rightChild"] for r in nodes]),
-            "feature": np.array([r["split"]["featureIndex"] for r in nodes]),
-            "threshold": np.array([(r["split"]["leftCategoriesOrThreshold"] or [0.0])[0] for r in nodes]),
-        })
-    return out
-
-
-def tree_predictor(trees: list[dict], mean: float, std: float):
-    """Matrix -> predictions, on the scale of the target."""
-    def predict(x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for t in trees:
-            at = np.zeros(len(x), dtype=int)
-            while True:
-                inner = np.flatnonzero(t["left"][at] >= 0)
-                if not len(inner):
-                    break
-                node = at[inner]
-                go_left = x[inner, t["feature"][node]] <= t["threshold"][node]
-                at[inner] = np.where(go_left, t["left"][node], t["right"][node])
-            total += t["weight"] * t["value"][at]
-        return total * std + mean
-
-    return predict
-
-
-def tree_attribution(model: FittedTrees, rows: DataFrame, base: DataFrame, keep: Sequence[str], rounds: int = 4, seed: int = 42) -> DataFrame:
-    """Attributions of a boosted-tree model in the same form as the others."""
-    predictors = [tree_predictor(tree_table(m), *s) for m, s in zip(model.models, model.scale)]
-
-    def encode(df: DataFrame) -> DataFrame:
-        return model.fill.attach(df).select(*keep, *imputed(model.inputs))
-
-    return kernel_attribution(predictors, encode(rows), model.inputs.encoded, encode(base), keep, rounds, seed)
+    names, kept, kinds = [*model.inputs.numeric, *model.inputs.categorical], list(keep), dict(rows.dtypes)
+    found = head_rows(base.select(*kept, *names), kept, size).select(*names).collect()
+    ground = [[None if v is None or v != v else float(v) for v in r] for r in found]
+    masks, solver = coalition_design(len(names), coalitions, seed)
+    empty = np.zeros((1, len(masks)))
+    empty[0, 0] = 1.0
+    plan = [{"z": m, "c": c} for m, c in zip(masks.astype(int).tolist(), (np.vstack([solver, empty]) / max(1, len(ground))).T.tolist(), strict=True)]
+    mixed = rows.select(*kept, *names).withColumn("_d", F.explode(literal(plan, "array<struct<z:array<int>,c:array<double>>>")))
+    mixed = mixed.withColumn("_b", F.explode(literal(ground, "array<array<double>>")))
+    taken = [F.when(F.col("_d.z")[j] == 1, F.col(n)).otherwise(F.col("_b")[j].cast(kinds[n])).alias(n) for j, n in enumerate(names)]
+    scored = model.transform(mixed.select(*kept, F.col("_d.c").alias("_c"), *taken))
+    sums = [F.array(*[F.sum(F.col("_c")[j] * F.col(y)) for j in range(len(names) + 1)]).alias(y) for y in model.predictions]
+    summed = scored.groupBy(*kept).agg(*sums)
+    long = F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(y).alias("_s")) for h, y in enumerate(model.predictions, 1)]))
+    entries = F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col("_s")[j].alias("phi")) for j, n in enumerate(names)]))
+    return summed.select(*kept, long).select(*kept, "horizon", F.col("_s")[len(names)].alias("base"), entries).select(*kept, "horizon", "feature", "phi", "base")

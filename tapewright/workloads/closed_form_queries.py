@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tapewright.models.boosted_trees import BoostedTrees
 from tapewright.models.elastic_net import ElasticNet
 from tapewright.models.spaces import sample
 from tapewright.operators import sampling
@@ -154,13 +155,43 @@ _FIRST_ROWS = """(SELECT avg(log_return) AS m FROM (SELECT * FROM v_split5 WHERE
 @query("kernel_linear", f"""SELECT t.symbol, t.date, CAST(k.h AS INTEGER) AS horizon, 'log_return' AS feature, k.w * (t.log_return - g.m) AS phi, k.b + k.w * g.m AS base
 FROM v_split5 t, {_POOLED} k, {_FIRST_ROWS} g WHERE t.split = 'test'""", ["phi", "base"], digits=7)
 def kernel_linear(spark, d):
-    """Permutation attributions equal the closed form where the model is linear."""
+    """Attributions by coalitions equal the closed form where the model is linear."""
     df = stage(split5(spark, d), "features")
     test = df.where("split = 'test'")
     model = ElasticNet(alpha=ALPHA, l1_ratio=L1).fit(df.where("split = 'train'"), ["log_return"], T5)
-    row = model.table.first()
-    predictors = [lambda x, w=w[0], b=b: x[:, 0] * w + b for w, b in zip(row["weights"], row["bias"], strict=True)]
-    return explain.kernel_attribution(predictors, test, ["log_return"], test, KD)
+    return explain.coalition_attribution(model, test, test, KD)
+
+
+# --- a tree with one split has a closed form: the mean target on either side ------------------
+
+_RISES = "(SELECT *, CASE WHEN log_return > 0 THEN 1 ELSE 0 END AS up FROM v_split5 WHERE log_return IS NOT NULL)"
+_STUMP = f"""(SELECT up, h, avg(y) AS v FROM ({" UNION ALL ".join(f"SELECT up, {h} AS h, target_{h} AS y FROM {_RISES} WHERE split = 'train'" for h in H5)}) GROUP BY up, h)"""
+
+
+def stump(spark, d):
+    """Rows with a rise or not and a constant input, and a tree with one split per horizon."""
+    df = split5(spark, d).where("log_return IS NOT NULL")
+    df = stage(df.withColumn("up", (F.col("log_return") > 0).cast("double")).withColumn("flat", F.lit(1.0)), "rises")
+    trees = BoostedTrees(horizon=5, n_estimators=1, max_depth=1, subsample=1.0, colsample_bytree=1.0)
+    return df, trees.fit(df.where("split = 'train'"), ["up", "flat"], T5)
+
+
+@query("stump_predictions", f"""SELECT f.symbol, f.date, CAST(k.h AS INTEGER) AS horizon, CASE k.h {" ".join(f"WHEN {h} THEN f.target_{h}" for h in H5)} END AS y_true, k.v AS y_pred
+FROM {_RISES} f JOIN {_STUMP} k ON k.up = f.up WHERE f.split = 'test'""", ["y_true", "y_pred"], digits=8)
+def stump_predictions(spark, d):
+    df, model = stump(spark, d)
+    return training.predict_long(model, df.where("split = 'test'"), T5, KD)
+
+
+@query("stump_attributions", f"""SELECT f.symbol, f.date, CAST(k.h AS INTEGER) AS horizon, n.feature, CASE n.feature WHEN 'up' THEN k.v - g.m ELSE 0 END AS phi, g.m AS base
+FROM {_RISES} f JOIN {_STUMP} k ON k.up = f.up
+JOIN (SELECT s.h, avg(s.v) AS m FROM (SELECT up FROM {_RISES} WHERE split = 'test' ORDER BY symbol, date LIMIT 50) b JOIN {_STUMP} s ON s.up = b.up GROUP BY s.h) g ON g.h = k.h
+CROSS JOIN (VALUES ('up'), ('flat')) n(feature) WHERE f.split = 'test'""", ["phi", "base"], digits=8)
+def stump_attributions(spark, d):
+    """All horizons, the whole test set: the tree is only asked for predictions."""
+    df, model = stump(spark, d)
+    test = df.where("split = 'test'")
+    return explain.coalition_attribution(model, test, test, KD)
 
 
 _PRICES = "(SELECT CASE WHEN o_orderkey % 40 = 0 THEN CAST('inf' AS DOUBLE) WHEN o_orderkey % 50 = 1 THEN CAST('-inf' AS DOUBLE) ELSE CAST(o_totalprice AS DOUBLE) END AS x FROM orders)"

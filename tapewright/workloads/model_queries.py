@@ -417,8 +417,7 @@ def shap_summary(spark, d):
 
 @query("kernel_shap")
 def kernel_shap(spark, d):
-    """Sampled Shapley values of the tree model of the first horizon for all test rows, background from test rows."""
+    """Attributions of the tree models of all horizons for all test rows, background from test rows."""
     df = stage(split5(spark, d), "panel")
-    model = fitted_trees(df, T5[:1])
     test = df.where("split = 'test'")
-    return explain.tree_attribution(model, test, explain.background(test, KD), KD, rounds=2)
+    return explain.coalition_attribution(fitted_trees(df), test, explain.background(test, KD), KD)

@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import json
 import math
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapewright.models.base import Experiment
-from tapewright.models.boosted_trees import BoostedTrees, FittedTrees
+from tapewright.models.boosted_trees import BoostedTrees, FittedTrees, best_round
 from tapewright.models.elastic_net import ElasticNet, FittedElasticNet, minimise
 from tapewright.models.naive import FittedNaive, Naive
 from tapewright.models.spaces import sample
@@ -191,12 +192,12 @@ def test_trees_learn_save_and_explain(spark, panel):
     want = {(r["symbol"], r["date"]): r["pred_1"] for r in model.transform(test).collect()}
     assert {(r["symbol"], r["date"]): r["pred_1"] for r in loaded.transform(test).collect()} == want
     few = test.where("date < '2020-08-28'")
-    phi = explain.tree_attribution(model, few, explain.background(test, ["symbol", "date"]), ["symbol", "date"], rounds=2)
+    phi = explain.coalition_attribution(model, few, explain.background(test, ["symbol", "date"]), ["symbol", "date"])
     sums = phi.groupBy("symbol", "date").agg((F.sum("phi") + F.first("base")).alias("p")).collect()
     assert sums
     for r in sums:
         assert r["p"] == pytest.approx(want[r["symbol"], r["date"]], abs=1e-9)
-    assert trees.with_params(reg_alpha=0.5, max_depth=0).ignored() == {"reg_alpha": 0.5}
+    assert trees.with_params(reg_alpha=0.5, max_depth=0).ignored() == {"reg_alpha": 0.5, "max_depth": 0}
 
 
 def test_linear_attributions_add_up(panel):
@@ -213,11 +214,67 @@ def test_linear_attributions_add_up(panel):
     assert top["feature"] == "log_return"
 
 
-def test_sampled_shapley_is_exact_for_linear_models():
-    rng = np.random.default_rng(0)
-    w, x, base = np.array([1.0, -2.0, 0.5]), rng.normal(size=(4, 3)), rng.normal(size=(6, 3))
-    phi = explain.sampled_shapley(lambda m: m @ w, x, base, 1, rng)
-    np.testing.assert_allclose(phi, w * (x - base.mean(0)), atol=1e-12)
+def shapley(value, p):
+    """By definition: the mean over all orders of what an input adds."""
+    out = np.zeros(p)
+    for order in itertools.permutations(range(p)):
+        z = np.zeros(p)
+        for j in order:
+            before = value(z)
+            z[j] = 1
+            out[j] += value(z) - before
+    return out / math.factorial(p)
+
+
+@pytest.mark.parametrize("p", [1, 2, 3, 5])
+def test_all_coalitions_give_shapley_values(p):
+    rng = np.random.default_rng(p)
+    table = {z: rng.normal() for z in itertools.product((0, 1), repeat=p)}
+    masks, solver = explain.coalition_design(p, 64)
+    got = solver @ [table[tuple(m.astype(int))] for m in masks]
+    np.testing.assert_allclose(got, shapley(lambda z: table[tuple(z.astype(int))], p), atol=1e-10)
+
+
+def test_a_sampled_design_is_exact_for_additive_models():
+    rng = np.random.default_rng(4)
+    masks, solver = explain.coalition_design(12, 60)
+    assert len(masks) <= 62 and len({tuple(m) for m in masks}) == len(masks)
+    assert {tuple(1 - m) for m in masks} == {tuple(m) for m in masks}
+    w = rng.normal(size=12)
+    np.testing.assert_allclose(solver @ (masks @ w + 3), w, atol=1e-9)
+
+
+def test_coalitions_equal_linear_attributions(panel):
+    """Several inputs, one categorical: the levels of an input add up to its attribution."""
+    test, key = part(panel, "test"), ["symbol", "date"]
+    model = ElasticNet(alpha=1e-3).fit(part(panel, "train"), ["log_return", "lag_1", "lag_2", "dow"], T3)
+    few = test.where("date < '2020-09-10'")
+    by = explain.coalition_attribution(model, few, test, key, size=20)
+    ground = test.orderBy(*key).limit(20)
+    linear = explain.linear_attribution(model, few, ground, key).withColumn("feature", F.regexp_replace("feature", "^dow_.*", "dow"))
+    linear = linear.groupBy(*key, "horizon", "feature").agg(F.sum("phi").alias("want"), F.first("base").alias("want_base"))
+    both = by.join(linear, [*key, "horizon", "feature"]).collect()
+    assert len(both) == few.count() * 3 * 4
+    for r in both:
+        assert r["phi"] == pytest.approx(r["want"], abs=1e-12) and r["base"] == pytest.approx(r["want_base"], abs=1e-12)
+
+
+def test_early_stopping_by_rounds(spark, panel):
+    assert best_round([5, 4, 3, 3.5, 3.2, 2.9, 1.0], 2) == 3
+    assert best_round([5, 4, 3, 3.5, 3.2, 2.9, 1.0], 4) == 7 and best_round([1.0], 5) == 1
+    feats = ["log_return", "lag_1"]
+    trees = BoostedTrees(n_estimators=25, max_depth=4, learning_rate=0.9, subsample=1.0, colsample_bytree=1.0, early_stopping_rounds=3)
+    train, val = part(panel, "train"), part(panel, "val")
+    cut = trees.fit(train, feats, T3[:1], val)
+    whole = trees.with_params(early_stopping_rounds=0).fit(train, feats, T3[:1], val)
+    kept = cut.models[0].getNumTrees
+    assert kept < 25 == whole.models[0].getNumTrees
+    short = trees.with_params(n_estimators=kept).fit(train, feats, T3[:1])
+    a, b = (sorted(r["pred_1"] for r in m.transform(val).collect()) for m in (cut, short))
+    assert a == pytest.approx(b, abs=1e-12)
+    path = stage_path(spark, "cut")
+    cut.save(path)
+    assert FittedTrees.load(spark, path).models[0].getNumTrees == kept
 
 
 def test_experiment_run_leaves_its_tables(spark, panel):
