@@ -48,3 +48,11 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column has it (Spark ignores case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import buffers, slices
+from .batches import buffers, free_name, slices
 from .shingles import SHINGLE, plain_shingles, shingle_hashes, word_hashes
 
 THRESHOLD = 75  # per cent
@@ -77,13 +77,14 @@ class Block:
 
 
 def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-              item_text: str = "text", size: int = SHINGLE, per_cent: int = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every row of ``docs`` with a column ``leaks``: array of (item, n_shingles, n_common), items contained in it.
+              item_text: str = "text", size: int = SHINGLE, per_cent: int = THRESHOLD, block_words: int = BLOCK_WORDS, name: str = "leaks") -> DataFrame:
+    """Every row of ``docs`` with a last column ``leaks``: array of (item, n_shingles, n_common), items contained in it.
 
     An item is contained if ``per_cent`` of its distinct word shingles are among those of the document's whole text. A
     text of fewer words than a shingle has one shingle, the whole sequence; null or empty texts have none and neither
     contain nor are contained. Repeated rows are searched each; items with the same key are told apart by their text.
-    Columns of ``docs`` are carried along, whatever their names. Without documents or items there are no leaks.
+    Columns of ``docs`` are carried along, whatever their names: where one is called like the new column, that gets
+    underscores behind its ``name``. Without documents or items there are no leaks.
     """
     kept = items.select(F.col(item_key).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     words = F.length("text") - F.length(F.regexp_replace("text", "\\s+", "")) + 1
@@ -94,7 +95,7 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     for block in range(blocks):  # one block, unless the items are more than BLOCK_WORDS
         part = kept.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         out = _searched(out, [r.item for r in part], [r.text.encode() for r in part], size, per_cent)
-    return out.select("row.*", "leaks")
+    return out.select("row.*", F.col("leaks").alias(free_name(name, docs.columns)))
 
 
 def _searched(rows: DataFrame, ids: list, texts: list[bytes], size: int, per_cent: int) -> DataFrame:

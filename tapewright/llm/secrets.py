@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import free_name
+
 Query = frozenset  # of frozensets of trigrams: one of the sets must be there in whole
 ANY: Query = frozenset([frozenset()])
 #: Strings that a part of an expression is spelled out into, and alternatives that a query may have; beyond it is ANY.
@@ -200,11 +202,12 @@ def add_spans(rows: DataFrame, rule: Rule, order: int, wanted: Column) -> DataFr
     return rows.withColumn(name, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).drop(found, size, parts, blocks, firsts)
 
 
-def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row with a column ``secrets``: array of (start, kind, end) by start, then kind (its place in ``rules``).
+def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, name: str = "secrets") -> DataFrame:
+    """Every row with a last column ``secrets``: array of (start, kind, end) by start, then kind (its place in ``rules``).
 
     Starts and ends are code points, ends exclusive. Null and empty texts have none; repeated rows give a row each; other
-    columns are carried along, whatever their names. A table without rows gives none.
+    columns are carried along, whatever their names: where one is called like the new column, that gets underscores
+    behind its ``name``. A table without rows gives none.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != ANY}
@@ -217,7 +220,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
     for order, rule in enumerate(rules):
         wanted = F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)) if rule.kind in indexed else F.lit(True)
         rows = add_spans(rows, rule, order, wanted)
-    return rows.select("row.*", F.sort_array(F.concat(*[f"s_{r.kind}" for r in rules])).alias("secrets"))
+    return rows.select("row.*", F.sort_array(F.concat(*[f"s_{r.kind}" for r in rules])).alias(free_name(name, docs.columns)))
 
 
 def spelled(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -67,3 +67,20 @@ def test_stages_with_odd_rows(spark):
     final = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
     assert final == sorted([(1, text(1)), (3, min(text(3) + " [SECRET]", text(4))), (None, text(5))], key=repr)
     assert corpus_pipeline.STAGES[-1][1](spark, out, "").count() == 3
+
+
+def test_columns_with_clashing_names_and_maps(spark):
+    """Columns named like those that the stages add, and a map, come through every stage but the last."""
+    text = lambda k: " ".join(f"the{k} of and word{k}_{i} to" for i in range(30))
+    rows = [(1, text(1) + " token=abcdefgh", "en", 5, "l", "s", "m", {"k": 1}), (1, text(1) + " token=abcdefgh", "en", 5, "l", "s", "m", {"k": 0}), (2, text(2), "en", 6, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, n_chars long, leaks string, SECRETS string, masked string, tags map<string,int>"
+    docs = spark.createDataFrame(rows, schema)
+    sf = "/root/testdata/sf0.001"
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        docs = function(spark, docs, sf)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        got = sorted(docs.collect(), key=lambda r: r.doc_id)
+        assert [r.doc_id for r in got] == ([1, 1, 2] if name == "quality rules" else [1, 2])
+    assert got[0].masked == "m" and got[0].leaks == "l" and got[0].SECRETS == "s" and got[0].tags == {"k": 0}
+    assert "token=" not in got[0].text or "abcdefgh" not in got[0].text
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 2
