@@ -87,3 +87,83 @@ found AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" f
   string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM spans GROUP BY 1)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN found USING (doc_id)"""
+
+#: All pairs, and all that a vector reaches; every vector of the tables is valid.
+OP11 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON least.a = v.vec_id
+"""
+
+#: Remainders of the checksum, eight shifts of each byte.
+_CRC_TABLE = """(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda t, z: xor(t >> 1, 3988292384 * (t & 1))) ORDER BY i) AS crc FROM range(0, 256) r(i))"""
+
+
+def _crc(data: str) -> str:
+    """Checksum of a list of bytes; ``crc`` is the table."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BYTES = "flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, 128 + (CAST(unicode(c) AS BIGINT) & 63)] END))"
+_EDITS = "list_distinct(list_transform(range(1, length(word) + 1), lambda i: {'cut': i, 'rest': substr(word, 1, i - 1) || substr(word, i + 1)}))"
+
+#: Words that differ in one place leave the same rest there; a word that is another's rest lacks one code point.
+OP12 = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc(_BYTES)} AS h FROM (SELECT *, CAST(doc_id AS VARCHAR) || ':' || run AS s FROM runs), {_CRC_TABLE}),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+edits AS (SELECT word, n, e['cut'] AS cut, e['rest'] AS rest FROM (SELECT word, n, unnest({_EDITS}) AS e FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM edits a JOIN edits b ON a.cut = b.cut AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM edits a JOIN words b ON b.word = a.rest
+  UNION SELECT b.word, a.word, a.n FROM edits a JOIN words b ON b.word = a.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chain(word, final) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.final WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.final AS root
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms l ON l.word = c.final AND l.form IS NULL
+"""
+
+_DIGITS = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))"
+
+#: All prefixes of all conversations; a subtree is what has a node among its prefixes.
+OP13 = f"""
+WITH turns AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'id': id, 'words': words}} ORDER BY place) AS t FROM turns GROUP BY conv_id),
+heads AS (SELECT conv_id, {_crc(_DIGITS)} % 4 AS h FROM own, {_CRC_TABLE}),
+built AS (
+  SELECT o.conv_id, list_concat(coalesce(f.t[1:h], []), o.t[h + 1:]) AS t
+  FROM own o JOIN heads USING (conv_id) LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 20),
+prefixes AS (
+  SELECT conv_id, d AS depth, len(t) = d AS is_end, md5(list_aggregate(list_transform(t[1:d], lambda x: x.id), 'string_agg', ',')) AS id,
+    md5(list_aggregate(list_transform(t[1:d - 1], lambda x: x.id), 'string_agg', ',')) AS up, t[d].words AS words
+  FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT depth, coalesce(id, '') AS id, CASE WHEN depth > 0 THEN coalesce(any_value(up), '') END AS up, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(words), 0) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, coalesce(id, '')),
+below AS (SELECT DISTINCT coalesce(a.id, '') AS top, a.depth AS top_depth, coalesce(b.id, '') AS id, b.depth FROM prefixes a JOIN prefixes b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+children AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT b.top, b.top_depth, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((s.n_convs - 1) * s.words) AS saved
+  FROM below b JOIN nodes s ON s.id = b.id AND s.depth = b.depth LEFT JOIN children c ON c.up = s.id AND c.depth = s.depth GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.top = n.id AND s.top_depth = n.depth
+LEFT JOIN nodes p ON p.id = n.up AND p.depth = n.depth - 1 LEFT JOIN children c ON c.up = n.id AND c.depth = n.depth
+"""

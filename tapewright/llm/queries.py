@@ -134,4 +134,7 @@ ORACLES: dict[str, str] = {
     "op5_near_duplicates": oracles.OP5,
     "op6_quality": oracles.OP6,
     "op9_secrets": oracles.OP9,
+    "op11_embedding_duplicates": oracles.OP11,
+    "op12_spelling": oracles.OP12,
+    "op13_conversation_trie": oracles.OP13,
 }
