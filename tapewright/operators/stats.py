@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewright.operators.gram import gram_table, unpack
 from tapewright.operators.long_series import add_long_position, with_halo
+from tapewright.operators.prep import literal
 from tapewright.operators.series import KEYS, series_window
 
+#: Cells per bandwidth of the density.
+CELLS = 8
+# Hermite polynomials 0 to 7 as (power, coefficient).
+HERMITE = (((0, 1.0),), ((1, 1.0),), ((2, 1.0), (0, -1.0)), ((3, 1.0), (1, -3.0)), ((4, 1.0), (2, -6.0), (0, 3.0)), ((5, 1.0), (3, -10.0), (1, 15.0)),
+           ((6, 1.0), (4, -15.0), (2, 45.0), (0, -15.0)), ((7, 1.0), (5, -21.0), (3, 105.0), (1, -105.0)))
 # Fixed value: two-sided 95 % point of the normal distribution.
 Z95 = 1.959963984540054
 
@@ -48,11 +58,47 @@ def non_null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def correlation(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every column pair i < j over the rows where both are known."""
-    pairs = list(combinations(cols, 2))
-    wide = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("corr")) for a, b in pairs]
-    return wide.select(*keys, F.inline(F.array(*entries)))
+    """Pearson correlation of every column pair i < j over the rows where both are known; NULL where one is constant.
+
+    One table of cross products of presence marks, values and squares gives the moments of all pairs over their own
+    rows, for as many columns as one matrix holds (its side is three times their number).  Values are taken less the
+    mean of their column, so that large levels do not hide small spreads.  NaN counts as missing; an infinite value
+    makes the correlations of its column NaN.
+    """
+    names, count = list(cols), len(cols)
+    value = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in names]
+    means = df.groupBy(*keys).agg(F.array(*[F.avg(v) for v in value]).cast("array<double>").alias("_means"))
+    if keys:
+        known = df.select(*keys, *names).join(means, list(keys))
+    else:
+        row_means = means.first()["_means"]
+        known = df.select(*names).withColumn("_means", literal(row_means, "array<double>"))
+    shifted = [v - F.coalesce(F.col("_means")[i], F.lit(0.0)) for i, v in enumerate(value)]
+    marks = [v.isNotNull().cast("double") for v in value]
+    x = [F.coalesce(v, F.lit(0.0)) for v in shifted]
+    grams = gram_table(known, list(keys), [*marks, *x, *[v * v for v in x]], [])
+    grams = grams.join(means, list(keys)) if keys else grams.withColumn("_means", literal(row_means, "array<double>"))
+    kinds = "".join(f"{c} {dict(df.dtypes)[c]}, " for c in keys)
+    pairs = list(combinations(range(count), 2))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for row in pdf.itertuples(index=False):
+                full = unpack(row.gram, 1 + 3 * count)[1:, 1:]
+                level = np.abs(np.array([0.0 if m is None else m for m in row.means], dtype=float))
+                n = full[:count, :count]
+                with np.errstate(all="ignore"):
+                    first, second = full[count:2 * count, :count] / n, full[2 * count:, :count] / n  # of i over the rows of j
+                    spread = second - first * first
+                    spread[spread <= 1e-28 * (level[:, None] + np.abs(first)) ** 2] = 0.0
+                    both = (full[count:2 * count, count:2 * count] / n - first * first.T) / np.sqrt(spread * spread.T)
+                for i, j in pairs:
+                    flat = n[i, j] < 2 or spread[i, j] == 0 or spread[j, i] == 0
+                    found.append((*[getattr(row, c) for c in keys], names[i], names[j], None if flat else float(both[i, j])))
+            yield pd.DataFrame(found, columns=[*keys, "a", "b", "corr"])
+
+    return grams.select(*keys, "gram", F.col("_means").alias("means")).mapInPandas(run, f"{kinds}a string, b string, corr double")
 
 
 def value_range(df: DataFrame, value: str, keys=KEYS) -> DataFrame:
@@ -91,23 +137,34 @@ def histogram(df: DataFrame, value: str = "log_return", bins: int = 50, keys=KEY
 def density(df: DataFrame, value: str = "log_return", points: int = 200, bins: int = 50, keys=KEYS) -> DataFrame:
     """Gaussian kernel density on a grid from the least to the greatest value (Scott's bandwidth).
 
-    Rows meet the grid inside the map task and are summed there, so what is shuffled is one
-    row per grid point, series and task, whatever the number of values.  ``scaled`` is the
-    density in units of histogram counts.
+    Values are summed to moments per cell once, cells an eighth of the bandwidth wide; the kernels of a cell's values
+    at a grid point are then a series in these moments.  With eight terms the error of a kernel is below
+    105/8! * (1/16)^8 = 6.1e-13 of its peak, and kernels further than ten bandwidths away are below 2e-22.  What meets
+    the grid are cells, whose number depends on the spread of the values and not on the number of rows.  ``scaled`` is
+    the density in units of histogram counts.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
     ends = value_range(known, "_x", keys).withColumn("_bw", F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    at = F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / F.lit(points - 1)
-    dist = (at - F.col("_x")) / F.col("_bw")
-    kernel = F.exp(-0.5 * dist * dist)
+    spread = ends.where(F.col("std") > 0).select(*keys, "n", "low", "high", "_bw", ((F.col("high") - F.col("low")) / (points - 1)).alias("_step"))
+    cell = F.floor((F.col("_x") - F.col("low")) / F.col("_bw") * CELLS)
+    middle = F.col("low") + (F.col("_cell") + 0.5) * F.col("_bw") / CELLS
+    placed = known.join(spread, list(keys)).withColumn("_cell", cell).withColumn("_t", (F.col("_x") - middle) / F.col("_bw"))
+    moments = [F.sum(F.pow("_t", F.lit(k))).alias(f"_m{k}") for k in range(len(HERMITE))]
+    cells = placed.groupBy(*keys, "low", "_bw", "_step", "_cell").agg(*moments).withColumn("_at", middle)
+    place = lambda x: ((x - F.col("low")) / F.col("_step")).cast("long")
+    first = F.greatest(place(F.col("_at") - 10 * F.col("_bw")), F.lit(0))
+    last = F.least(place(F.col("_at") + 10 * F.col("_bw")) + 1, F.lit(points - 1))
+    met = cells.withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    met = met.withColumn("_u", (F.col("low") + F.col("_step") * F.col("point") - F.col("_at")) / F.col("_bw"))
+    terms = [F.col(f"_m{k}") / math.factorial(k) * sum((c * F.pow("_u", F.lit(p)) for p, c in polynomial), F.lit(0.0)) for k, polynomial in enumerate(HERMITE)]
+    sums = met.groupBy(*keys, "point").agg(F.sum(F.exp(-0.5 * F.col("_u") * F.col("_u")) * sum(terms[1:], terms[0])).alias("_sum"))
+    grid = spread.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     peak = F.col("_bw") * F.sqrt(F.lit(2.0) * F.pi())
+    at = F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / F.lit(points - 1)
     return (
-        known.join(ends.where(F.col("std") > 0), list(keys)).withColumn("point", grid)
-        .groupBy(*keys, "point", "low", "high", "n", "_bw").agg(F.sum(kernel).alias("_sum"))
-        .select(*keys, "point", at.alias("x"), (F.col("_sum") / F.col("n") / peak).alias("density"))
-        .join(ends.select(*keys, "n", "low", "high"), list(keys))
-        .select(*keys, "point", "x", "density", (F.col("density") * F.col("n") * (F.col("high") - F.col("low")) / bins).alias("scaled"))
+        grid.join(sums, [*keys, "point"], "left")
+        .withColumn("density", F.greatest(F.coalesce("_sum", F.lit(0.0)), F.lit(0.0)) / F.col("n") / peak)
+        .select(*keys, "point", at.alias("x"), "density", (F.col("density") * F.col("n") * (F.col("high") - F.col("low")) / bins).alias("scaled"))
     )
 
 

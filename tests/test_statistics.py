@@ -215,3 +215,39 @@ def test_sketched_quantiles_by_series(spark, small, size):
 def test_quantiles_of_a_million_equal_values(spark):
     df = spark.range(1_200_000).select(F.when(F.col("id") < 1_000_000, 5.0).otherwise(F.col("id") / 3).alias("a"))
     assert exact_quantiles(df, ["a"], [0.0, 0.1, 0.5, 1.0], small=1000)["a"] == [5.0, 5.0, 5.0, pytest.approx(1_199_999 / 3)]
+
+
+def test_correlations_of_pairwise_complete_rows(spark):
+    """Many columns with gaps, large levels, a constant and an empty column, one table of cross products."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 12)) @ rng.normal(size=(12, 12))
+    x[:, 3] += 1e9
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 10], x[:, 11] = 7.1, np.nan
+    cols = [f"c{i}" for i in range(12)]
+    rows = [("A" if i % 3 else "B", *[None if np.isnan(v) and i % 2 else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, " + ", ".join(f"{c} double" for c in cols)).repartition(5)
+    frame = pd.DataFrame(x, columns=cols)
+    for keys, parts in (([], {(): frame}), (["symbol"], {(s,): frame[[("A" if i % 3 else "B") == s for i in range(400)]] for s in "AB"})):
+        got = stats.correlation(df, cols, keys).collect()
+        assert len(got) == 66 * len(parts)
+        for r in got:
+            want = parts[tuple(r[k] for k in keys)].corr(min_periods=2).loc[r["a"], r["b"]]
+            if "c10" in (r["a"], r["b"]) or "c11" in (r["a"], r["b"]):
+                assert r["corr"] is None
+            else:
+                assert r["corr"] == pytest.approx(want, abs=1e-6 if "c3" in (r["a"], r["b"]) else 1e-10)
+
+
+def test_density_by_cell_moments(spark):
+    rng = np.random.default_rng(7)
+    data = {"A": np.concatenate([rng.standard_normal(700), [40.0, -25.0]]), "B": np.repeat([1.0, 2.0, 5.0], 50), "flat": np.ones(5)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "symbol string, log_return double")
+    got = stats.density(df).orderBy("symbol", "point").toPandas()
+    assert sorted(set(got.symbol)) == ["A", "B"]
+    for k in "AB":
+        v, part = data[k], got[got.symbol == k]
+        h = v.std(ddof=1) * len(v) ** -0.2
+        want = np.exp(-0.5 * ((part.x.to_numpy()[:, None] - v) / h) ** 2).sum(1) / len(v) / h / math.sqrt(2 * math.pi)
+        assert len(part) == 200
+        np.testing.assert_allclose(part.density, want, atol=1e-11 / h)
