@@ -8,7 +8,8 @@ serve all trials: models are solved in parallel tasks and no rows are read again
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from typing import Any
 
@@ -99,24 +100,43 @@ def tune_elastic_net(train: DataFrame, features: Sequence[str], targets: Sequenc
     return Tuning(params, scores, stage(_pick(scores, scope, folds, metric), "best"), tuple(scope))
 
 
-def tune(train: DataFrame, features: Sequence[str], targets: Sequence[str], base: Forecaster, trials: int = 30, folds: int = 2, gap: int = 0, metric: str = "rmse", keys=KEYS) -> Tuning:
-    """Any forecaster and any metric: fits and scores fold by fold."""
+def certain(scores: Mapping[int, float], trials: int, keep: int) -> set[int]:
+    """Trials that are among the ``keep`` best of a rung whatever the missing scores will be (less is better, ties by number)."""
+    order = sorted(scores, key=lambda t: (math.isnan(scores[t]), scores[t], t))
+    return {t for place, t in enumerate(order) if len(order) - 1 - place >= trials - keep}
+
+
+def tune(train: DataFrame, features: Sequence[str], targets: Sequence[str], base: Forecaster, trials: int = 30, folds: int = 2, gap: int = 0, metric: str = "rmse", keys=KEYS, parallel: int = 4) -> Tuning:
+    """Any forecaster and any metric: fits and scores fold by fold, ``parallel`` of them at a time.
+
+    The first fold is the first rung.  A trial goes on to the other folds as soon as it is sure to be in the best third,
+    so these fits start while slower trials of the rung still run, and the outcome does not depend on who ends first.
+    The jobs share the cluster under fair scheduling (``spark.scheduler.mode``).
+    """
     spark = train.sparkSession
     params = sample(base.search_space(), trials, getattr(base, "seed", 42))
     rows = stage(fold_states(train.na.drop(subset=list(targets)), folds, gap, keys), "folds")
-    alive, found = list(range(trials)), []
-    for fold in range(folds):
+    sign, keep = (-1.0 if is_maximise(metric) else 1.0), math.ceil(trials / REDUCTION)
+
+    def scored(trial: int, fold: int) -> tuple[int, int, float]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial}")
         tr, va = (rows.where(in_fold(fold, role)).drop("states") for role in (TRAIN, VAL))
-        scored = []
-        for i in alive:
-            model = base.with_params(**params[i]).fit(tr, features, targets, va)
-            pairs = paired(model.transform(va), [], targets, prediction_names(len(targets)))
-            scored.append((score(pairs, [], [metric]).first()[metric], i))
-        found += [(i, fold, float(s)) for s, i in scored]
-        if fold == 0 and folds > 1:
-            ranked = sorted(scored, key=lambda r: (-r[0] if is_maximise(metric) else r[0], r[1]))
-            alive = sorted(i for _, i in ranked[: math.ceil(trials / REDUCTION)])
-    table = spark.createDataFrame(found, "trial int, fold int, score double")
+        model = base.with_params(**params[trial]).fit(tr, features, targets, va)
+        pairs = paired(model.transform(va), [], targets, prediction_names(len(targets)))
+        found = score(pairs, [], [metric]).first()[metric]
+        return trial, fold, math.nan if found is None else float(found)
+
+    found: dict[tuple[int, int], float] = {}
+    promoted: set[int] = set()
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        waiting = {pool.submit(scored, i, 0) for i in range(trials)}
+        while waiting:
+            done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+            found.update({(i, fold): s for i, fold, s in (f.result() for f in done)})
+            sure = certain({i: sign * s for (i, fold), s in found.items() if fold == 0}, trials, keep) - promoted
+            promoted |= sure
+            waiting |= {pool.submit(scored, i, fold) for i in sure for fold in range(1, folds)}
+    table = spark.createDataFrame([(i, fold, s) for (i, fold), s in sorted(found.items())], "trial int, fold int, score double")
     return Tuning(params, table, _pick(table, [], folds, metric), ())
 
 

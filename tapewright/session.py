@@ -17,6 +17,8 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # fits of several trials and horizons run side by side
+    "spark.scheduler.mode": "FAIR",
     # no stack trace per Column expression: plans with dozens of columns build much faster
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

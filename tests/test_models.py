@@ -15,7 +15,7 @@ from tapewright.models.base import Experiment
 from tapewright.models.boosted_trees import BoostedTrees, FittedTrees, best_round
 from tapewright.models.elastic_net import ElasticNet, FittedElasticNet, minimise
 from tapewright.models.naive import FittedNaive, Naive
-from tapewright.models.spaces import sample
+from tapewright.models.spaces import Steps, sample
 from tapewright.operators import features, prep, split
 from tapewright.operators.columns import feature_columns
 from tapewright.plans import explain, forecast, training, tuning
@@ -156,6 +156,42 @@ def test_fold_grams_impute_by_fold(panel, scope, folds, gap):
             assert a == pytest.approx({(r["trial"], r["fold"]): r["score"] for r in slow.trials.collect()}, rel=1e-8)
 
 
+def test_promotion_does_not_depend_on_the_order_of_completion():
+    rng = random.Random(3)
+    for trials in (1, 2, 7, 30):
+        scores = {t: rng.choice([0.1, 0.2, rng.random(), math.nan]) for t in range(trials)}
+        keep = math.ceil(trials / tuning.REDUCTION)
+        want = set(sorted(scores, key=lambda t: (math.isnan(scores[t]), scores[t], t))[:keep])
+        for _ in range(20):
+            order, promoted, early = rng.sample(range(trials), trials), set(), 0
+            for n in range(1, trials + 1):
+                promoted |= tuning.certain({t: scores[t] for t in order[:n]}, trials, keep)
+                assert promoted <= want
+                early += n < trials and bool(promoted)
+            assert promoted == want
+            assert early or keep == trials or trials < 7 or want == {order[-1]}
+
+
+class FewTrees(BoostedTrees):
+    """Trees with a small search space."""
+
+    @classmethod
+    def search_space(cls):
+        return {"n_estimators": Steps(4, 12, 4), "max_depth": Steps(1, 3), "early_stopping_rounds": 3, "objective": "reg:squarederror"}
+
+
+def test_trees_through_the_experiment_runner(spark, panel):
+    """All horizons tuned, fitted, saved and scored beside the baseline."""
+    trees = Experiment("xgboost", lambda h, s: FewTrees(horizon=h, seed=s, subsample=1.0, colsample_bytree=1.0, learning_rate=0.3), True)
+    df = features.create_features(panel[0], 3)
+    result = training.run_experiments(df, [trees], 3, 42, trials=4, out=stage_path(spark, "tree-runs"))[0]
+    assert result.tuning.trials.count() == 4 + 2 and set(result.params) >= {"n_estimators", "max_depth"}
+    assert sum(r["key"] == "max_depth" for r in result.tuning.params_table().collect()) == 4
+    assert FittedTrees.load(spark, result.paths["model"]).horizon == 3
+    table = {r["name"]: r["rmse"] for r in training.with_baseline(result.metrics, training.prepare(df, 3)).collect()}
+    assert set(table) == {"xgboost", "zero_return"} and 0 < table["xgboost"] < 1.2 * table["zero_return"]
+
+
 def test_folds_without_copies(panel):
     """Ten folds: one row per input row, and no operator that copies rows."""
     rows = part(panel, "train")
