@@ -105,3 +105,17 @@ def test_queries_over_documents(spark):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_token_counts_over_documents(spark):
+    """Row by row against the library."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(queries.BYTES)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op4_token_counts(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for row in rows:
+        want = len(library.encode(texts[row.doc_id], add_special_tokens=False).ids)
+        assert (row.n_bytes, row.n_tokens, row.over_limit) == (len(texts[row.doc_id].encode()), want, want > 1024)

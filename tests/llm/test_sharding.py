@@ -66,3 +66,24 @@ def test_numbers_follow_the_stated_order(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sharding.shard(docs).count() == 0
+
+
+def test_query_over_documents(spark):
+    """The law of the rows, sizes and checksums of every document."""
+    import zlib
+
+    from tapewright.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op10_sharding(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    slots = {}
+    for r in rows:
+        assert (r["size"], r.text_crc32) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id]))
+        assert r.law == "rows" and 0 <= r.shard < 40 and r.grown_shard is None
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(slots.get(i, ())) for i in range(40)]
+    assert max(sizes) - min(sizes) <= 1
+    assert {(r.doc_id, r.shard, r.slot) for r in queries.op10_sharding(spark, sf).collect()} == {(r.doc_id, r.shard, r.slot) for r in rows}
