@@ -33,7 +33,6 @@ FAMILY, HEAD = 20, 4
 
 CLOSED, OPEN, ENDS = 0, 1, 2
 NODE = "kind int, place long, key binary, parent_key binary, parent long, conv_id long, depth long, n_convs long, n_children long, n_leaves long, saved long, words long, ends binary"
-FIELDS = [f.split()[0] for f in NODE.split(", ")]
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 _SCHEMA = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in NODE.split(", ")])
 ROOT = hashlib.md5(b"").digest()
