@@ -77,6 +77,38 @@ def test_two_writers_do_not_double_rows(spark, tmp_path):
     assert sentiment.score_cached(df, cache, sentiment.LexiconScorer()).count() == 9
 
 
+def test_cache_merges_into_its_partitions(spark, tmp_path):
+    cache = sentiment.ScoreCache(spark, str(tmp_path / "scores"))
+    df = spark.range(3000).selectExpr("concat('profit number ', id) headline", "id seq")
+    cache.fill(df.where("seq < 2000"), sentiment.LexiconScorer())
+    keys = df.select(F.sha2("headline", 256).alias("text_key"), "seq")
+    probed = cache.probe(keys)
+    assert probed.where("seq < 2000 and not maybe").count() == 0  # a filter never rules out what is there
+    assert probed.where("seq >= 2000 and maybe").count() < 50
+    before = {r["text_key"]: r["pos"] for r in cache.read().collect()}
+    # a second writer that did not see the first: old scores stay, nothing doubles
+    late = df.where("seq >= 1900").select(F.sha2("headline", 256).alias("text_key"), *[F.lit(0.5).alias(c) for c in ("neu", "pos", "neg")], F.array(F.lit(0.5).cast("float")).alias("emb"))
+    cache.merge(late)
+    rows = cache.read().collect()
+    assert len(rows) == len({r["text_key"] for r in rows}) == 3000
+    assert all(r["pos"] == before.get(r["text_key"], 0.5) for r in rows)
+    assert cache.misses(df).count() == 0
+
+
+def test_lost_filters_and_scores_do_not_change_results(spark, tmp_path):
+    df = spark.createDataFrame([("gain and profit", 1), ("fraud", 2), (None, 3), ("fraud", 4)], "headline string, seq int")
+    want = {r["seq"]: r["pos"] for r in sentiment.score_inline(df).collect()}
+    cache = sentiment.ScoreCache(spark, str(tmp_path / "scores"), prefix=2)
+    cache.fill(df, sentiment.LexiconScorer())
+    blind = sentiment.ScoreCache(spark, cache.path, prefix=2)
+    blind.filters = str(tmp_path / "none")  # filters that lag behind
+    assert {r["seq"]: r["pos"] for r in sentiment.score_cached(df, blind, sentiment.LexiconScorer()).collect()} == want
+    assert cache.read().count() == 3
+    ahead = sentiment.ScoreCache(spark, str(tmp_path / "empty"), prefix=2)
+    ahead.filters = cache.filters  # filters of scores that another writer has replaced
+    assert {r["seq"]: r["pos"] for r in sentiment.score_cached(df, ahead, sentiment.LexiconScorer()).collect()} == want
+
+
 def test_model_scorer_keeps_rows_aligned_when_a_batch_fails(spark):
     def load():
         def model(texts):
