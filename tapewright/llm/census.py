@@ -5,6 +5,11 @@ bucket of the key: sorted keys as differences, so that a key costs about six byt
 chunks and answers each chunk with the totals in the order of its keys, about a byte each. No key is a large group: a
 chunk sends it once, however often it occurs.
 
+Buckets take a level of seven bits of the keys at a time, so that a chunk sends 128 rows however large the input is.
+Beyond one level (0.5 GB of text) a node for a group of about 128 chunks and a prefix of keys merges their runs into one,
+sends it on by the next bits, and hands the answers back. Rows exchanged grow with the input times its levels: two for 64
+GB, three for 8 TB. A node holds about as many keys as a chunk.
+
 Chunks are written to the shared folder first, so that every pass sees the same ones whatever happens to executors.
 """
 
@@ -20,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
+from .shingles import mix
 from .stored import stage
 
 #: Bytes of text per bucket of keys; a bucket is handled by one task at a time.
 BUCKET_BYTES = 4 << 20
 #: Bytes of text per chunk; a task holds the keys of one chunk at a time.
 CHUNK_BYTES = 5 << 20
-REQUEST = "bucket int, chunk long, kind int, keys binary, counts binary"
+#: Bits of a key that a level of buckets tells apart: a sender has 2^BITS rows for it at most.
+BITS = 7
+REQUEST = "grp long, bucket int, sender long, kind int, keys binary, counts binary"
 ANSWER = "chunk long, kind int, bucket int, totals binary, distinct long, total long"
 
 
@@ -56,52 +64,111 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
-def bucket_count(docs: DataFrame, text: str = "text") -> int:
-    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+
+
+def bucket_count(total: int) -> int:
     return max(1, -(-total // BUCKET_BYTES))
 
 
-def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys end in sorted keys: buckets are equal ranges of the upper 32 bits."""
-    edges = (np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)
-    return np.concatenate([[0], np.searchsorted(keys, edges << np.uint64(32)), [len(keys)]])
+def levels(total: int) -> list[int]:
+    """Bits of each level of buckets for so many bytes of text."""
+    bits = max(BITS, (bucket_count(total) - 1).bit_length())
+    return [BITS] * (bits // BITS) + ([bits % BITS] if bits % BITS else [])
+
+
+def _runs(grp: int, sender: int, kind: int, keys: np.ndarray, counts: np.ndarray, used: int) -> list[tuple]:
+    """Sorted distinct keys as rows of a request, cut by their first ``used`` bits."""
+    if not len(keys):
+        return []
+    bucket = keys >> np.uint64(64 - used)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=~bucket[:1])).tolist()
+    return [(grp, int(bucket[a]), sender, kind, packed_keys(keys[a:b]), packed(counts[a:b])) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
 
 
-def request(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> list[pa.Array]:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+
+
+_REQUEST = ["grp", "bucket", "sender", "kind", "keys", "counts"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+_ANSWER = ["chunk", "kind", "bucket", "totals", "distinct", "total"], [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+
+def request(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: list[int]) -> pa.RecordBatch:
     """Rows that ask for the totals of sorted distinct keys, and add ``counts`` to them."""
-    ends = bounds(keys, buckets)
-    used = np.flatnonzero(np.diff(ends))
-    parts = [(keys[ends[b]:ends[b + 1]], counts[ends[b]:ends[b + 1]]) for b in used.tolist()]
-    return pa.record_batch([
-        pa.array(used, pa.int32()), pa.array([chunk] * len(used), pa.int64()), pa.array([kind] * len(used), pa.int32()),
-        pa.array([packed_keys(k) for k, _ in parts], pa.binary()), pa.array([packed(c) for _, c in parts], pa.binary()),
-    ], ["bucket", "chunk", "kind", "keys", "counts"])
+    group = int(mix(np.array([chunk], np.uint64))[0]) & ((1 << sum(bits[1:])) - 1)
+    return pa.record_batch(_columns(_runs(group, chunk, kind, keys, counts, bits[0]), *_REQUEST), _REQUEST[0])
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    chunks, kinds = table["chunk"].to_pylist(), table["kind"].to_pylist()
-    bucket = table["bucket"][0].as_py()
-    rows = []
-    for kind in sorted(set(kinds)):
-        own = [i for i, k in enumerate(kinds) if k == kind]
+def _by_kind(table: pa.Table) -> Iterator[tuple[int, list[int], list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Requests of a node by kind: senders, lengths of their runs, distinct keys, place of every key sent, summed counts."""
+    kinds, senders = table["kind"].to_pylist(), table["sender"].to_pylist()
+    asked = [i for i in range(table.num_rows) if table["keys"][i].is_valid]
+    for kind in sorted({kinds[i] for i in asked}):
+        own = [i for i in asked if kinds[i] == kind]
         keys = [unpacked_keys(table["keys"][i].as_py()) for i in own]
         counts = np.concatenate([unpacked(table["counts"][i].as_py()) for i in own]).astype(np.int64)
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
-        answers = totals[place]
-        at = 0
-        for i, k in zip(own, keys, strict=True):
-            rows.append((chunks[i], kind, bucket, packed(answers[at:at + len(k)]), None, None))
-            at += len(k)
+        yield kind, [senders[i] for i in own], [len(k) for k in keys], distinct, place, totals
+
+
+def _replies(senders: list[int], lengths: list[int], kind: int, bucket: int, totals: np.ndarray) -> list[tuple]:
+    ends = np.cumsum([0, *lengths]).tolist()
+    return [(sender, kind, bucket, packed(totals[a:b]), None, None) for sender, a, b in zip(senders, ends, ends[1:], strict=False)]
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The last level: totals for every sender, and sums over the bucket."""
+    bucket, rows = table["bucket"][0].as_py(), []
+    for kind, senders, lengths, _, place, totals in _by_kind(table):
+        rows += _replies(senders, lengths, kind, bucket, totals[place])
         rows.append((-1, kind, bucket, None, int((totals > 0).sum()), int(totals.sum())))
-    columns = list(zip(*rows, strict=True))
-    kinds_of = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True)], ["chunk", "kind", "bucket", "totals", "distinct", "total"])
+    return pa.table(_columns(rows, *_ANSWER), _ANSWER[0])
+
+
+def _passed_on(used: int, left: int):
+    """A level before the last: the merged run of a group, to its group of the next level."""
+    def run(table: pa.Table) -> pa.Table:
+        group, rows = table["grp"][0].as_py(), []
+        for kind, _, _, distinct, _, totals in _by_kind(table):
+            rows += _runs(group & ((1 << left) - 1), group, kind, distinct, totals, used)
+        return pa.table(_columns(rows, *_REQUEST), _REQUEST[0])
+
+    return run
+
+
+def _handed_back(table: pa.Table) -> pa.Table:
+    """Answers to the merged run of a group, for each of its senders. Rows without keys are answers, by bucket."""
+    bucket, rows = table["bucket"][0].as_py(), []
+    parts: dict[int, list[tuple[int, bytes]]] = {}
+    for kind, sender, keys, data in zip(table["kind"].to_pylist(), table["sender"].to_pylist(), table["keys"], table["counts"], strict=True):
+        if not keys.is_valid:
+            parts.setdefault(kind, []).append((sender, data.as_py()))
+    for kind, senders, lengths, distinct, place, _ in _by_kind(table):
+        rows += _replies(senders, lengths, kind, bucket, joined(parts.get(kind, []), distinct)[place])
+    return pa.table(_columns(rows, *_ANSWER), _ANSWER[0])
 
 
-def answers(requests: DataFrame) -> DataFrame:
+def answers(requests: DataFrame, bits: list[int]) -> DataFrame:
     """Totals for every request, and per bucket and kind a row of chunk -1 with the number of keys counted and their sum."""
-    return requests.groupBy("bucket").applyInArrow(_answered, ANSWER)
+    sent = [requests if len(bits) == 1 else stage(requests, "keys")]
+    for level in range(1, len(bits)):
+        passed = _passed_on(sum(bits[:level + 1]), sum(bits[level + 1:]))
+        sent.append(stage(sent[-1].groupBy("grp", "bucket").applyInArrow(passed, REQUEST), "keys"))
+    found = sent.pop().groupBy("bucket").applyInArrow(_answered, ANSWER)
+    if not sent:
+        return found
+    found = stage(found, "totals")
+    sums = found.where("chunk = -1")
+    for level in range(len(bits) - 1, 0, -1):
+        back = found.where("chunk >= 0").select(
+            F.col("chunk").alias("grp"), F.shiftright("bucket", bits[level]).alias("bucket"), F.col("bucket").cast("long").alias("sender"),
+            "kind", F.lit(None).cast("binary").alias("keys"), F.col("totals").alias("counts"))
+        found = stage(sent.pop().unionByName(back).groupBy("grp", "bucket").applyInArrow(_handed_back, ANSWER), "totals")
+    return found.unionByName(sums)
 
 
 def joined(parts: list[tuple[int, bytes]], keys: np.ndarray) -> np.ndarray:

@@ -276,16 +276,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     texts have no bytes. Rows with equal ids take nothing from each other; rows without an id neither lose bytes nor
     take any. Ids are integers. Other columns are not read. Without documents the result is empty.
     """
-    buckets = census.bucket_count(docs, text)
+    total = census.text_bytes(docs, text)
+    buckets, bits = census.bucket_count(total), census.levels(total)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     chunks = census.stored_chunks(rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, batch in census.each_chunk(batches):
             keys, counts, _ = Anchors(*buffers(text_column(batch, "text"))).documents_per_key(_ids(batch))
-            yield census.request(chunk, 0, keys, counts, buckets)
+            yield census.request(chunk, 0, keys, counts, bits)
 
-    found = stage(census.answers(chunks.mapInArrow(ask, census.REQUEST)), "shared")
+    found = stage(census.answers(chunks.mapInArrow(ask, census.REQUEST), bits), "shared")
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()

@@ -4,9 +4,11 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tapewright.llm import lm_score, queries
+from tapewright.llm import census, lm_score, queries
 
 HELD = "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) <> 2"
 
@@ -55,6 +57,44 @@ def test_equals_brute_force(spark, order, tmp_path):
     assert lm_score.score(docs.limit(0), HELD, order).count() == 0
 
 
+@pytest.mark.parametrize("bits", [[1, 1], [2, 1, 3]])
+def test_levels_of_buckets_give_the_same_counts(spark, bits, monkeypatch):
+    monkeypatch.setattr(census, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(census, "levels", lambda total: bits)
+    text = "the cat sat on the mat and the cat ran off the mat of The Dog\n"
+    rows = [(i, text[i % 9: 40 + i] * (1 + i % 3)) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = docs.where("doc_id < 60").unionByName(docs.where("doc_id >= 60"))  # a chunk without longer n-grams
+    same(lm_score.score(docs, HELD, 3, 1.5).collect(), brute(rows, 3, 1.5))
+
+
+def test_rows_exchanged_grow_with_the_input():
+    assert census.levels(0) == census.levels(500 << 20) == [7]
+    assert census.levels(30 << 30) == [7, 6] and census.levels(100 << 40) == [7, 7, 7, 4]
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 10_000, np.uint64))
+    for total in (1 << 20, 30 << 30, 100 << 40):  # a chunk sends as many rows however large the input is
+        rows = census.request(5, 0, keys, np.ones(len(keys), np.int64), census.levels(total))
+        assert rows.num_rows == 128
+        assert np.array_equal(np.concatenate([census.unpacked_keys(k.as_py()) for k in rows.column(4)]), keys)
+
+
+def test_stretches_are_read_as_one_text():
+    words = np.random.default_rng(3).choice(["a", "b", "c", "d"], 3000)
+    texts = pa.array([" ".join(words).encode(), b"", b"a b a"], pa.large_binary())
+    grams = lm_score.Grams(texts, 4)
+    totals = [grams.counts(k, np.array([True, False, True])) for k in range(4)]
+    totals = [np.where(np.arange(len(t)) % 5 == 2, 0, t) if k == 3 else t for k, t in enumerate(totals)]
+    model = lm_score.Automaton(grams, totals, 3000, 5, 2.0)
+    want = []
+    for a, b in zip(grams.starts, grams.starts[1:]):
+        state, total = np.zeros(1, np.int64), 0.0
+        for i in range(a, b):
+            state, weight = model.step(state, grams.place[0][i:i + 1])
+            total += weight[0] * (i > a)
+        want.append(total)
+    assert model.run(grams) == pytest.approx(want, rel=1e-12)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
