@@ -5,10 +5,11 @@ bucket of the key: sorted keys as differences, so that a key costs about six byt
 chunks and answers each chunk with the totals in the order of its keys, about a byte each. No key is a large group: a
 chunk sends it once, however often it occurs.
 
-Buckets take a level of seven bits of the keys at a time, so that a chunk sends 128 rows however large the input is.
-Beyond one level (0.5 GB of text) a node for a group of about 128 chunks and a prefix of keys merges their runs into one,
-sends it on by the next bits, and hands the answers back. Rows exchanged grow with the input times its levels: two for 64
-GB, three for 8 TB. A node holds about as many keys as a chunk.
+Buckets take a level of some bits of the keys at a time, so that a chunk sends 2^bits rows however large the input is.
+Where one level is not enough, a node for a group of about 2^bits chunks and a prefix of keys merges their runs into one,
+sends it on by the next bits, and hands the answers back. Rows exchanged grow with the input times its levels. A node
+holds about as many keys as a chunk. A further level exchanges all keys once more on either way, so callers choose bits
+for one level up to some 32 GB of text; the next ends at some 60 TB.
 
 Chunks are written to the shared folder first, so that every pass sees the same ones whatever happens to executors.
 """
@@ -28,16 +29,15 @@ from .batches import slices
 from .shingles import mix
 from .stored import stage
 
-#: Bytes of text per bucket of keys; a bucket is handled by one task at a time.
-BUCKET_BYTES = 4 << 20
 #: Bytes of text per chunk; a task holds the keys of one chunk at a time.
 CHUNK_BYTES = 5 << 20
-#: Bits of a key that a level of buckets tells apart: a sender has 2^BITS rows for it at most.
-BITS = 7
 REQUEST = "grp long, bucket int, sender long, kind int, keys binary, counts binary"
 ANSWER = "chunk long, kind int, bucket int, totals binary, distinct long, total long"
 
 
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # one thread a worker
+
+
 def next_chunk(number: int) -> int:
     """Id of the chunk of this place in this task."""
     return (TaskContext.get().partitionId() << 24) | number
@@ -46,11 +46,11 @@ def next_chunk(number: int) -> int:
 def packed(values: np.ndarray) -> bytes:
     """Integers as compressed planes of bytes."""
     wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(len(values).to_bytes(8, "little") + wide.T.tobytes())
+    return _COMPRESSOR.compress(len(values).to_bytes(8, "little") + wide.T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = _DECOMPRESSOR.decompress(data)
     n = int.from_bytes(raw[:8], "little")
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view("<u8").reshape(n)
 
@@ -68,14 +68,10 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
 
 
-def bucket_count(total: int) -> int:
-    return max(1, -(-total // BUCKET_BYTES))
-
-
-def levels(total: int) -> list[int]:
-    """Bits of each level of buckets for so many bytes of text."""
-    bits = max(BITS, (bucket_count(total) - 1).bit_length())
-    return [BITS] * (bits // BITS) + ([bits % BITS] if bits % BITS else [])
+def levels(total: int, bits: int, bucket: int) -> list[int]:
+    """Bits of each level for so many bytes of text: ``bits`` a level, and as many levels as leave ``bucket`` bytes to a bucket at most."""
+    needed = max(bits, (max(1, -(-total // bucket)) - 1).bit_length())
+    return [bits] * (needed // bits) + ([needed % bits] if needed % bits else [])
 
 
 def _runs(grp: int, sender: int, kind: int, keys: np.ndarray, counts: np.ndarray, used: int) -> list[tuple]:

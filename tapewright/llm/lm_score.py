@@ -33,6 +33,8 @@ from .stored import stage
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # outside of words: their hashes are these with a chance of 2^-63
 _LEFT, _RIGHT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 MU = 4.0
+#: Bits of a level of n-gram keys, and bytes of text per bucket of them (``census``).
+BITS, BUCKET_BYTES = 11, 16 << 20
 #: Tokens of a text that are read one after another; its stretches are read side by side.
 STRETCH = 256
 
@@ -157,7 +159,7 @@ def score(docs: DataFrame, train: str, order: int = 2, mu: float = MU, key: str
     and empty texts have that only. Repeated rows are learned from and scored each. Counts are of 64-bit hashes of
     n-grams: two of D distinct n-grams share one with a chance of D^2 / 2^65. Without documents the result is empty; without training documents N = V = 0.
     """
-    bits = census.levels(census.text_bytes(docs, text))
+    bits = census.levels(census.text_bytes(docs, text), BITS, BUCKET_BYTES)
     learned = F.coalesce(F.expr(train).cast("boolean"), F.lit(False))
     rows = docs.select(F.col(key).alias("key"), learned.alias("train"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

@@ -32,6 +32,8 @@ LENGTH, GRAM = 50, 16
 WINDOWS = LENGTH - GRAM + 1  # starts of 16 bytes in a window
 LEFT = WINDOWS - 1
 WIDTH = LENGTH + 1 + LEFT + 1  # right part, its length, left part from the anchor backwards, its length
+#: Bits of a level of anchor keys, and bytes of text per bucket of them (``census``); bytes of text per bucket of suffixes.
+BITS, BUCKET_BYTES, RUN_BYTES = 9, 64 << 20, 4 << 20
 NOBODY = np.iinfo(np.int64).max
 
 
@@ -277,7 +279,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
     take any. Ids are integers. Other columns are not read. Without documents the result is empty.
     """
     total = census.text_bytes(docs, text)
-    buckets, bits = census.bucket_count(total), census.levels(total)
+    buckets, bits = max(1, -(-total // RUN_BYTES)), census.levels(total, BITS, BUCKET_BYTES)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     chunks = census.stored_chunks(rows)
 

@@ -60,7 +60,7 @@ def test_equals_brute_force(spark, order, tmp_path):
 @pytest.mark.parametrize("bits", [[1, 1], [2, 1, 3]])
 def test_levels_of_buckets_give_the_same_counts(spark, bits, monkeypatch):
     monkeypatch.setattr(census, "CHUNK_BYTES", 200)
-    monkeypatch.setattr(census, "levels", lambda total: bits)
+    monkeypatch.setattr(census, "levels", lambda *_: bits)
     text = "the cat sat on the mat and the cat ran off the mat of The Dog\n"
     rows = [(i, text[i % 9: 40 + i] * (1 + i % 3)) for i in range(60)] + [(60, None), (61, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -69,11 +69,11 @@ def test_levels_of_buckets_give_the_same_counts(spark, bits, monkeypatch):
 
 
 def test_rows_exchanged_grow_with_the_input():
-    assert census.levels(0) == census.levels(500 << 20) == [7]
-    assert census.levels(30 << 30) == [7, 6] and census.levels(100 << 40) == [7, 7, 7, 4]
+    assert census.levels(0, 11, 16 << 20) == census.levels(32 << 30, 11, 16 << 20) == [11]
+    assert census.levels(33 << 30, 11, 16 << 20) == [11, 1] and census.levels(100 << 40, 11, 16 << 20) == [11, 11, 1]
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 10_000, np.uint64))
-    for total in (1 << 20, 30 << 30, 100 << 40):  # a chunk sends as many rows however large the input is
-        rows = census.request(5, 0, keys, np.ones(len(keys), np.int64), census.levels(total))
+    for total in (1 << 20, 300 << 30, 100 << 40):  # a chunk sends as many rows however large the input is
+        rows = census.request(5, 0, keys, np.ones(len(keys), np.int64), census.levels(total, 7, 64 << 20))
         assert rows.num_rows == 128
         assert np.array_equal(np.concatenate([census.unpacked_keys(k.as_py()) for k in rows.column(4)]), keys)
 
