@@ -150,20 +150,20 @@ def _handed_back(table: pa.Table) -> pa.Table:
 
 def answers(requests: DataFrame, bits: list[int]) -> DataFrame:
     """Totals for every request, and per bucket and kind a row of chunk -1 with the number of keys counted and their sum."""
-    sent = [requests if len(bits) == 1 else stage(requests, "keys")]
+    sent = [requests if len(bits) == 1 else stage(requests, "keys", large_rows=True)]
     for level in range(1, len(bits)):
         passed = _passed_on(sum(bits[:level + 1]), sum(bits[level + 1:]))
-        sent.append(stage(sent[-1].groupBy("grp", "bucket").applyInArrow(passed, REQUEST), "keys"))
+        sent.append(stage(sent[-1].groupBy("grp", "bucket").applyInArrow(passed, REQUEST), "keys", large_rows=True))
     found = sent.pop().groupBy("bucket").applyInArrow(_answered, ANSWER)
     if not sent:
         return found
-    found = stage(found, "totals")
+    found = stage(found, "totals", large_rows=True)
     sums = found.where("chunk = -1")
     for level in range(len(bits) - 1, 0, -1):
         back = found.where("chunk >= 0").select(
             F.col("chunk").alias("grp"), F.shiftright("bucket", bits[level]).alias("bucket"), F.col("bucket").cast("long").alias("sender"),
             "kind", F.lit(None).cast("binary").alias("keys"), F.col("totals").alias("counts"))
-        found = stage(sent.pop().unionByName(back).groupBy("grp", "bucket").applyInArrow(_handed_back, ANSWER), "totals")
+        found = stage(sent.pop().unionByName(back).groupBy("grp", "bucket").applyInArrow(_handed_back, ANSWER), "totals", large_rows=True)
     return found.unionByName(sums)
 
 
@@ -198,7 +198,7 @@ def stored_chunks(rows: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.record_batch([pa.array([next_chunk(number)], pa.int64()), pa.array([payload(part)], pa.binary())], ["chunk", "payload"])
                 number += 1
 
-    return stage(rows.mapInArrow(run, "chunk long, payload binary"), "chunks")
+    return stage(rows.mapInArrow(run, "chunk long, payload binary"), "chunks", large_rows=True)
 
 
 def each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:

@@ -288,7 +288,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
             keys, counts, _ = Anchors(*buffers(text_column(batch, "text"))).documents_per_key(_ids(batch))
             yield census.request(chunk, 0, keys, counts, bits)
 
-    found = stage(census.answers(chunks.mapInArrow(ask, census.REQUEST), bits), "shared")
+    found = stage(census.answers(chunks.mapInArrow(ask, census.REQUEST), bits), "shared", large_rows=True)
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
@@ -296,8 +296,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", dig
         runs = list(_chosen(batch, parts, buckets)[2].runs())
         return pa.table([pa.array([b for b, _ in runs], pa.int32()), pa.array([chunk] * len(runs), pa.int64()), pa.array([d for _, d in runs], pa.binary())], ["bucket", "chunk", "data"])
 
-    runs = stage(census.with_payload(found, chunks).groupBy("chunk").applyInArrow(send, "bucket int, chunk long, data binary"), "runs")
-    cuts = stage(runs.groupBy("bucket").applyInArrow(_merged, census.ANSWER), "cuts")
+    runs = stage(census.with_payload(found, chunks).groupBy("chunk").applyInArrow(send, "bucket int, chunk long, data binary"), "runs", large_rows=True)
+    cuts = stage(runs.groupBy("bucket").applyInArrow(_merged, census.ANSWER), "cuts", large_rows=True)
     out = "kept_sha256 string" if digest else "kept binary"
 
     def cut(table: pa.Table) -> pa.Table:
