@@ -171,7 +171,7 @@ def score(docs: DataFrame, train: str, order: int = 2, mu: float = MU, key: str
                 yield census.request(chunk, k, grams.keys[k], grams.counts(k, own), bits)
 
     chunks = census.stored_chunks(rows)
-    found = stage(census.answers(chunks.mapInArrow(ask, census.REQUEST), bits), "counts")
+    found = stage(census.answers(chunks.mapInArrow(ask, census.REQUEST), bits), "counts", large_rows=True)
     sums = found.where("chunk = -1 and kind = 0").agg(F.sum("distinct"), F.sum("total")).first()
     starts = rows.where("train").count()  # the start mark is counted as a key, but is no token
     distinct, tokens = (sums[0] or 0) - (starts > 0), (sums[1] or 0) - starts
