@@ -11,7 +11,10 @@ BLOCK = set("""address article aside blockquote body button caption center dd de
 form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th
 thead tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("iframe noembed noframes noscript script style template textarea title xmp svg audio video canvas".split())
+RAW = set("iframe noembed noframes script style textarea title xmp".split())
+TO_THE_END = set("script style title textarea".split())  # without a closing tag they take the rest of the page
+#: Elements whose content does not show where their own feature works; they may be nested, and end with the element they stand in.
+UNSHOWN = set("noscript template svg audio video canvas".split())
 #: An opening tag ends an open element of the first kind, unless one of the second kind is opened inside it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
         "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
@@ -19,6 +22,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|\Z)(?!\s*=\s*["']?until-found)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|display:none))""", re.I)
 
 
 def name_parts(attributes: str) -> set[str]:
@@ -35,37 +39,55 @@ def name_parts(attributes: str) -> set[str]:
 class Block:
     text: str
     tag: str  # nearest block element
-    above: frozenset  # "t:" tags and "c:" names of all elements it stands in
+    above: frozenset  # "t:" tags and "c:" names of all elements it stands in; "t:(hidden)" below one that does not show
     linked: int  # characters inside links
+    parents: tuple[int, int] = (0, 0)  # numbers of the element around the block and of the one around that
 
 
 class _Frame:
-    __slots__ = ("above", "block", "tag")
+    __slots__ = ("above", "block", "number", "tag", "up")
 
-    def __init__(self, tag, above, block):
-        self.tag, self.above, self.block = tag, above, block
+    def __init__(self, tag, above, block, number, up):
+        self.tag, self.above, self.block, self.number, self.up = tag, above, block, number, up
 
 
 def blocks_of(html: str, known: set[str] | None = None) -> tuple[list[Block], str]:
     """Leaf blocks of a page in order, empty ones left out, and its title. ``known``: names that are told apart."""
-    stack = [_Frame("", frozenset(), "")]
+    stack = [_Frame("", frozenset(), "", 0, None)]
     open_: dict[str, int] = {}
     out: list[Block] = []
     pieces: list[str] = []
     linked = [0]
     title = ""
+    number, unshown = 0, 0
+    closes: dict[str, int] = {}  # where the next closing tag of an element is, the page's length if there is none
+
+    def closed_at(tag: str, at: int) -> int:
+        if closes.get(tag, -1) < at:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            closes[tag] = end.start() if end else len(html)
+        return closes[tag]
 
     def flush():
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, stack[-1].block, stack[-1].above, linked[0]))
+                own = stack[-1]  # of inline elements: the block element around them
+                while own.up and own.tag not in BLOCK:
+                    own = own.up
+                up = own.up
+                while up and up.up and up.tag not in BLOCK:
+                    up = up.up
+                around = (up or own).number, ((up or own).up or up or own).number
+                out.append(Block(text, stack[-1].block, stack[-1].above, linked[0], around))
             pieces.clear()
             linked[0] = 0
 
     def pop_to(at: int):
+        nonlocal unshown
         for frame in stack[at:]:
             open_[frame.tag] -= 1
+            unshown -= frame.tag in UNSHOWN
         del stack[at:]
 
     def nearest(tags: set[str], stops: set[str]) -> int:
@@ -81,7 +103,7 @@ def blocks_of(html: str, known: set[str] | None = None) -> tuple[list[Block], st
     while at < size:
         token = TOKEN.search(html, at)
         upto = token.start() if token else size
-        if upto > at:
+        if upto > at and not unshown:
             text = html[at:upto]
             text = unescape(text) if "&" in text else text
             pieces.append(text)
@@ -95,11 +117,17 @@ def blocks_of(html: str, known: set[str] | None = None) -> tuple[list[Block], st
             continue
         tag, closing, attributes = name.lower(), bool(token[1] or token[4]), token[3] or token[6] or ""
         if tag in RAW and not closing:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            end = closed_at(tag, at)
             if tag == "title" and not title:
-                title = " ".join(unescape(html[at:end.start() if end else size]).split())
-            if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                at = end.start() if end else size
+                title = " ".join(unescape(html[at:end]).split())
+            if end < size and not attributes.rstrip().endswith("/") or tag in TO_THE_END:
+                at = end
+            continue
+        if tag in UNSHOWN and not closing:
+            if closed_at(tag, at) < size and not attributes.rstrip().endswith("/"):
+                stack.append(_Frame(tag, stack[-1].above, stack[-1].block, stack[-1].number, stack[-1]))
+                open_[tag] = open_.get(tag, 0) + 1
+                unshown += 1
             continue
         if tag == "br":
             pieces.append(" ")
@@ -109,7 +137,7 @@ def blocks_of(html: str, known: set[str] | None = None) -> tuple[list[Block], st
             flush()
         if closing:
             if open_.get(tag):
-                stops = set() if block else BLOCK
+                stops = set() if block or tag in UNSHOWN else BLOCK
                 place = nearest({tag}, stops)
                 if place:
                     pop_to(place)
@@ -126,10 +154,13 @@ def blocks_of(html: str, known: set[str] | None = None) -> tuple[list[Block], st
             continue
         names = {f"c:{n}" for n in name_parts(attributes)} if "=" in attributes else set()
         names.add(f"t:{tag}")
+        if attributes and HIDDEN.search(attributes):
+            names.add("t:(hidden)")
         if known is not None:
             names &= known
         above = stack[-1].above
-        stack.append(_Frame(tag, above if names <= above else above | names, tag if block else stack[-1].block))
+        number += 1
+        stack.append(_Frame(tag, above if names <= above else above | names, tag if block else stack[-1].block, number, stack[-1]))
         open_[tag] = open_.get(tag, 0) + 1
     flush()
     return out, title

@@ -1,17 +1,21 @@
 """HTML extraction (operator 7): a linear-chain conditional random field over the leaf blocks of a page.
 
 A page becomes the sequence of its leaf blocks (``dom``). Features of a block are the tags and class words of all
-elements above it, its tag, length, links, signs and place; the field labels each block as article or furniture and
-Viterbi gives the best sequence. Article blocks in page order are the text.
-
-The field is trained on labelled pages: a bounded sample of the pages whose markup itself marks the article, and pages
-of known layout, filled with sentences of the sample, in which menus, adverts, notices, forms, sidebars, comments and
-footers stand around and inside articles of many kinds of markup.
+elements above it, its tag, length, links, signs and place, and how much of the page's text stands in the same element;
+the field labels each block as article or furniture and Viterbi gives the best sequence. Article blocks in page order
+are the text. What does not show (``hidden``, ``display:none``, ``aria-hidden``) is furniture.
+
+The field is trained on labelled pages: a bounded sample of the pages whose markup itself marks the article, once as
+they are and once with that mark taken away, and pages of known layout, filled with sentences of the sample, in which
+menus, adverts, notices, forms, sidebars, comments and footers stand around and inside articles of many kinds of
+markup, or of none.
 """
 
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +29,9 @@ from .dom import Block, blocks_of
 
 #: Pages of the sample that the field is trained on, at most; the layouts are a fixed number of further pages.
 SAMPLE_PAGES = 120
-LAYOUT_PAGES = 260
+LAYOUT_PAGES = 500
+#: Sentences of the sample that fill the layouts: how many, and of how many characters.
+FILLING, FILLING_LENGTH = 2000, range(3, 300)
 SEED = 7
 
 #: Class words and elements of furniture and of articles in layouts.
@@ -56,17 +62,24 @@ SIGNS = {"©": "copy", "@": "at", "|": "bar", "»": "arrow", "›": "arrow", "$"
 CUES = set("cookie cookies subscribe newsletter comments comment reply login sign copyright rights reserved privacy advertisement sponsored share menu related".split())
 
 
-def features(block: Block, at: int, count: int, title: str, seen_heading: bool) -> list[str]:
+def some_or_many(share: float) -> str:
+    return "many" if share > 0.05 else "some"
+
+
+def features(block: Block, at: int, count: int, title: str, seen_heading: bool, around: tuple[float, float]) -> list[str]:
+    """``around``: shares of the page's unlinked text in the element around the block and the one around that."""
     text = block.text
-    words = text.split(" ") if len(text) < 400 else []
+    words = text.split(" ")
     n = len(text)
     out = [*block.above, f"b:{block.tag}", "bias"]
     out.append("n:" + ("1" if n < 12 else "2" if n < 40 else "3" if n < 100 else "4" if n < 250 else "5"))
     share = block.linked / n
     out.append("l:" + ("0" if not block.linked else "1" if share < 0.3 else "2" if share < 0.8 else "3"))
     out.append("end:" + ("." if text[-1] in ".!?…\"”»" else ":" if text[-1] in ":;," else "-"))
-    out += [f"s:{v}" for k, v in SIGNS.items() if k in text and n < 250]
-    out += [f"w:{w}" for w in {w.strip(".,:!?()").lower() for w in words} & CUES]
+    out += [f"s:{v}:{some_or_many(text.count(k) / n)}" for k, v in SIGNS.items() if k in text]
+    cues = [w for w in (w.strip(".,:!?()").lower() for w in words) if w in CUES]
+    out += [f"w:{w}:{some_or_many(cues.count(w) / len(words))}" for w in set(cues)]
+    out += [f"{name}:{'0' if s < 0.02 else '1' if s < 0.1 else '2' if s < 0.3 else '3' if s < 0.6 else '4'}" for name, s in zip(("in", "in2"), around, strict=True)]
     out.append("after heading" if seen_heading else "before heading")
     if at == 0:
         out.append("first")
@@ -79,15 +92,26 @@ def features(block: Block, at: int, count: int, title: str, seen_heading: bool)
 
 def sequence_of(blocks: list[Block], title: str) -> list[list[str]]:
     out, heading = [], False
+    own, above = Counter(), Counter()
+    for block in blocks:
+        plain = 0 if "t:(hidden)" in block.above else len(block.text) - block.linked
+        own[block.parents[0]] += plain
+        above[block.parents[1]] += plain
+    total = max(1, sum(own.values()))
     for at, block in enumerate(blocks):
         heading = heading or block.tag == "h1"
-        out.append(features(block, at, len(blocks), title, heading))
+        out.append(features(block, at, len(blocks), title, heading, (own[block.parents[0]] / total, above[block.parents[1]] / total)))
     return out
 
 
 # --- labelled pages ---------------------------------------------------------------------
 
-OUTSIDE = {"t:nav", "t:aside", "t:footer", "t:form", "t:header", "t:button", "t:select", "t:menu", "c:ad", "c:comment", "c:sidebar", "c:notice", "c:cookie"}
+OUTSIDE = {"t:nav", "t:aside", "t:footer", "t:form", "t:header", "t:button", "t:select", "t:menu", "t:(hidden)", "c:ad", "c:comment", "c:sidebar", "c:notice", "c:cookie"}
+
+
+def without_mark(html: str, to: str) -> str:
+    """The page with its article or main element renamed; a name of none is left out."""
+    return re.sub(r"<(/?)(?:article|main)\b[^>]*>", lambda m: f"<{m[1]}{to}>" if to else "", html, flags=re.I)
 
 
 def marked(html: str) -> tuple[list[list[str]], list[int], list[str]] | None:
@@ -134,41 +158,61 @@ class Layouts:
         labels = [0] * len(blocks_of(html)[0])
         return html, labels
 
+    def unshown(self) -> tuple[str, list[int]]:
+        """Text that does not show, marked by nothing else."""
+        tag = self.rng.choice(["p", "p", "div"])
+        mark = self.rng.choice(["hidden", 'style="display:none"', "style='color:red; display: none'", 'aria-hidden="true"'])
+        return f"<{tag} {mark}>{self.escaped(self.say(1, 3))}</{tag}>", [0]
+
     def article(self) -> tuple[str, list[int]]:
+        """An article in an element of its own, named, unnamed or named at random, or in the page's body, a cell or a box."""
         rng = self.rng
-        tag = rng.choice(["article", "article", "main", "div", "div", "section"])
-        open_ = f"<{tag}>" if tag in ("article", "main") and rng.random() < 0.6 else f'<{tag} class="{rng.choice(ARTICLE_NAMES)}">'
+        tag = rng.choice(["article", "article", "main", "div", "div", "section", "td", ""])
+        named = rng.random()
+        open_ = f"<{tag}>" if named < (0.6 if tag in ("article", "main") else 0.4) else f'<{tag} class="x{rng.randint(1, 99)}">' if named < 0.6 else f'<{tag} class="{rng.choice(ARTICLE_NAMES)}">'
+        close = f"</{tag}>"
+        if not tag:
+            open_ = close = ""
+        elif tag == "td":
+            open_, close = f"<table><tr>{open_}", f"{close}</tr></table>"
+        elif rng.random() < 0.2:
+            open_, close = f"<div>{open_}", f"{close}</div>"
         parts, labels = [open_], []
         title = self.escaped(self.say(1, 1)[:70])
         if rng.random() < 0.8:
             head = f"<h1>{title}</h1>"
             parts.append(f"<header>{head}</header>" if rng.random() < 0.15 else head)
             labels.append(1)
-        for _ in range(rng.randint(1, 9)):
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 30])):
             roll = rng.random()
-            if roll < 0.12:
+            if roll < 0.04:
+                html, own = self.unshown()
+                parts.append(html)
+                labels += own
+            elif roll < 0.13:
                 part = rng.choice([lambda: f"<h2>{self.say(1, 1)[:50]}</h2>", lambda: f"<ul><li>{self.say(1, 2)}</li></ul>", lambda: f"<blockquote>{self.say(1, 2)}</blockquote>",
                                    lambda: f"<pre>{self.say(1, 2)}</pre>", lambda: f"<table><tr><td>{self.say(1, 1)}</td></tr></table>", lambda: f"<figure><figcaption>{self.say(1, 1)}</figcaption></figure>"])()
                 parts.append(part)
                 labels.append(1)
-            elif roll < 0.2:
+            elif roll < 0.26:
                 html, own = self.furniture(rng.choice(["ad", "share", "aside", "form", "notice"]), True)
                 parts.append(html)
                 labels += own
             else:
-                text = self.escaped(self.say(1, 4)) if roll < 0.85 else self.escaped(self.say(1, 1)).split(" ")[0] + "."
+                text = self.escaped(self.say(1, 4)) if roll < 0.87 else self.escaped(self.say(1, 1)).split(" ")[0] + "."
                 parts.append(rng.choice([f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br></p>", f'<p><a href="/y">{text[:9]}</a> {text[9:]}.</p>', f"<div>{text}</div>"]))
                 labels.append(1)
         if rng.random() < 0.25:
             html, own = self.furniture("comment", True)
             parts.append(html)
             labels += own
-        return "".join(parts) + f"</{tag}>", labels
+        return "".join(parts) + close, labels
 
     def page(self) -> tuple[str, list[int]]:
         rng = self.rng
-        before = [k for k in ("notice", "header", "nav", "nav", "ad", "share") if rng.random() < 0.5]
-        after = [k for k in ("share", "aside", "comment", "form", "ad", "footer", "notice") if rng.random() < 0.5]
+        much = rng.choice([0.0, 0.3, 0.5, 0.6])  # no furniture at all in a quarter of the pages
+        before = [k for k in ("notice", "header", "nav", "nav", "ad", "share") if rng.random() < much]
+        after = [k for k in ("share", "aside", "comment", "form", "ad", "footer", "notice") if rng.random() < much]
         rng.shuffle(before)
         parts = [self.furniture(k) for k in before] + [self.article()] + [self.furniture(k) for k in after]
         html = f"<!DOCTYPE html><html><head><title>{self.say(1, 1)[:50]}</title></head><body>" + "".join(h for h, _ in parts)
@@ -178,14 +222,18 @@ class Layouts:
 def labelled_pages(sample: list[str], layouts: int = LAYOUT_PAGES, seed: int = SEED) -> tuple[list, list]:
     """Sequences and labels for training."""
     sequences, labels, texts = [], [], []
-    for html in sample:
+    for at, html in enumerate(sample):
         found = marked(html)
         if found:
             sequences.append(found[0])
             labels.append(found[1])
             texts += found[2]
-    pieces = sorted({s.strip() + "." for t in texts for s in t.split(".") if 2 < len(s) < 300})
-    made = Layouts(random.Random(seed).sample(pieces, min(len(pieces), 2000)), seed)
+            blocks, title = blocks_of(without_mark(html, ("div", "section", "")[at % 3]))
+            if len(blocks) == len(found[1]):  # without the element, neighbouring texts may be one block
+                sequences.append(sequence_of(blocks, title))
+                labels.append(found[1])
+    pieces = sorted({s.strip() + "." for t in texts for s in t.split(".") if len(s) in FILLING_LENGTH})
+    made = Layouts(random.Random(seed).sample(pieces, min(len(pieces), FILLING)), seed)
     for _ in range(layouts):
         html, own = made.page()
         blocks, title = blocks_of(html)
