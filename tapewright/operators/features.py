@@ -57,7 +57,11 @@ def merged_panel(price: DataFrame, daily: DataFrame | None, keys=KEYS, dims: int
     ).drop("_price", "_news", "_covered")
 
 
-def inference_rows(price: DataFrame, daily: DataFrame | None = None, horizon: int = 30, back: int = 7, dims: int = 17, keys=KEYS) -> DataFrame:
-    """The newest feature row of every series, without targets; series shorter than the warm-up give none."""
-    features = create_features(merged_panel(price, daily, keys, dims), horizon, back, keys)
+def inference_rows(price: DataFrame, daily: DataFrame | None = None, back: int = 7, dims: int = 17, keys=KEYS) -> DataFrame:
+    """The newest feature row of every series, without targets; series shorter than the warm-up give none.
+
+    Features look back ``back`` returns, so that many prices and two more are all that is joined and windowed.
+    """
+    recent = last_rows(price, back + 2, keys)
+    features = create_features(merged_panel(recent, daily, keys, dims), 0, back, keys)
     return last_rows(drop_targets(features), 1, keys)

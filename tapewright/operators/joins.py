@@ -30,22 +30,27 @@ def check_unique_dates(price: DataFrame, keys=KEYS) -> DataFrame:
     return price
 
 
-def frequent_keys(big: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Keys with more rows than a task may get, and ``_salts``, the tasks that their rows need."""
-    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
-    return counts.select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
+def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys with ``_n``, their rows."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def spread_join(big: DataFrame, unique: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def frequent_keys(counts: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Of :func:`key_counts`, keys with more rows than a task may get, and ``_salts``, the tasks that their rows need."""
+    return counts.where(F.col("_n") > rows_per_task).select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
+
+
+def spread_join(big: DataFrame, unique: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK, counts: DataFrame | None = None) -> DataFrame:
     """Left join on keys that are unique on the right and may be very frequent on the left.
 
     A key with more than ``rows_per_task`` rows is dealt over as many tasks as its count asks
     for: its left rows are salted by the row's own content, its single right row is copied
     once per salt.  All such keys are dealt; their list is counted before it is broadcast, and
-    a longer one is joined by key, where adaptive execution splits large partitions.
+    a longer one is joined by key, where adaptive execution splits large partitions.  ``counts``
+    are the left side's :func:`key_counts` where they are at hand.
     """
     on = list(on)
-    frequent = stage(frequent_keys(big, on, rows_per_task), "frequent")
+    frequent = stage(frequent_keys(key_counts(big, on) if counts is None else counts, on, rows_per_task), "frequent")
     if frequent.count() <= BROADCAST_KEYS:
         frequent = F.broadcast(frequent)
     others = [c for c in big.columns if c not in on]
@@ -78,8 +83,9 @@ def merge_price_news(price: DataFrame, news: DataFrame, keys=KEYS, validate: boo
     on = [*keys, "date"]
     if not many:
         return price.join(news, on, "left")
-    found = spread_join(news, price.withColumn("_price", F.lit(True)), on, rows_per_task).where(F.col("_price")).drop("_price")
-    bare = price.join(news.select(*on).distinct(), on, "left_anti")
+    counts = stage(key_counts(news, on), "news-days")
+    found = spread_join(news, price.withColumn("_price", F.lit(True)), on, rows_per_task, counts).where(F.col("_price")).drop("_price")
+    bare = price.join(counts, on, "left_anti")
     columns = [*price.columns, *[c for c in news.columns if c not in on]]
     return found.select(*columns).unionByName(bare, allowMissingColumns=True)
 

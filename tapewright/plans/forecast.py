@@ -21,6 +21,7 @@ from tapewright.operators.sampling import dedupe_last, trim_news
 from tapewright.operators.sentiment import LexiconScorer, add_polarity, aggregate_daily
 from tapewright.operators.series import KEYS, add_successor, series_window
 from tapewright.schemas import PRICE_COLUMNS
+from tapewright.session import stage
 
 
 def request_violations(price: DataFrame, news: DataFrame | None, keys=KEYS) -> DataFrame:
@@ -67,7 +68,7 @@ def batch_forecast(
             kept = enrich_news(price, kept, keys)
         scored = add_polarity((scorer or LexiconScorer(dims=dims)).score(kept, "headline"))
         daily = aggregate_daily(scored, dims, keys=keys)
-    rows = inference_rows(price, daily, horizon, back, dims, keys)
+    rows = inference_rows(price, daily, back, dims, keys)
     steps = min(horizon, model.horizon)
     path = F.array(*[F.col(p) for p in model.predictions[:steps]])
     return (
@@ -142,9 +143,12 @@ def h_overlay_history(full: DataFrame, rows: int = 200, keys=KEYS) -> DataFrame:
 
 
 def h_overlay(full: DataFrame, models: Mapping[str, FittedForecaster], horizon: int, keys=KEYS) -> DataFrame:
-    """(series, kind, step, date, actual, forecast) for the steps after the anchor that have an actual."""
-    placed = around_anchor(full, keys)
-    future = placed.where((F.col("step") > 0) & (F.col("step") <= horizon)).select(
+    """(series, kind, step, date, actual, forecast) for the steps after the anchor that have an actual.
+
+    Anchors and the ``horizon`` rows behind them are written once for all models.
+    """
+    placed = stage(around_anchor(full, keys).where(F.col("step").between(0, horizon)), "overlay")
+    future = placed.where(F.col("step") > 0).select(
         *keys, "step", "date", F.col("adj_close").alias("actual")
     )
     anchors = placed.where(F.col("step") == 0).drop("step")

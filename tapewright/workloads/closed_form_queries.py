@@ -16,9 +16,10 @@ from tapewright.operators import sampling
 from tapewright.operators.quantiles import exact_quantiles, sketched_quantiles
 from tapewright.plans import explain, forecast, training, tuning
 from tapewright.session import stage
+from tapewright.workloads.model_queries import panel5
 from tapewright.workloads.registry import H5, query
 from tapewright.workloads.series_queries import KD, T5, split5
-from tapewright.workloads.views import bars, ticks
+from tapewright.workloads.views import bars, news, ticks
 
 ALPHA, L1 = 0.005, 0.4
 TRIALS, SEED = 30, 7
@@ -75,6 +76,28 @@ def net_forecast(spark, d):
     return forecast.explode_path(path).drop("date")
 
 
+_NEWS = """(SELECT f.*, coalesce(d.pos_minus_neg, median(d.pos_minus_neg) FILTER (WHERE f.split = 'train') OVER (PARTITION BY f.symbol)) AS mood
+FROM v_split5 f LEFT JOIN v_daily d ON d.symbol = f.symbol AND d.date = f.date)"""
+_MOOD = "(" + " UNION ALL ".join(f"SELECT symbol, mood AS x, {h} AS h, target_{h} AS y FROM {_NEWS} WHERE split = 'train'" for h in H5) + ")"
+_MOOD_COEF = f"""(SELECT symbol, h, w * sy / sx AS w, my - w * sy / sx * mx AS b FROM (
+  SELECT *, {weight_sql('c', ALPHA, L1)} AS w FROM {stats_sql(_MOOD, 'symbol')}))"""
+_MOOD_LAST = f"""(SELECT f.symbol, f.adj_close, coalesce(d.pos_minus_neg, m.mid) AS x
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM v_features5) f
+JOIN (SELECT t.symbol, median(d.pos_minus_neg) AS mid FROM v_split5 t JOIN v_daily d ON d.symbol = t.symbol AND d.date = t.date WHERE t.split = 'train' GROUP BY t.symbol) m ON m.symbol = f.symbol
+LEFT JOIN v_daily d ON d.symbol = f.symbol AND d.date = f.date WHERE f.rn = 1)"""
+
+
+@query("news_forecast", f"""SELECT l.symbol, CAST(k.h AS INTEGER) AS step, k.b + k.w * l.x AS log_return,
+  l.adj_close * exp(sum(k.b + k.w * l.x) OVER (PARTITION BY l.symbol ORDER BY k.h)) AS price
+FROM {_MOOD_LAST} l JOIN {_MOOD_COEF} k ON k.symbol = l.symbol""", ["log_return", "price"], digits=4)
+def news_forecast(spark, d):
+    """From bars and raw headlines to price paths, with a model of the daily polarity per series."""
+    df = stage(panel5(spark, d), "panel")
+    net = ElasticNet(alpha=ALPHA, l1_ratio=L1, scope=("symbol",)).fit(df.where("split = 'train'"), ["pos_minus_neg"], T5)
+    path = forecast.batch_forecast(bars(spark, d), news(spark, d), net, 5)
+    return forecast.explode_path(path).drop("date")
+
+
 _FOLD_ROWS = """(SELECT *, CASE WHEN pos < n - (2 - fold) * (n // 3) THEN 'train' ELSE 'val' END AS role FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n
   FROM v_split5 WHERE split = 'train') CROSS JOIN range(0, 2) r(fold) WHERE pos < n - (2 - fold) * (n // 3) + n // 3)"""

@@ -255,5 +255,5 @@ _LAST = ["log_return", *[f"lag_{k}" for k in range(1, 8)]]
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM v_features5) f
 LEFT JOIN v_daily d ON d.symbol = f.symbol AND d.date = f.date WHERE f.rn = 1""", ["adj_close", *_LAST, *SENTIMENT, *EMB])
 def inference_row(spark, d):
-    rows = features.inference_rows(bars(spark, d), daily(spark, d), 5)
+    rows = features.inference_rows(bars(spark, d), daily(spark, d))
     return rows.select(*KD, "adj_close", *_LAST, "quarter", "dow", *SENTIMENT, *EMB)

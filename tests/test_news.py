@@ -60,7 +60,7 @@ def test_spread_join_equals_left_join(spark):
 
 def test_all_of_many_frequent_keys_are_dealt(spark):
     big = spark.range(24_000).selectExpr("concat('k', id % 2000) k", "id i")
-    keys = joins.frequent_keys(big, ["k"], 5)
+    keys = joins.frequent_keys(joins.key_counts(big, ["k"]), ["k"], 5)
     assert keys.count() == 2000 and {r["_salts"] for r in keys.collect()} == {3}
     unique = spark.range(1500).selectExpr("concat('k', id) k", "id v")
     got = joins.spread_join(big, unique, ["k"], rows_per_task=5)
@@ -137,7 +137,7 @@ def test_news_on_the_last_day_changes_the_inference_row(spark, linear_price):
 
     def polarity(text):
         daily = sentiment.aggregate_daily(sentiment.score_inline(news(spark, [(last, text)])))
-        return features.inference_rows(price, daily, 1).first()["pos_minus_neg"]
+        return features.inference_rows(price, daily).first()["pos_minus_neg"]
 
     assert polarity("great record profit") > 0 > polarity("lawsuit and fraud scandal")
 

@@ -198,7 +198,7 @@ def test_guards(spark):
 
 
 def test_inference_row_without_news_is_zero(linear_price):
-    row = features.inference_rows(linear_price(40), None, 5).collect()
+    row = features.inference_rows(linear_price(40)).collect()
     assert len(row) == 1
     assert row[0]["pos"] == 0.0 and row[0]["emb_16"] == 0.0 and "target_1" not in row[0].asDict()
 
