@@ -64,17 +64,18 @@ def sketched_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float
     long = sketches.select(*keys, F.inline(F.array(*cols))).where("n > 0")
     brackets = stage(long.select(*by, "n", F.array(*[_bracket(probs[i], slack * rank_error(size)) for i in order]).alias("tasks")), "brackets")
 
-    # second pass: values inside a bracket with their counts, the others by the number of brackets above them
+    # second pass: values inside a bracket with their counts, all by the number of brackets that begin at or below them;
+    # brackets ascend, so the last of these reaches highest. No lambda looks at a row: such functions are interpreted.
     values = rows.unpivot(list(keys), list(cols), "column", "x").where(F.col("x").isNotNull())
-    held = F.broadcast(brackets) if brackets.count() <= BROADCAST_BRACKETS else brackets
-    met = values.join(held.select(*by, "tasks"), by)
-    inside = F.exists("tasks", lambda t: F.col("x").between(t["lo"], t["hi"]))
-    above = F.size(F.filter("tasks", lambda t: t["lo"] > F.col("x")))
-    cells = stage(met.select(*by, F.when(inside, F.col("x")).alias("x"), above.alias("above")).groupBy(*by, "x", "above").agg(F.count(F.lit(1)).alias("c")), "cells")
+    ends = brackets.select(*by, F.col("tasks.lo").alias("los"), F.col("tasks.hi").alias("his"))
+    met = values.join(F.broadcast(ends) if brackets.count() <= BROADCAST_BRACKETS else ends, by)
+    met = met.select(*by, "x", "his", _begun(F.col("los"), len(probs)).alias("begun"))
+    inside = met.select(*by, "begun", F.when(F.col("x") <= F.get("his", F.col("begun") - 1), F.col("x")).alias("x"))
+    cells = stage(inside.groupBy(*by, "x", "begun").agg(F.count(F.lit(1)).alias("c")), "cells")
 
     many = len(probs)
     wanted = brackets.select(*by, "n", F.posexplode("tasks").alias("task", "t")).select(*by, "n", "task", "t.*")
-    under = cells.join(wanted.select(*by, "task", "lo"), by).where(F.when(F.col("x").isNull(), F.col("above") >= many - F.col("task")).otherwise(F.col("x") < F.col("lo")))
+    under = cells.join(wanted.select(*by, "task"), by).where("begun <= task")
     below = under.groupBy(*by, "task").agg(F.sum("c").alias("below"))
     tasks = stage(wanted.join(below, [*by, "task"], "left").withColumn("below", F.coalesce("below", F.lit(0))), "tasks")
     tasks = _narrowed(tasks, cells, by, small, splitters)
@@ -114,6 +115,15 @@ def _bracket(p: float, error: float) -> Column:
     )
 
 
+def _begun(los: Column, many: int) -> Column:
+    """How many of the ascending values ``los`` are at or below x."""
+    first = lambda i: (F.col("x") < F.get(los, F.lit(i)), F.lit(i))
+    case = F.when(*first(0))
+    for i in range(1, many):
+        case = case.when(*first(i))
+    return case.otherwise(F.lit(many))
+
+
 def _narrowed(tasks: DataFrame, cells: DataFrame, by: list[str], small: int, splitters: int) -> DataFrame:
     """Brackets whose distinct values fit a buffer: those of more are cut by splitters, and the parts with the ranks stay."""
     one = [*by, "task"]

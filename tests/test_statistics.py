@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.operators import metrics, prep, stats
+from tapewright.operators import metrics, prep, quantiles, stats
 from tapewright.operators.gram import gram_table, unpack
 from tapewright.operators.quantiles import exact_quantiles, sketched_quantiles
+from tapewright.session import stage
 
 
 @pytest.fixture(scope="module")
@@ -217,6 +218,31 @@ def test_quantiles_of_a_million_equal_values(spark):
     assert exact_quantiles(df, ["a"], [0.0, 0.1, 0.5, 1.0], small=1000)["a"] == [5.0, 5.0, 5.0, pytest.approx(1_199_999 / 3)]
 
 
+def test_quantiles_of_few_values_between_brackets(spark):
+    """Rows between two brackets count as below the upper one: all the ones lie in none."""
+    df = spark.range(110_000).select((F.col("id") % 11).cast("double").alias("a"))
+    (row,) = sketched_quantiles(df, ["a"], [0.01, 0.27], small=1000).collect()
+    assert (row["n"], row["q"]) == (110_000, [0.0, 2.0])
+
+
+def test_quantiles_read_the_rows_twice(spark, monkeypatch):
+    """One round of brackets is enough, and only the values inside are kept."""
+    staged = {}
+
+    def kept(df, name):
+        staged.setdefault(name, []).append(stage(df, name))
+        return staged[name][-1]
+
+    monkeypatch.setattr(quantiles, "stage", kept)
+    n, probs = 200_000, [0.01, 0.5, 0.999]
+    df = spark.range(n).select(F.col("id").alias("b"), (-F.col("id") / 3).alias("c"))
+    got = {r["column"]: r["q"] for r in sketched_quantiles(df, ["b", "c"], probs, small=100, splitters=16).collect()}
+    assert got["b"] == pytest.approx([p * (n - 1) for p in probs], rel=1e-12)
+    assert got["c"] == pytest.approx([-(1 - p) * (n - 1) / 3 for p in probs], rel=1e-12)
+    assert len(staged["brackets"]) == len(staged["cells"]) == 1
+    assert staged["cells"][0].count() < 0.06 * n
+
+
 def test_correlations_of_pairwise_complete_rows(spark):
     """Many columns with gaps, large levels, a constant and an empty column, one table of cross products."""
     rng = np.random.default_rng(6)
